@@ -1,0 +1 @@
+"""Kept empty on purpose: no operator of the engine reads an unbounded source."""
