@@ -2,4 +2,5 @@
 
 from tastegrid.plans import (  # noqa: F401
     prepare_queries,
+    metric_queries,
 )

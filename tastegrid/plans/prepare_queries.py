@@ -185,9 +185,9 @@ def pf07(spark, sf):
     return pf.cold_users(fx.interactions(spark, sf), 35)
 
 
-@query("pf08_k_core_simultaneous", _core_sql(12, "nu BETWEEN 22 AND 60", "ni >= 22", True))
+@query("pf08_k_core_simultaneous", _core_sql(12, "nu BETWEEN 15 AND 60", "ni >= 15", True))
 def pf08(spark, sf):
-    return pf.k_core_simultaneous(fx.interactions(spark, sf), 22, 22, max_user=60)
+    return pf.k_core_simultaneous(fx.interactions(spark, sf), 15, 15, max_user=60)
 
 
 @query("pf00_prefilter_list", """
@@ -333,9 +333,9 @@ _CATALOGUE = "catalogue AS MATERIALIZED (SELECT item, row_number() OVER (ORDER B
 def _draw_sql(seen: str, n: int, seed: int) -> str:
     return f"""{_CATALOGUE},
     tries AS (SELECT u.user, t, {_pick(seed, '', 'u.user', 't')} % (SELECT n FROM size) AS idx FROM train_users u, range({2 * n + 16}) r(t)),
-    hits AS (SELECT user, item, min(t) AS t FROM tries JOIN catalogue USING (idx)
+    drawn_hits AS (SELECT user, item, min(t) AS t FROM tries JOIN catalogue USING (idx)
              WHERE NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.user = tries.user AND s.item = catalogue.item) GROUP BY user, item),
-    picks AS (SELECT user, item, row_number() OVER (PARTITION BY user ORDER BY t) AS pick FROM hits)"""
+    picks AS (SELECT user, item, row_number() OVER (PARTITION BY user ORDER BY t) AS pick FROM drawn_hits)"""
 
 
 @query("rc03_random_recs", f"WITH {_draw_sql('train', 10, 42)} SELECT user, item, 1.0::DOUBLE AS score, pick::INTEGER AS rank FROM picks WHERE pick <= 10")
@@ -386,14 +386,17 @@ def _negative_sql(rows: str, keys: str, out: str) -> str:
 _SAMPLER = f"""{_CATALOGUE},
     profile AS MATERIALIZED (SELECT user, item, rating, row_number() OVER (PARTITION BY user ORDER BY item) - 1 AS pos FROM train),
     drawable AS MATERIALIZED (SELECT user, n, row_number() OVER (ORDER BY user) - 1 AS u FROM train_users WHERE n < (SELECT n FROM size)),
-    events_drawn AS MATERIALIZED (SELECT e AS event, user, d.n FROM range(EVENTS) r(e)
-        JOIN drawable d ON d.u = {_pick(42, "'user'", 'e')} % (SELECT count(*) FROM drawable)),
-    positives AS MATERIALIZED (SELECT event, e.user, p.item, p.rating FROM events_drawn e
-        JOIN profile p ON p.user = e.user AND p.pos = {_pick(42, "'item'", 'event')} % e.n)"""
+    event_at AS MATERIALIZED (SELECT e AS event, {_pick(42, "'user'", 'e')} % (SELECT count(*) FROM drawable) AS u FROM range(EVENTS) r(e)),
+    events_drawn AS MATERIALIZED (SELECT event, user, n, {_pick(42, "'item'", 'event')} % n AS pos FROM event_at JOIN drawable USING (u)),
+    positives AS MATERIALIZED (SELECT event, user, item, rating FROM events_drawn JOIN profile USING (user, pos))"""
 
 
-def _sampler_sql(events: int, body: str) -> str:
-    return f"WITH {_SAMPLER.replace('EVENTS', '(SELECT count(*) FROM train)' if events < 0 else str(events))}, {body}"
+_EPOCH = "(SELECT count(*) FROM train)"
+_ONE_EACH = "(SELECT count(*) FROM train_users)"
+
+
+def _sampler_sql(events: str, body: str) -> str:
+    return f"WITH {_SAMPLER.replace('EVENTS', events)}, {body}"
 
 
 def _sampler(spark, sf):
@@ -405,21 +408,26 @@ def _n_events(spark, sf):
     return fx.train(spark, sf).count()
 
 
+def _n_users(spark, sf):
+    """As many draws as there are users."""
+    return fx.train(spark, sf).select("user").distinct().count()
+
+
 _PAIRWISE = f"base AS (SELECT event, user, item FROM positives), triples_drawn AS ({_negative_sql('base', 'event', 'negative')})"
 
 
-@query("ns04_pairwise_triples", _sampler_sql(-1, f"{_PAIRWISE} SELECT event, user, item, negative FROM triples_drawn"))
+@query("ns04_pairwise_triples", _sampler_sql(_EPOCH, f"{_PAIRWISE} SELECT event, user, item, negative FROM triples_drawn"))
 def ns04(spark, sf):
     return _sampler(spark, sf).pairwise(_n_events(spark, sf))
 
 
-@query("ns05_pairwise_per_interaction", _sampler_sql(1, f"base AS (SELECT user, item AS of FROM train), drawn AS ({_negative_sql('base', 'user, of', 'negative')}) SELECT user, of AS item, negative FROM drawn"))
+@query("ns05_pairwise_per_interaction", _sampler_sql("1", f"base AS (SELECT user, item AS of FROM train), drawn AS ({_negative_sql('base', 'user, of', 'negative')}) SELECT user, of AS item, negative FROM drawn"))
 def ns05(spark, sf):
     return _sampler(spark, sf).per_interaction()
 
 
 def _pointwise_sql(ratio: int, label: str) -> str:
-    return _sampler_sql(-1, f"""coins AS (SELECT event, user, {_pick(42, "'coin'", 'event')} % {ratio + 1} AS coin FROM events_drawn),
+    return _sampler_sql(_EPOCH, f"""coins AS (SELECT event, user, {_pick(42, "'coin'", 'event')} % {ratio + 1} AS coin FROM events_drawn),
         base AS (SELECT event, user FROM coins WHERE coin <> 0), drawn AS ({_negative_sql('base', 'event', 'item')})
         SELECT p.event, p.user, p.item, {label} AS label FROM positives p JOIN coins c USING (event) WHERE coin = 0
         UNION ALL SELECT event, user, item, 0.0::DOUBLE FROM drawn""")
@@ -435,7 +443,7 @@ def ns07(spark, sf):
     return _sampler(spark, sf).pointwise(_n_events(spark, sf), ratio=3, ratings=True)
 
 
-@query("ns08_positives_plus_m_negatives", _sampler_sql(1, f"""
+@query("ns08_positives_plus_m_negatives", _sampler_sql("1", f"""
     base AS (SELECT user, item AS of, d AS draw FROM train, range(1, 3) q(d)), drawn AS ({_negative_sql('base', 'user, of, draw', 'item')})
     SELECT user, item, 1.0::DOUBLE AS label FROM train UNION ALL SELECT user, item, 0.0 FROM drawn"""))
 def ns08(spark, sf):
@@ -450,22 +458,22 @@ def ns09(spark, sf):
     return _sampler(spark, sf).positives_plus_linear(2)
 
 
-@query("ns10_zero_reconstruction_masks", _sampler_sql(500, f"""
+@query("ns10_zero_reconstruction_masks", _sampler_sql(_ONE_EACH, f"""
     base AS (SELECT event, user, k AS kind, d AS draw FROM events_drawn, (VALUES ('zero', 0.01), ('mask', 0.02)) w(k, share),
              range(1, 1 + (SELECT n FROM size)) q(d) WHERE d <= floor(share::DOUBLE * (SELECT n FROM size))),
     drawn AS ({_negative_sql('base', 'event, kind, draw', 'item')})
     SELECT DISTINCT event, user, kind, item FROM drawn
     UNION ALL SELECT e.event, e.user, 'mask', t.item FROM events_drawn e JOIN train t USING (user)"""))
 def ns10(spark, sf):
-    return _sampler(spark, sf).zero_reconstruction(500, 0.01, 0.02)
+    return _sampler(spark, sf).zero_reconstruction(_n_users(spark, sf), 0.01, 0.02)
 
 
-@query("ns11_positive_samples_with_ratings", _sampler_sql(2000, """
+@query("ns11_positive_samples_with_ratings", _sampler_sql(_ONE_EACH, """
     x AS (SELECT 1) SELECT p.event, p.user, p.item, p.rating, t.item AS profile_item, t.rating AS profile_rating
     FROM positives p JOIN train t USING (user)"""))
 def ns11(spark, sf):
     s = _sampler(spark, sf)
-    return s.with_profile(s.positives(s.events(2000)))
+    return s.with_profile(s.positives(s.events(_n_users(spark, sf))))
 
 
 def _two_hop_sql(of: str, by: str) -> str:
@@ -509,20 +517,20 @@ _INDICATORS = """
         UNION ALL SELECT event, feature_id + nu + ni FROM sampled JOIN attribute_ids USING (item), widths)"""
 
 
-@query("ns14_wide_features", _sampler_sql(-1, f"sampled AS (SELECT event, user, item FROM positives), {_INDICATORS} SELECT event, \"column\" FROM wide"))
+@query("ns14_wide_features", _sampler_sql(_EPOCH, f"sampled AS (SELECT event, user, item FROM positives), {_INDICATORS} SELECT event, \"column\" FROM wide"))
 def ns14(spark, sf):
     s = _sampler(spark, sf)
     return s.indicator_rows(s.positives(s.events(_n_events(spark, sf))), fx.attribute_ids(spark, sf))
 
 
-@query("ns15_pairwise_with_profile", _sampler_sql(2000, f"""{_PAIRWISE}
+@query("ns15_pairwise_with_profile", _sampler_sql(_ONE_EACH, f"""{_PAIRWISE}
     SELECT x.event, x.user, x.item, x.negative, t.item AS profile_item, t.rating AS profile_rating FROM triples_drawn x JOIN train t USING (user)"""))
 def ns15(spark, sf):
     s = _sampler(spark, sf)
-    return s.with_profile(s.pairwise(2000))
+    return s.with_profile(s.pairwise(_n_users(spark, sf)))
 
 
-@query("ns16_fm_rows", _sampler_sql(-1, f"""
+@query("ns16_fm_rows", _sampler_sql(_EPOCH, f"""
     coins AS (SELECT event, user, {_pick(42, "'coin'", 'event')} % 2 AS coin FROM events_drawn),
     base AS (SELECT event, user FROM coins WHERE coin <> 0), drawn AS ({_negative_sql('base', 'event', 'item')}),
     sampled AS MATERIALIZED (SELECT p.event, p.user, p.item, 1.0::DOUBLE AS label FROM positives p JOIN coins c USING (event) WHERE coin = 0
