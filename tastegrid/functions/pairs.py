@@ -11,20 +11,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Profiles longer than this are not expanded by a join but handled as blocks inside tasks.
 HOT_PROFILE = 2_000
-_KEYS_PER_GROUP = 8
+_KEYS_PER_GROUP = 64
+_KEYS_PER_STEP = 8
 _BLOCK_MEMBERS = 500
+_DENSE_CELLS = 4_000_000
 
 # name -> (column expression of the two values, the same on numpy arrays, sign under exchange of the pair)
 _STATS = {
     "n": (lambda a, b: F.lit(1.0), lambda a, b: np.ones(np.broadcast_shapes(a.shape, b.shape)), 1),
     "dot": (lambda a, b: a * b, lambda a, b: a * b, 1),
     "low": (lambda a, b: F.least(a, b), np.minimum, 1),
+    "sum": (lambda a, b: a + b, lambda a, b: a + b, 1),
     "diff": (lambda a, b: a - b, lambda a, b: a - b, -1),
     "equal": (lambda a, b: (a == b).cast("double"), lambda a, b: (a == b).astype(float), 1),
     "far": (lambda a, b: F.abs(a - b), lambda a, b: np.abs(a - b), 1),
     "canberra": (lambda a, b: F.abs(a - b) / (F.abs(a) + F.abs(b)), lambda a, b: np.abs(a - b) / (np.abs(a) + np.abs(b)), 1),
 }
 _MAXED = {"far"}
+# One-sided sums change places when the pair is turned round; they are asked for together.
+_STATS["left"] = (lambda a, b: a, lambda a, b: a + 0 * b, 1)
+_STATS["right"] = (lambda a, b: b, lambda a, b: b + 0 * a, 1)
+_TURNED = {"left": "right", "right": "left"}
 
 
 def _combine(stat: str, col: Column) -> Column:
@@ -89,35 +96,83 @@ def _block_pairs(base: DataFrame, stats: Sequence[str], n_keys: int, longest: in
     names = list(stats)
 
     def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, rows in group.groupby("k", sort=False):
-            a, b = rows[rows["left"]], rows[~rows["left"]]
-            if a.empty or b.empty:
-                continue
-            mi, mj = a["m"].to_numpy()[:, None], b["m"].to_numpy()[None, :]
-            va, vb = a["v"].to_numpy()[:, None], b["v"].to_numpy()[None, :]
-            same = rows["x"].iat[0] == rows["y"].iat[0]
-            keep = mi < mj if same else mi != mj
-            swap = np.broadcast_to(mi > mj, keep.shape)[keep]
-            gi, gj = np.broadcast_to(mi, keep.shape)[keep], np.broadcast_to(mj, keep.shape)[keep]
-            out = {"i": np.where(swap, gj, gi), "j": np.where(swap, gi, gj)}
-            for s in names:
-                got = np.broadcast_to(_STATS[s][1](va, vb), keep.shape)[keep]
-                out[s] = np.where(swap, _STATS[s][2] * got, got)
-            found.append(pd.DataFrame(out))
-        if not found:
+        a, b = group[group["left"]], group[~group["left"]]
+        if a.empty or b.empty:
             return pd.DataFrame({c: [] for c in ["i", "j", *names]})
-        how = {s: "max" if s in _MAXED else "sum" for s in names}
-        return pd.concat(found).groupby(["i", "j"], as_index=False, sort=False).agg(how)
+        same = bool(group["x"].iat[0] == group["y"].iat[0])
+        if set(names) <= set(_PRODUCTS) and a["m"].nunique() * b["m"].nunique() <= _DENSE_CELLS:
+            return _dense_products(a, b, names, same)
+        return _outer_by_key(a, b, names, same)
 
     return left.unionByName(right).groupBy("chunk", "x", "y").applyInPandas(kernel, schema)
 
 
+# Statistics that are sums of products of one-sided values: name -> list of (sign, left power, right power).
+_PRODUCTS = {"n": [(1, 0, 0)], "dot": [(1, 1, 1)], "sum": [(1, 1, 0), (1, 0, 1)], "diff": [(1, 1, 0), (-1, 0, 1)], "left": [(1, 1, 0)], "right": [(1, 0, 1)]}
+
+
+def _ordered(mi: np.ndarray, mj: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which cells of a block hold a wanted pair, and in which of them the pair is the wrong way round."""
+    keep = mi < mj if same else mi != mj
+    return keep, mi > mj
+
+
+def _dense_products(a: pd.DataFrame, b: pd.DataFrame, names: list[str], same: bool) -> pd.DataFrame:
+    """Block statistics as matrix products over the block's keys."""
+    keys = pd.Index(pd.unique(pd.concat([a["k"], b["k"]])))
+    side = []
+    for rows in (a, b):
+        members = np.sort(rows["m"].unique())
+        held = np.zeros((len(keys), len(members)))
+        worth = np.zeros_like(held)
+        at = keys.get_indexer(rows["k"]), np.searchsorted(members, rows["m"].to_numpy())
+        held[at], worth[at] = 1.0, rows["v"].to_numpy()
+        side.append((members, (held, worth)))
+    (mi, left), (mj, right) = side
+    shared = left[0].T @ right[0]
+    keep, swap = _ordered(mi[:, None], mj[None, :], same)
+    keep = keep & (shared > 0)
+    swap = np.broadcast_to(swap, keep.shape)[keep]
+    r, c = np.nonzero(keep)
+    out = {"i": np.where(swap, mj[c], mi[r]), "j": np.where(swap, mi[r], mj[c])}
+    got = {s: sum(sign * (left[p].T @ right[q]) for sign, p, q in _PRODUCTS[s])[keep] for s in names}
+    for s in names:
+        out[s] = np.where(swap, _STATS[s][2] * got[_TURNED.get(s, s)], got[s])
+    return pd.DataFrame(out)
+
+
+def _outer_by_key(a: pd.DataFrame, b: pd.DataFrame, names: list[str], same: bool) -> pd.DataFrame:
+    """Block statistics key by key, combined every few keys so that memory stays bounded."""
+    how = {s: "max" if s in _MAXED else "sum" for s in names}
+    done = pd.DataFrame({c: [] for c in ["i", "j", *names]})
+    pending = []
+    right = dict(list(b.groupby("k", sort=False)))
+    for step, (k, rows) in enumerate(a.groupby("k", sort=False), 1):
+        if k in right:
+            other = right[k]
+            mi, mj = rows["m"].to_numpy()[:, None], other["m"].to_numpy()[None, :]
+            va, vb = rows["v"].to_numpy()[:, None], other["v"].to_numpy()[None, :]
+            keep, swap = _ordered(mi, mj, same)
+            swap = swap[keep]
+            gi, gj = np.broadcast_to(mi, keep.shape)[keep], np.broadcast_to(mj, keep.shape)[keep]
+            out = {"i": np.where(swap, gj, gi), "j": np.where(swap, gi, gj)}
+            got = {s: np.broadcast_to(_STATS[s][1](va, vb), keep.shape)[keep] for s in names}
+            for s in names:
+                out[s] = np.where(swap, _STATS[s][2] * got[_TURNED.get(s, s)], got[s])
+            pending.append(pd.DataFrame(out))
+        if pending and step % _KEYS_PER_STEP == 0:
+            done = pd.concat([d for d in [done, *pending] if len(d)] or [done]).groupby(["i", "j"], as_index=False, sort=False).agg(how)
+            pending = []
+    if pending:
+        done = pd.concat([d for d in [done, *pending] if len(d)] or [done]).groupby(["i", "j"], as_index=False, sort=False).agg(how)
+    return done
+
+
 def mirror(pairs: DataFrame, stats: Sequence[str]) -> DataFrame:
     """Both directions of each unordered pair."""
     def side(i: str, j: str, forward: bool) -> Column:
         fields = [F.col(i).alias("i"), F.col(j).alias("j")]
-        fields += [(F.col(s) if forward else F.col(s) * _STATS[s][2]).alias(s) for s in stats]
+        fields += [(F.col(s) if forward else F.col(_TURNED.get(s, s)) * _STATS[s][2]).alias(s) for s in stats]
         return F.struct(*fields)
 
     return pairs.select(F.explode(F.array(side("i", "j", True), side("j", "i", False))).alias("p")).select("p.*")

@@ -116,3 +116,18 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> Data
 
 def steps_total(counts: DataFrame) -> int:
     return counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n")).first()["n"]
+
+
+def first_free_places(owners: DataFrame, owner: str, taken: DataFrame, k: int, n_places: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(owner, place)``: each owner's first ``k`` places of 0 .. n_places-1 that are not in ``taken``.
+
+    A taken place moves the k-th free one on only if it lies before it, so an owner needs k places plus
+    that many: the result is linear in owners x k plus the taken rows, never owners x places.
+    """
+    sizes = taken.groupBy(owner).agg(F.count(F.lit(1)).alias("n"))
+    near = taken.join(sizes, owner).filter(F.col("place") < F.col("n") + k).select(owner, "place")
+    blocking = position_in_group(near, [owner], [F.asc("place")], "j", hot_rows).filter(F.col("place") - (F.col("j") - 1) < k)
+    blocked = blocking.groupBy(owner).agg(F.count(F.lit(1)).alias("m"))
+    last = F.least(F.coalesce("m", F.lit(0)) + (k - 1), F.lit(n_places - 1)).cast("bigint")
+    slots = owners.select(owner).join(blocked, owner, "left").select(owner, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("place"))
+    return slots.join(blocking.select(owner, "place"), [owner, "place"], "left_anti")

@@ -58,40 +58,55 @@ def explode_vector(df: DataFrame, keys: list[str], vec: str = "vec", digits: int
     return long if digits is None else long.withColumn("value", F.round("value", digits) + F.lit(0.0))
 
 
+def _vector_blocks(df: DataFrame, own: str, other: str, n_own: int, n_other: int) -> DataFrame:
+    """Each row placed in its own block and copied to every block of the other side."""
+    return df.select(
+        "id", as_double("vec").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own)
+    ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+
 def block_pairs(
     left: DataFrame,
     right: DataFrame,
     score: Callable[[np.ndarray, np.ndarray], np.ndarray],
     k: int | None = None,
     keep: Callable[[np.ndarray], np.ndarray] | None = None,
+    mask: DataFrame | None = None,
     exclude_self: bool = False,
+    digits: int = 9,
     block: int = _BLOCK,
 ) -> DataFrame:
-    """``(i, j, score)`` of two vector tables ``(id, vec)`` by blocks of at most about ``block`` rows.
+    """``(i, j, score)`` of two vector tables ``(id, vec)`` by blocks of about ``block`` rows a side.
 
-    ``score`` maps two matrices to the block of scores. With ``k`` every task keeps only its own k best
-    per i before the shuffle (ties by j) and the final top-k picks among them.
+    ``score`` maps two matrices to the block of scores; ``mask`` holds pairs ``(i, j)`` to leave out. With
+    ``k`` every task keeps only its own k best per i before the shuffle (ties by j), the final top-k picks
+    among them. Scores are rounded to ``digits`` so that block shapes cannot reorder equal ones.
     """
-    n_left, n_right = left.count(), right.count()
-    nx, ny = max(1, ceil(n_left / block)), max(1, ceil(n_right / block))
-    x = left.select(F.col("id"), as_double("vec").alias("vec")).select(
-        F.pmod(F.xxhash64("id"), F.lit(nx)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(ny - 1))).alias("y"), "id", "vec"
-    )
-    y = right.select(F.col("id"), as_double("vec").alias("vec")).select(
-        F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("x"), F.pmod(F.xxhash64("id"), F.lit(ny)).cast("int").alias("y"), "id", "vec"
-    )
+    nx, ny = max(1, ceil(left.count() / block)), max(1, ceil(right.count() / block))
+    x = _vector_blocks(left, "x", "y", nx, ny)
+    y = _vector_blocks(right.toDF(*right.columns), "y", "x", ny, nx)
+    if mask is not None:
+        hidden = mask.withColumn("y", F.pmod(F.xxhash64("j"), F.lit(ny)).cast("int"))
+        hidden = hidden.groupBy(F.col("i").alias("id"), "y").agg(F.collect_set("j").alias("hidden"))
+        x = x.join(hidden, ["id", "y"], "left")
     kind_i = left.schema["id"].dataType.simpleString()
     kind_j = right.schema["id"].dataType.simpleString()
+    masked = mask is not None
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"i": [], "j": [], "score": []})
         b = b.sort_values("id")
         ids_i, ids_j = a["id"].to_numpy(), b["id"].to_numpy()
-        got = score(np.stack(a["vec"].to_list()), np.stack(b["vec"].to_list()))
+        got = np.round(score(np.stack(a["vec"].to_list()), np.stack(b["vec"].to_list())), digits)
         ok = np.ones(got.shape, dtype=bool) if keep is None else keep(got)
         if exclude_self:
             ok &= ids_i[:, None] != ids_j[None, :]
+        if masked:
+            for row, out in enumerate(a["hidden"].to_list()):
+                if out is not None:
+                    at = np.searchsorted(ids_j, out).clip(max=len(ids_j) - 1)
+                    ok[row, at[ids_j[at] == out]] = False
         if k is None or k >= got.shape[1]:
             r, c = np.nonzero(ok)
         else:
@@ -105,6 +120,15 @@ def block_pairs(
     return pairs if k is None else top_k(pairs, ["i"], [F.desc("score"), F.asc("j")], k)
 
 
+def dense_rows(long: DataFrame, owner: str, index: str, value: str, width: int) -> DataFrame:
+    """``(id, vec)`` from long form, for a checked, bounded number of columns ``width``."""
+    held = long.groupBy(F.col(owner).alias("id")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(index).cast("int"), F.col(value).cast("double")))).alias("m")
+    )
+    cells = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)))
+    return held.select("id", cells.alias("vec"))
+
+
 def cosine_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     def unit(m: np.ndarray) -> np.ndarray:
         length = np.linalg.norm(m, axis=1, keepdims=True)

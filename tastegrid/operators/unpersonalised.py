@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tastegrid.functions.ranking import HOT_ROWS, dense_index, position_in_group, running_total, top_k
+from tastegrid.functions.ranking import HOT_ROWS, dense_index, first_free_places, running_total, top_k
 from tastegrid.operators.sampling import draw_unseen
 
 
@@ -25,28 +25,13 @@ def long_tail(train: DataFrame, ratio: float = 0.8) -> DataFrame:
 
 
 def most_popular(train: DataFrame, k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each user's ``k`` most popular unseen items; a user whose profile leaves fewer than k + 1 gets none.
-
-    Places in the popularity order are used instead of the item list: a profile item moves the list on by
-    one only if it lies before the k-th unseen place. So a user needs k plus that many places, and the work
-    is linear in users x k plus the training rows.
-    """
+    """Each user's ``k`` most popular unseen items; a user whose profile leaves fewer than k + 1 gets none."""
     ranked = dense_index(item_popularity(train), [F.desc("pop"), F.asc("item")], "place")
     n_items = ranked.count()
     seen = train.select("user", "item").distinct()
-    sizes = seen.groupBy("user").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") + k < n_items)
-    near = (
-        seen.join(ranked.select("item", "place"), "item").join(sizes, "user").filter(F.col("place") < F.col("n") + k)
-    ).select("user", "place")
-    blocking = position_in_group(near, ["user"], [F.asc("place")], "j", hot_rows).filter(F.col("place") - (F.col("j") - 1) < k)
-    blocked = blocking.groupBy("user").agg(F.count(F.lit(1)).alias("m"))
-    slots = (
-        sizes.select("user")
-        .join(blocked, "user", "left")
-        .select("user", F.explode(F.sequence(F.lit(0), F.coalesce("m", F.lit(0)).cast("int") + (k - 1))).alias("place"))
-        .withColumn("place", F.col("place").cast("bigint"))
-    )
-    free = slots.join(blocking.select("user", "place"), ["user", "place"], "left_anti").join(ranked, "place")
+    users = seen.groupBy("user").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") + k < n_items).select("user")
+    taken = seen.join(users, "user", "left_semi").join(ranked.select("item", "place"), "item").select("user", "place")
+    free = first_free_places(users, "user", taken, k, n_items, hot_rows).join(ranked, "place")
     return top_k(free.select("user", "item", F.col("pop").cast("double").alias("score"), "place"), ["user"], [F.asc("place")], k).drop("place")
 
 
