@@ -129,6 +129,20 @@ def dense_rows(long: DataFrame, owner: str, index: str, value: str, width: int)
     return held.select("id", cells.alias("vec"))
 
 
+def block_totals(table: DataFrame, total: Callable[[np.ndarray, np.ndarray], float], block: int = _BLOCK) -> DataFrame:
+    """(total): one number per pair of blocks of a vector table, all ordered pairs and self pairs in it."""
+    n = max(1, ceil(table.count() / block))
+    x = _vector_blocks(table, "x", "y", n, n)
+    y = _vector_blocks(table.toDF(*table.columns), "y", "x", n, n)
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"total": []})
+        return pd.DataFrame({"total": [float(total(np.stack(a["vec"].to_list()), np.stack(b["vec"].to_list())))]})
+
+    return x.groupBy("x", "y").cogroup(y.groupBy("x", "y")).applyInPandas(kernel, "total double")
+
+
 def cosine_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     def unit(m: np.ndarray) -> np.ndarray:
         length = np.linalg.norm(m, axis=1, keepdims=True)

@@ -4,4 +4,5 @@ from tastegrid.plans import (  # noqa: F401
     prepare_queries,
     metric_queries,
     recommend_queries,
+    graph_queries,
 )
