@@ -5,4 +5,8 @@ from tastegrid.plans import (  # noqa: F401
     metric_queries,
     recommend_queries,
     graph_queries,
+    text_queries,
+    knowledge_queries,
+    io_queries,
+    result_queries,
 )
