@@ -1 +1,8 @@
 """Recommender-system data engine: every operator is a function from DataFrames to a DataFrame."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

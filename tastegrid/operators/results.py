@@ -8,6 +8,7 @@ from math import erfc, exp, inf, lgamma, log, nan, sqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from tastegrid.functions.ranking import running_total
 
@@ -54,12 +55,12 @@ def wilcoxon_two_sided(w: float, n: int, ties: float) -> float:
     return erfc(abs(w - n * (n + 1) / 4) / spread / sqrt(2.0)) if spread > 0 else nan
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) for a, b in zip(t, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _w_p(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([wilcoxon_two_sided(a, int(b), c) for a, b, c in zip(w, n, ties)])
 

@@ -64,15 +64,17 @@ def io03(spark, sf):
     return io.read_split_hierarchy(spark, path)
 
 
-@query("io03_read_nested_folders", "SELECT user, item, rating, ts, 0 AS test_fold, NULL::INTEGER AS val_fold, part FROM holdout")
+@query("io03_read_nested_folders", """WITH t AS (SELECT *, row_number() OVER (PARTITION BY user ORDER BY ts, item) AS p, count(*) OVER (PARTITION BY user) AS n FROM train)
+    SELECT user, item, rating, ts, 0 AS test_fold, 0 AS val_fold, CASE WHEN p > floor(n * (1 - 0.25::DOUBLE)) THEN 'val' ELSE 'train' END AS part FROM t
+    UNION ALL SELECT user, item, rating, ts, 0, -1, 'test' FROM test""")
 def io03_folders(spark, sf):
-    root = fresh_path(spark, "io03n")
-    for part in ("train", "test"):
-        io.write_tsv(sp.part_of(fx.holdout(spark, sf), part).select(*_RATED), f"{root}/0/{part}.tsv")
-    return io.read_nested_folders(spark, root)
+    root, split = fresh_path(spark, "io03n"), sp.nested(fx.holdout(spark, sf), 0.25)
+    for part, folder in (("train", "0/0"), ("val", "0/0"), ("test", "0")):
+        io.write_tsv(sp.part_of(split, part).select(*_RATED), f"{root}/{folder}/{part}.tsv")
+    return io.read_nested_folders(spark, root).na.fill(-1, ["val_fold"])
 
 
-@query("io04_write_split_hierarchy", f"SELECT test_fold, val_fold, part, count(*) AS rows, sum(rating) AS total FROM ({_NESTED.replace('WITH f AS', 'WITH f AS')}) GROUP BY ALL")
+@query("io04_write_split_hierarchy", f"SELECT test_fold, val_fold, part, count(*) AS rows, sum(rating) AS total FROM ({_NESTED}) GROUP BY ALL")
 def io04(spark, sf):
     path = fresh_path(spark, "io04")
     io.write_split_hierarchy(_nested(spark, sf).select(*_RATED, "test_fold", "val_fold", "part"), path)
