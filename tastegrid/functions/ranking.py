@@ -21,21 +21,33 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, o
 
 
 def position_in_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "pos", hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    out: str = "pos",
+    hot_rows: int = HOT_ROWS,
+    size: str | None = None,
 ) -> DataFrame:
-    """1-based position of each row in its group.
+    """1-based position of each row in its group and, as ``size``, the rows of the group.
 
-    Group sizes are counted first (with map-side combine). Ordinary groups use one window. Groups above
-    ``hot_rows`` are range-partitioned on (keys, order) so a single key is spread over tasks; positions
-    are then local position plus the rows of the same key in earlier ranges.
+    Group sizes are counted first (with map-side combine). Ordinary groups use one window, so position and
+    size cost one shuffle. Groups above ``hot_rows`` are range-partitioned on (keys, order) so a single key
+    is spread over tasks; positions are then local position plus the rows of the same key in earlier ranges.
     """
     keys = list(keys)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).drop("_n")
-    w = Window.partitionBy(*keys).orderBy(*order)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+
+    def windowed(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return placed if size is None else placed.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
     if hot.isEmpty():
-        return df.withColumn(out, F.row_number().over(w))
-    cold = df.join(hot, keys, "left_anti").withColumn(out, F.row_number().over(w))
-    return cold.unionByName(_range_positions(df.join(hot, keys, "left_semi"), keys, order, out))
+        return windowed(df)
+    hot = materialise(hot, "hot")
+    spread = _range_positions(df.join(hot.drop("_n"), keys, "left_semi"), keys, order, out)
+    if size is not None:
+        spread = spread.join(hot.withColumnRenamed("_n", size), keys)
+    return windowed(df.join(hot, keys, "left_anti")).unionByName(spread)
 
 
 def _range_positions(df: DataFrame, keys: list[str], order: Sequence[Column], out: str) -> DataFrame:
@@ -125,7 +137,7 @@ def first_free_places(owners: DataFrame, owner: str, taken: DataFrame, k: int, n
     that many: the result is linear in owners x k plus the taken rows, never owners x places.
     """
     sizes = taken.groupBy(owner).agg(F.count(F.lit(1)).alias("n"))
-    near = taken.join(sizes, owner).filter(F.col("place") < F.col("n") + k).select(owner, "place")
+    near = materialise(taken.join(sizes, owner).filter(F.col("place") < F.col("n") + k).select(owner, "place"), "near")
     blocking = position_in_group(near, [owner], [F.asc("place")], "j", hot_rows).filter(F.col("place") - (F.col("j") - 1) < k)
     blocked = blocking.groupBy(owner).agg(F.count(F.lit(1)).alias("m"))
     last = F.least(F.coalesce("m", F.lit(0)) + (k - 1), F.lit(n_places - 1)).cast("bigint")

@@ -1,5 +1,6 @@
-"""Latent factor recommenders on MLlib and on distributed block algebra. Scoring is
-:func:`tastegrid.operators.recommend.factor_recs`: blocked products with the training items masked."""
+"""Fitted recommenders: latent factors on MLlib and on distributed algebra, and sparse linear item weights.
+
+Factors are scored by :func:`tastegrid.operators.recommend.factor_recs`: blocked products, training items masked."""
 
 from __future__ import annotations
 
@@ -14,9 +15,11 @@ from pyspark.ml.regression import FMRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from tastegrid.functions.hashing import md5_unit
+from tastegrid.functions.pairs import HOT_PROFILE, pair_stats
+from tastegrid.functions.ranking import top_k
 from tastegrid.functions.vectors import sum_vectors
 from tastegrid.operators.clean import id_map
-from tastegrid.operators.recommend import dot_product_recs, factor_recs
+from tastegrid.operators.recommend import dot_product_recs, factor_recs, item_knn_scores, top_k_unseen
 from tastegrid.session import materialise
 
 
@@ -169,3 +172,80 @@ def factorisation_machine(train: DataFrame, attributes: DataFrame, k: int, facto
     iv = sums.select(F.col("item").alias("id"), F.array(*[f"s{c}" for c in range(factors)]).alias("vec"), (F.col("bias") + inner).alias("bias"))
     recs = dot_product_recs(uv.select("id", "vec"), iv.select("id", "vec"), train, k, uv.select("id", "bias"), iv.select("id", "bias"))
     return recs.withColumn("score", F.col("score") + F.lit(float(model.intercept)))
+
+
+# --- sparse linear item weights -----------------------------------------------------------------------
+
+
+def _solve_item(l1: float, l2: float, tolerance: float):
+    """Non-negative elastic net of one item over its active items, by coordinate descent on their products."""
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        own = group[group["l"] == group["j"]].sort_values("j")
+        items = own["j"].to_numpy()
+        at = {j: n for n, j in enumerate(items)}
+        g = np.zeros((len(items), len(items)))
+        off = group[group["l"] != group["j"]]
+        a, b = off["j"].map(at).to_numpy(), off["l"].map(at).to_numpy()
+        g[a, b] = g[b, a] = off["g"].to_numpy()
+        square, pull = own["g"].to_numpy(), own["pull"].to_numpy()
+        np.fill_diagonal(g, square)
+        w = np.zeros(len(items))
+        slope = pull - l1
+        for _ in range(10_000):
+            largest = 0.0
+            for n in range(len(items)):
+                new = max(0.0, (slope[n] + square[n] * w[n]) / (square[n] + l2))
+                change = new - w[n]
+                if change:
+                    slope -= g[:, n] * change
+                    w[n] = new
+                    largest = max(largest, abs(change))
+            if largest < tolerance:
+                break
+        held = w > 0
+        return pd.DataFrame({"i": group["i"].iat[0], "j": items[held], "w": w[held]})
+
+    return solve
+
+
+def slim_weights(
+    train: DataFrame, l1: float, l2: float, k: int, batch: int = 40, tolerance: float = 1e-6, hot_profile: int = HOT_PROFILE
+) -> DataFrame:
+    """(i, j, sim, rank): item i regressed on the other items j with non-negative elastic-net weights, k best kept.
+
+    Each item starts from the ``batch`` items that pull most at zero weights. The small problems over active items
+    are solved in parallel; then every inactive item's slope is checked over all the data, and those that would
+    still enter are added, until none is left. So the batch bounds a group's size, not the result.
+    """
+    x = materialise(train.select("user", "item", F.col("rating").cast("double").alias("r")), "slim")
+    gram = materialise(pair_stats(x, "user", "item", "r", ["dot"], hot_profile=hot_profile).withColumnRenamed("dot", "g"), "slim")
+    square = materialise(x.groupBy(F.col("item").alias("j")).agg(F.sum(F.col("r") * F.col("r")).alias("q")), "slim")
+    enough = 1e-5 * max(1.0, l1)
+    strongest = [F.desc("excess"), F.asc("j")]
+    start = gram.select("i", "j", (F.col("g") - l1).alias("excess")).filter(F.col("excess") > enough)
+    active = top_k(start, ["i"], strongest, batch).select("i", "j")
+    while True:
+        active = materialise(active, "slim")
+        own = active.join(square, "j").join(gram.withColumnRenamed("g", "pull"), ["i", "j"]).select("i", "j", F.col("j").alias("l"), F.col("q").alias("g"), "pull")
+        couples = active.join(active.select("i", F.col("j").alias("l")), "i").filter(F.col("j") < F.col("l"))
+        couples = couples.join(gram.select(F.col("i").alias("j"), F.col("j").alias("l"), "g"), ["j", "l"]).select("i", "j", "l", "g", F.lit(0.0).alias("pull"))
+        kind = train.schema["item"].dataType.simpleString()
+        weights = own.unionByName(couples).groupBy("i").applyInPandas(_solve_item(l1, l2, tolerance), f"i {kind}, j {kind}, w double")
+        weights = materialise(weights, "slim")
+        fitted = x.join(weights.withColumnRenamed("j", "item"), "item").select("user", "i", (-F.col("r") * F.col("w")).alias("e"))
+        left = fitted.unionByName(x.select("user", F.col("item").alias("i"), F.col("r").alias("e"))).groupBy("user", "i").agg(F.sum("e").alias("e"))
+        slopes = left.join(x.withColumnRenamed("item", "j"), "user").filter(F.col("i") != F.col("j")).groupBy("i", "j").agg(F.sum(F.col("e") * F.col("r")).alias("s"))
+        late = slopes.select("i", "j", (F.col("s") - l1).alias("excess")).filter(F.col("excess") > enough).join(active, ["i", "j"], "left_anti")
+        late = materialise(top_k(late, ["i"], strongest, batch).select("i", "j"), "slim")
+        if late.isEmpty():
+            break
+        active = active.unionByName(late)
+    return top_k(weights.withColumnRenamed("w", "sim"), ["i"], [F.desc("sim"), F.asc("j")], k)
+
+
+def slim(train: DataFrame, k: int, alpha: float, l1_ratio: float, neighbours: int) -> DataFrame:
+    """Top-k recommendations by sparse linear weights; the penalties grow with the number of users."""
+    n = train.select("user").distinct().count()
+    weights = slim_weights(train, n * alpha * l1_ratio, n * alpha * (1 - l1_ratio), neighbours)
+    return top_k_unseen(item_knn_scores(train, weights), train, k)

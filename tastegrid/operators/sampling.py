@@ -99,7 +99,7 @@ def first_unseen(
     seed: int,
     tag: str,
     out: str = "negative",
-    draws: int = 8,
+    draws: int = 3,
 ) -> DataFrame:
     """Adds to each row a uniform item that its owner has not seen. ``seen`` is ``(owner, item)``.
 

@@ -19,10 +19,6 @@ def _part(is_test: Column) -> Column:
     return F.when(is_test, F.lit("test")).otherwise(F.lit("train"))
 
 
-def _with_size(df: DataFrame, keys: Sequence[str], out: str = "_n") -> DataFrame:
-    return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), list(keys))
-
-
 def _train_size(ratio: float) -> Column:
     return F.floor(F.col("_n") * F.lit(1 - ratio))
 
@@ -39,10 +35,12 @@ def best_timestamp_value(inter: DataFrame, min_below: int = 1, min_over: int = 1
     A user is valid on one interval (lo, hi] of timestamps, so a sweep of +1 / -1 over the distinct
     timestamps replaces the timestamps x users scan.
     """
-    placed = _with_size(position_in_group(inter.select("user", "item", "ts"), ["user"], [F.asc("ts"), F.asc("item")], "_p", hot_rows), ["user"])
-    low = F.max(F.when(F.col("_p") == min_below, F.col("ts"))) if min_below > 0 else F.min("ts") - 1
+    placed = position_in_group(inter.select("user", "item", "ts"), ["user"], [F.asc("ts"), F.asc("item")], "_p", hot_rows, size="_n")
+    low = F.max(F.when(F.col("_p") == min_below, F.col("ts"))) if min_below > 0 else F.lit(None).cast("bigint")
     high = F.max(F.when(F.col("_p") == F.col("_n") - min_over + 1, F.col("ts"))) if min_over > 0 else F.lit(None).cast("bigint")
     spans = placed.groupBy("user").agg(low.alias("lo"), high.alias("hi"))
+    if min_below == 0:
+        spans = spans.withColumn("lo", inter.agg(F.min("ts") - 1).scalar())
     spans = spans.filter(F.col("lo").isNotNull())
     spans = spans.filter(F.col("lo") < F.col("hi")) if min_over > 0 else spans
     steps = spans.select(F.explode(F.array(F.struct(F.col("lo").alias("ts"), F.lit(1).alias("d")), F.struct(F.col("hi").alias("ts"), F.lit(-1).alias("d")))).alias("e")).select("e.*")
@@ -60,7 +58,7 @@ def best_timestamp(inter: DataFrame, min_below: int = 1, min_over: int = 1) -> D
 
 def temporal_holdout(inter: DataFrame, ratio: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each user's latest rows, past floor(n * (1 - ratio)), are the test part."""
-    placed = position_in_group(_with_size(inter, ["user"]), ["user"], [F.asc("ts"), F.asc("item")], "_p", hot_rows)
+    placed = position_in_group(inter, ["user"], [F.asc("ts"), F.asc("item")], "_p", hot_rows, size="_n")
     return placed.withColumn("part", _part(F.col("_p") > _train_size(ratio))).drop("_p", "_n")
 
 
@@ -73,18 +71,18 @@ def temporal_leave_n_out(inter: DataFrame, n: int, hot_rows: int = HOT_ROWS) ->
 def _shuffled(inter: DataFrame, folds: int, seed: int, hot_rows: int) -> DataFrame:
     folded = inter.withColumn("test_fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     key = md5_key(F.lit(seed), "test_fold", "user", "item")
-    return position_in_group(folded, ["test_fold", "user"], [key, F.asc("item")], "_p", hot_rows)
+    return position_in_group(folded, ["test_fold", "user"], [key, F.asc("item")], "_p", hot_rows, size="_n")
 
 
 def random_subsampling(inter: DataFrame, folds: int, ratio: float, seed: int = 42, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per fold and user, n - floor(n * (1 - ratio)) random rows are the test part."""
-    placed = _shuffled(_with_size(inter, ["user"]), folds, seed, hot_rows)
+    placed = _shuffled(inter, folds, seed, hot_rows)
     return placed.withColumn("part", _part(F.col("_p") <= F.col("_n") - _train_size(ratio))).drop("_p", "_n")
 
 
 def random_leave_n_out(inter: DataFrame, folds: int, n: int, seed: int = 42, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per fold and user, ``n`` random rows are the test part."""
-    return _shuffled(inter, folds, seed, hot_rows).withColumn("part", _part(F.col("_p") <= n)).drop("_p")
+    return _shuffled(inter, folds, seed, hot_rows).withColumn("part", _part(F.col("_p") <= n)).drop("_p", "_n")
 
 
 def assign_folds(inter: DataFrame, k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -104,7 +102,7 @@ def nested(split: DataFrame, ratio: float, hot_rows: int = HOT_ROWS) -> DataFram
     """A temporal hold-out of every train part: its latest rows become 'val'."""
     keys = ["user", "test_fold"] if "test_fold" in split.columns else ["user"]
     train = split.filter(F.col("part") == "train")
-    placed = position_in_group(_with_size(train, keys), keys, [F.asc("ts"), F.asc("item")], "_p", hot_rows)
+    placed = position_in_group(train, keys, [F.asc("ts"), F.asc("item")], "_p", hot_rows, size="_n")
     inner = placed.withColumn("part", F.when(F.col("_p") > _train_size(ratio), F.lit("val")).otherwise(F.lit("train")))
     return inner.drop("_p", "_n").unionByName(split.filter(F.col("part") != "train"))
 
@@ -125,7 +123,7 @@ def global_quantile_split(inter: DataFrame, ratios: Sequence[float]) -> DataFram
 
 def per_user_ratio_split(inter: DataFrame, seed: int = 42, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Shuffled rows of a user: under ten, one for validation and one for test; else a fifth, halved."""
-    placed = position_in_group(_with_size(inter, ["user"]), ["user"], [md5_key(F.lit(seed), "user", "item"), F.asc("item")], "_p", hot_rows)
+    placed = position_in_group(inter, ["user"], [md5_key(F.lit(seed), "user", "item"), F.asc("item")], "_p", hot_rows, size="_n")
     n, p = F.col("_n"), F.col("_p")
     held = F.when(n < 10, F.lit(2)).otherwise(F.floor(n * F.lit(0.2)).cast("int"))
     val = F.when(n < 10, F.lit(1)).otherwise((held / 2).cast("int"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tastegrid.functions.ranking import HOT_ROWS, dense_index, first_free_places, running_total, top_k
 from tastegrid.operators.sampling import draw_unseen
+from tastegrid.session import materialise
 
 
 def item_popularity(train: DataFrame) -> DataFrame:
@@ -26,9 +27,9 @@ def long_tail(train: DataFrame, ratio: float = 0.8) -> DataFrame:
 
 def most_popular(train: DataFrame, k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each user's ``k`` most popular unseen items; a user whose profile leaves fewer than k + 1 gets none."""
-    ranked = dense_index(item_popularity(train), [F.desc("pop"), F.asc("item")], "place")
+    seen = materialise(train.select("user", "item").distinct(), "seen")
+    ranked = dense_index(seen.groupBy("item").agg(F.count(F.lit(1)).alias("pop")), [F.desc("pop"), F.asc("item")], "place")
     n_items = ranked.count()
-    seen = train.select("user", "item").distinct()
     users = seen.groupBy("user").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") + k < n_items).select("user")
     taken = seen.join(users, "user", "left_semi").join(ranked.select("item", "place"), "item").select("user", "place")
     free = first_free_places(users, "user", taken, k, n_items, hot_rows).join(ranked, "place")

@@ -51,7 +51,7 @@ def interactions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def holdout(spark: SparkSession, sf: str) -> DataFrame:
-    return written(spark, sf, "holdout", lambda: sp.temporal_holdout(interactions(spark, sf), 0.2))
+    return written(spark, sf, "holdout", lambda: sp.temporal_holdout(materialise(interactions(spark, sf), "interactions"), 0.2))
 
 
 def train(spark: SparkSession, sf: str) -> DataFrame:

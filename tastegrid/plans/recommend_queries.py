@@ -290,6 +290,7 @@ def _model_recs(name: str, build):
         return _recs(build(spark, sf))
 
 
+_model_recs("rc20_slim", lambda spark, sf: fm.slim(fx.train(spark, sf), 20, 0.04, 0.5, 100))
 _model_recs("rc21_pure_svd", lambda spark, sf: fm.pure_svd(fx.train(spark, sf), 20))
 _model_recs("rc22_implicit_als", lambda spark, sf: fm.implicit_als(fx.train(spark, sf), 20, alpha=10.0))
 _model_recs("rc22_implicit_als_log", lambda spark, sf: fm.implicit_als(fx.train(spark, sf), 20, scaling="log"))
