@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 HOT_PROFILE = 2_000
 _KEYS_PER_GROUP = 64
 _KEYS_PER_STEP = 8
-_BLOCK_MEMBERS = 500
+# A block holds about this many members, but not so few that a long profile has under _PROFILE_PART of it.
+_BLOCK_MEMBERS = 1_000
+_PROFILE_PART = 200
 _DENSE_CELLS = 4_000_000
 
 # name -> (column expression of the two values, the same on numpy arrays, sign under exchange of the pair)
@@ -80,7 +82,8 @@ def _joined_pairs(base: DataFrame, stats: Sequence[str]) -> DataFrame:
 
 
 def _block_pairs(base: DataFrame, stats: Sequence[str], n_keys: int, longest: int) -> DataFrame:
-    blocks = max(1, ceil(longest / _BLOCK_MEMBERS))
+    members = base.agg(F.approx_count_distinct("m")).first()[0]
+    blocks = max(1, min(ceil(members / _BLOCK_MEMBERS), ceil(longest / _PROFILE_PART)))
     chunks = max(1, ceil(n_keys / _KEYS_PER_GROUP))
     placed = base.withColumn("block", F.pmod(F.xxhash64("m"), F.lit(blocks)).cast("int")).withColumn(
         "chunk", F.pmod(F.xxhash64("k"), F.lit(chunks)).cast("int")

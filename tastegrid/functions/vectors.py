@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import ceil
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.functions.ranking import top_k
 
-_BLOCK = 1024
+# Rows of a block: enough blocks to keep the cluster busy, but as few copies of every vector as memory allows.
+_LEAST_BLOCK, _MOST_BLOCK = 256, 16_384
+# Rows of a block scored at a time inside a task.
+_SLICE = 1024
 
 
 def as_double(vec: str | Column) -> Column:
@@ -58,6 +61,15 @@ def explode_vector(df: DataFrame, keys: list[str], vec: str = "vec", digits: int
     return long if digits is None else long.withColumn("value", F.round("value", digits) + F.lit(0.0))
 
 
+def _block_counts(left: DataFrame, right: DataFrame, block: int | None) -> tuple[int, int]:
+    """How many blocks each side is cut into. A vector is copied once per block of the other side."""
+    n, m = left.count(), right.count()
+    if block is None:
+        tasks = 4 * left.sparkSession.sparkContext.defaultParallelism
+        block = int(min(_MOST_BLOCK, max(_LEAST_BLOCK, ceil(sqrt(n * m / tasks)))))
+    return max(1, ceil(n / block)), max(1, ceil(m / block))
+
+
 def _vector_blocks(df: DataFrame, own: str, other: str, n_own: int, n_other: int) -> DataFrame:
     """Each row placed in its own block and copied to every block of the other side."""
     return df.select(
@@ -74,15 +86,15 @@ def block_pairs(
     mask: DataFrame | None = None,
     exclude_self: bool = False,
     digits: int = 9,
-    block: int = _BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
-    """``(i, j, score)`` of two vector tables ``(id, vec)`` by blocks of about ``block`` rows a side.
+    """``(i, j, score)`` of two vector tables ``(id, vec)`` by blocks of rows on both sides.
 
     ``score`` maps two matrices to the block of scores; ``mask`` holds pairs ``(i, j)`` to leave out. With
     ``k`` every task keeps only its own k best per i before the shuffle (ties by j), the final top-k picks
     among them. Scores are rounded to ``digits`` so that block shapes cannot reorder equal ones.
     """
-    nx, ny = max(1, ceil(left.count() / block)), max(1, ceil(right.count() / block))
+    nx, ny = _block_counts(left, right, block)
     x = _vector_blocks(left, "x", "y", nx, ny)
     y = _vector_blocks(right.toDF(*right.columns), "y", "x", ny, nx)
     if mask is not None:
@@ -93,20 +105,15 @@ def block_pairs(
     kind_j = right.schema["id"].dataType.simpleString()
     masked = mask is not None
 
-    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"i": [], "j": [], "score": []})
-        b = b.sort_values("id")
-        ids_i, ids_j = a["id"].to_numpy(), b["id"].to_numpy()
-        got = np.round(score(np.stack(a["vec"].to_list()), np.stack(b["vec"].to_list())), digits)
+    def best(ids_i: np.ndarray, vecs: np.ndarray, unseen: list | None, ids_j: np.ndarray, others: np.ndarray) -> pd.DataFrame:
+        got = np.round(score(vecs, others), digits)
         ok = np.ones(got.shape, dtype=bool) if keep is None else keep(got)
         if exclude_self:
             ok &= ids_i[:, None] != ids_j[None, :]
-        if masked:
-            for row, out in enumerate(a["hidden"].to_list()):
-                if out is not None:
-                    at = np.searchsorted(ids_j, out).clip(max=len(ids_j) - 1)
-                    ok[row, at[ids_j[at] == out]] = False
+        for row, out in enumerate(unseen or []):
+            if out is not None:
+                at = np.searchsorted(ids_j, out).clip(max=len(ids_j) - 1)
+                ok[row, at[ids_j[at] == out]] = False
         if k is None or k >= got.shape[1]:
             r, c = np.nonzero(ok)
         else:
@@ -116,6 +123,18 @@ def block_pairs(
             r, c = r[good], c[good]
         return pd.DataFrame({"i": ids_i[r], "j": ids_j[c], "score": got[r, c]})
 
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"i": [], "j": [], "score": []})
+        b = b.sort_values("id")
+        ids_j, others = b["id"].to_numpy(), np.stack(b["vec"].to_list())
+        found = []
+        for at in range(0, len(a), _SLICE):
+            part = a.iloc[at : at + _SLICE]
+            unseen = part["hidden"].to_list() if masked else None
+            found.append(best(part["id"].to_numpy(), np.stack(part["vec"].to_list()), unseen, ids_j, others))
+        return pd.concat(found)
+
     pairs = x.groupBy("x", "y").cogroup(y.groupBy("x", "y")).applyInPandas(kernel, f"i {kind_i}, j {kind_j}, score double")
     return pairs if k is None else top_k(pairs, ["i"], [F.desc("score"), F.asc("j")], k)
 
@@ -129,16 +148,17 @@ def dense_rows(long: DataFrame, owner: str, index: str, value: str, width: int)
     return held.select("id", cells.alias("vec"))
 
 
-def block_totals(table: DataFrame, total: Callable[[np.ndarray, np.ndarray], float], block: int = _BLOCK) -> DataFrame:
+def block_totals(table: DataFrame, total: Callable[[np.ndarray, np.ndarray], float], block: int | None = None) -> DataFrame:
     """(total): one number per pair of blocks of a vector table, all ordered pairs and self pairs in it."""
-    n = max(1, ceil(table.count() / block))
+    n, _ = _block_counts(table, table, block)
     x = _vector_blocks(table, "x", "y", n, n)
     y = _vector_blocks(table.toDF(*table.columns), "y", "x", n, n)
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"total": []})
-        return pd.DataFrame({"total": [float(total(np.stack(a["vec"].to_list()), np.stack(b["vec"].to_list())))]})
+        x, y = np.stack(a["vec"].to_list()), np.stack(b["vec"].to_list())
+        return pd.DataFrame({"total": [float(sum(total(x[at : at + _SLICE], y) for at in range(0, len(x), _SLICE)))]})
 
     return x.groupBy("x", "y").cogroup(y.groupBy("x", "y")).applyInPandas(kernel, "total double")
 

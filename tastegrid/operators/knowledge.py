@@ -36,9 +36,11 @@ def second_hop(triples: DataFrame, more: DataFrame, threshold: int) -> DataFrame
     right = more.select(F.col("s").alias("o1"), F.col("p").alias("p2"), F.col("o").alias("o2"))
     heads = left.groupBy("p1", "o1").agg(F.count(F.lit(1)).alias("c1"))
     tails = right.groupBy("o1", "p2", "o2").agg(F.count(F.lit(1)).alias("c2"))
-    counts = heads.join(tails, "o1").groupBy("p1", "p2", "o2").agg(F.sum(F.col("c1") * F.col("c2")).alias("n"))
-    kept = counts.filter(F.col("n") > threshold).select("p1", "p2", "o2")
-    return left.join(right, "o1").join(kept, ["p1", "p2", "o2"], "left_semi").select("s", "p1", "o1", "p2", "o2")
+    ways = heads.join(tails, "o1")
+    counts = ways.groupBy("p1", "p2", "o2").agg(F.sum(F.col("c1") * F.col("c2")).alias("n"))
+    kept = ways.join(counts.filter(F.col("n") > threshold), ["p1", "p2", "o2"], "left_semi").select("p1", "o1", "p2", "o2", "c2")
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("c2")))
+    return left.join(kept, ["p1", "o1"]).select("s", "p1", "o1", "p2", "o2", copies.alias("_c")).drop("_c")
 
 
 def rare_share_filter(triples: DataFrame, threshold: float, mapped: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastegrid.functions.ranking import top_k
+from tastegrid.functions.ranking import position_in_group
 
 INTERACTIONS = "user long, item long, rating double, ts long"
 
@@ -196,7 +196,7 @@ def read_interaction_embeddings(interactions: DataFrame, vectors: DataFrame, key
 def read_recs(spark: SparkSession, path: str) -> DataFrame:
     """(user, item, score, rank) of ``user  item  score`` rows, best first."""
     rows = _tsv(spark, path, "user long, item long, score double")
-    return top_k(rows, ["user"], [F.desc("score"), F.asc("item")], 2**31 - 1)
+    return position_in_group(rows, ["user"], [F.desc("score"), F.asc("item")], "rank")
 
 
 def read_rec_folder(spark: SparkSession, root: str) -> DataFrame:

@@ -65,7 +65,8 @@ FORMULAS = {
 @pytest.mark.parametrize("stats", [STATS, ["n", "dot", "diff", "sum", "left", "right"]])
 @pytest.mark.parametrize("hot_profile", [4, 10_000])
 def test_pair_stats(ratings, monkeypatch, stats, hot_profile):
-    monkeypatch.setattr(pairs_module, "_BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(pairs_module, "_BLOCK_MEMBERS", 7)
+    monkeypatch.setattr(pairs_module, "_PROFILE_PART", 3)
     monkeypatch.setattr(pairs_module, "_KEYS_PER_GROUP", 5)
     monkeypatch.setattr(pairs_module, "_KEYS_PER_STEP", 2)
     profiles = defaultdict(dict)
