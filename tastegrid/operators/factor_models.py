@@ -156,7 +156,7 @@ def factorisation_machine(train: DataFrame, attributes: DataFrame, k: int, facto
     # The coefficients are MLlib's driver-side model; from here on they are a table (column, weight, vec).
     v, w = model.factors.toArray(), model.linear.toArray()
     spark = train.sparkSession
-    coef = materialise(spark.createDataFrame(pd.DataFrame({"column": np.arange(len(w)), "w": w, "vec": list(v)}), "column long, w double, vec array<double>"), "fm")
+    coef = materialise(spark.createDataFrame(list(zip(range(len(w)), w.tolist(), v.tolist())), "column long, w double, vec array<double>"), "fm")
     n_u, n_i = users.count(), items.count()
     uv = users.join(coef, F.col("u") == F.col("column")).select(F.col("user").alias("id"), "vec", F.col("w").alias("bias"))
     terms = spark.createDataFrame([(t, n_u + n_i + n) for n, t in enumerate(counts.vocabulary)], "term string, column long")
