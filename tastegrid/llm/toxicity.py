@@ -1,9 +1,10 @@
 """Toxicity from two class-conditional Kneser-Ney models over the words of a text.
 
 A word is spelled as a path of prefixes that ends in the word itself. Each class has its own discounted counts along the
-path; what the discount sets free goes to one backoff distribution for both classes: in how many different words of the
-whole corpus a prefix continues so (Kneser-Ney's continuation counts). A rare or unseen form of an expression thus falls
-back on the forms it shares its beginning with. A document's score compares the two log-likelihoods per word.
+path; what the discount sets free goes to one backoff distribution for both classes: their joint counts, discounted in turn
+in favour of Kneser-Ney's continuation counts, in how many different words of the whole corpus a prefix continues so. A
+rare or unseen form of an expression thus falls back on the forms it shares its beginning with. A document's score
+compares the two log-likelihoods per word.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ MAX_LABELLED = 50_000
 MAX_NODES = 1 << 18
 DEPTH = 8
 DISCOUNT = 0.75
+#: A step with n training documents behind it counts n / (n + CAUTION).
+CAUTION = 8.0
 WINDOW = 100
 THRESHOLD = 0.7
 CLIP = 8.0
+MARGIN = 2.0
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -104,32 +108,47 @@ def model(tree: DataFrame, folds: tuple[int, ...], max_nodes: int = MAX_NODES, d
     """
     t, o = (sum((F.col(f"{c}{k}") for k in folds), F.lit(0)) for c in "to")
     own = tree.select("node", "parent", "types", t.alias("t"), o.alias("o"))
+    # both classes count as if they had as many words as the toxic one, so that neither has more mass to give to unseen words
+    sizes = own.where("parent = ''").agg(F.sum("t"), F.sum("o")).first()
+    scale = sizes[0] / sizes[1] if sizes[0] and sizes[1] else 1.0
+    own = own.withColumn("even", F.col("o") * scale)
+
+    def taken(c: str) -> Column:
+        """Discount of a count; of a scaled one, what it would be on average in a sample of that size."""
+        return discount * ((F.col(c) > 0).cast("double") if c == "t" else 1 - F.exp(-F.col(c)))
+
+    own = own.withColumn("both", F.col("t") + F.col("o"))
     below = own.groupBy(F.col("parent").alias("at")).agg(
-        F.sum("t").alias("t_all"), F.sum("o").alias("o_all"), F.count_if(F.col("t") > 0).alias("t_kinds"), F.count_if(F.col("o") > 0).alias("o_kinds"),
-        F.sum("types").alias("types_all"),
+        F.sum("t").alias("t_all"), F.sum("even").alias("even_all"), F.sum(taken("t")).alias("t_spare"), F.sum(taken("even")).alias("even_spare"),
+        F.sum("both").alias("both_all"), F.count_if(F.col("both") > 0).alias("both_kinds"), F.sum("types").alias("types_all"),
     )
 
     def freed(c: str) -> Column:
         """Mass that the class leaves to the shared counts below a node."""
-        return F.when(F.col(f"{c}_all") > 0, discount * F.col(f"{c}_kinds") / F.col(f"{c}_all")).otherwise(1.0)
+        return F.when(F.col(f"{c}_all") > 0, F.col(f"{c}_spare") / F.col(f"{c}_all")).otherwise(1.0)
 
-    below = below.withColumns({"t_free": freed("t"), "o_free": freed("o")})
-    kept = own.where(F.col("t") + F.col("o") >= 2)
-    sizes = kept.groupBy(F.least(F.col("t") + F.col("o"), F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("nodes")).collect()  # 1000 rows at most
+    below = below.withColumns({"t_free": freed("t"), "even_free": freed("even")})
+    kept = own.where("both >= 2")
+    by_count = kept.groupBy(F.least("both", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("nodes")).collect()  # 1000 rows at most
     cutoff, room = 1001, max_nodes
-    for r in sorted(sizes, key=lambda r: -r["n"]):
+    for r in sorted(by_count, key=lambda r: -r["n"]):
         room -= r["nodes"]
         if room < 0:
             break
         cutoff = r["n"]
-    kept = kept.where(F.col("t") + F.col("o") >= cutoff).join(below.alias("up"), F.col("parent") == F.col("up.at"))
-    shared = F.col("types") / F.col("types_all")
+    kept = kept.where(F.col("both") >= cutoff).join(below.alias("up"), F.col("parent") == F.col("up.at"))
+    shared = F.greatest(F.col("both") - discount, F.lit(0.0)) / F.col("both_all")
+    shared = shared + discount * F.col("both_kinds") / F.col("both_all") * F.col("types") / F.col("types_all")
 
     def chance(c: str) -> Column:
-        return F.when(F.col(f"{c}_all") > 0, F.greatest(F.col(c) - discount, F.lit(0.0)) / F.col(f"{c}_all")).otherwise(0.0) + F.col(f"{c}_free") * shared
+        return F.when(F.col(f"{c}_all") > 0, (F.col(c) - taken(c)) / F.col(f"{c}_all")).otherwise(0.0) + F.col(f"{c}_free") * shared
+
+
+    def cautious(ratio: Column, n: Column) -> Column:
+        return ratio * n / (n + CAUTION)
 
-    kept = kept.select("node", (F.log(chance("t")) - F.log(chance("o"))).alias("step"))
-    leave = below.select(F.col("at").alias("node"), (F.log("t_free") - F.log("o_free")).alias("back"))
+    kept = kept.select("node", cautious(F.log(chance("t")) - F.log(chance("even")), F.col("t") + F.col("even")).alias("step"))
+    leave = below.select(F.col("at").alias("node"), cautious(F.log("t_free") - F.log("even_free"), F.col("t_all") + F.col("even_all")).alias("back"))
     return kept.join(leave, "node", "left").select("node", "step", F.coalesce("back", F.lit(0.0)).alias("back"))
 
 
@@ -155,26 +174,37 @@ def word_ratio(word: str, known: Model, depth: int = DEPTH) -> float:
     return max(-CLIP, min(CLIP, total))
 
 
-def _features(text: str | None, known: Model, memo: dict[str, float]) -> tuple[float, float, float]:
-    """Mean ratio of the words, the highest mean of ``WINDOW`` words in a row, and one over the root of their number."""
+def _features(text: str | None, known: Model, memo: dict[str, float]) -> tuple[float, ...]:
+    """Evidence of a text: the mean ratio of its words, and of what is above ``MARGIN`` in them the sum per word (once as
+    a root, once damped for short texts), all counted once per ``WINDOW`` words, so that a repeated word adds little; and
+    one over the root of the number of words."""
     words = words_of(text)
     if not words:
-        return 0.0, 0.0, 1.0
+        return 0.0, 0.0, 0.0, 1.0
     if len(memo) > 500_000:
         memo.clear()
-    for w in set(words):
-        if w not in memo:
-            memo[w] = word_ratio(w, known)
-    r = np.fromiter(map(memo.__getitem__, words), dtype=np.float64, count=len(words))
-    mean = float(r.mean())
-    if len(r) <= WINDOW:
-        return mean, mean, len(r) ** -0.5
-    sums = np.cumsum(np.r_[0.0, r])
-    return mean, float((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW), len(r) ** -0.5
-
-
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Logistic regression with intercept by Newton's method; of a bounded sample. One class only: its rate as intercept."""
+    total = strong = 0.0
+    seen = 0
+    for k in range(0, len(words), WINDOW):
+        own = set(words[k : k + WINDOW])
+        seen += len(own)
+        for w in own:
+            r = memo.get(w)
+            if r is None:
+                r = memo[w] = word_ratio(w, known)
+            total += r
+            if r > MARGIN:
+                strong += r - MARGIN
+    n = len(words)
+    return total / seen, (strong / n) ** 0.5, strong / (n + 25), n**-0.5
+
+
+FEATURES = 4
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 100) -> np.ndarray:
+    """Intercept and weights of a logistic regression, by Newton steps that are halved until they gain, on a bounded
+    sample. With one class only, its rate as the intercept."""
     rate = (y.sum() + 0.5) / (len(y) + 1)
     a = np.c_[np.ones(len(x)), x]
     w = np.zeros(a.shape[1])
@@ -182,13 +212,22 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) ->
     if not len(y) or y.min() == y.max():
         return w
     scale = np.r_[1.0, a[:, 1:].std(axis=0) + 1e-9]
-    a, w = a / scale, w * scale
+    a, keep = a / scale, np.r_[0.0, np.full(a.shape[1] - 1, ridge)]
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + keep @ (w * w) / 2)
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        keep = np.r_[0.0, np.full(len(w) - 1, ridge)]
-        move = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(keep + 1e-9), a.T @ (y - p) - keep * w)
-        w = w + move
-        if np.abs(move).max() < 1e-8:
+        move = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(keep + 1e-6), a.T @ (y - p) - keep * w)
+        part = 1.0
+        while part > 1e-4 and loss(w + part * move) > now:
+            part /= 2
+        w = w + part * move
+        before, now = now, loss(w)
+        if before - now < 1e-7:
             break
     return w / scale
 
@@ -206,24 +245,26 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     tree = materialise(nodes(word_counts(docs, sample)), "nodes")
     halves = [_collected(spark, model(tree, (k,), max_nodes)) for k in (1, 0)]  # by fold of the row that is scored
 
+    names = [f"x{k}" for k in range(FEATURES)]
+
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos: list[dict[str, float]] = [{}, {}]
         for b in batches:
             cells = b.column(1).to_pylist()
             out = [_features(t, halves[c // 2].value, memos[c // 2]) for t, c in zip(b.column(0).to_pylist(), cells)]
-            cols = list(zip(*out)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array([c % 2 for c in cells], pa.int32()), *(pa.array(c, pa.float64()) for c in cols)], names=["y", "a", "b", "c"])
+            cols = list(zip(*out)) if out else [()] * FEATURES
+            yield pa.RecordBatch.from_arrays([pa.array([c % 2 for c in cells], pa.int32()), *(pa.array(c, pa.float64()) for c in cols)], names=["y", *names])
 
     own = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).select("text", "cell")
-    seen = own.mapInArrow(cross, "y int, a double, b double, c double").toArrow()  # a row of numbers for each of the bounded sample
-    x = np.column_stack([seen[c].to_numpy() for c in "abc"]) if len(seen) else np.zeros((0, 3))
-    weights = fit(x, seen["y"].to_numpy().astype(float)) if len(seen) else np.zeros(4)
+    seen = own.mapInArrow(cross, ", ".join(["y int", *(f"{x} double" for x in names)])).toArrow()  # a row of numbers for each of the bounded sample
+    x = np.column_stack([seen[c].to_numpy() for c in names]) if len(seen) else np.zeros((0, FEATURES))
+    weights = fit(x, seen["y"].to_numpy().astype(float)) if len(seen) else np.zeros(FEATURES + 1)
     known = _collected(spark, model(tree, (0, 1), max_nodes))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         for b in batches:
-            rows = np.array([_features(t, known.value, memo) for t in b.column(2).to_pylist()]).reshape(-1, 3)
+            rows = np.array([_features(t, known.value, memo) for t in b.column(2).to_pylist()]).reshape(-1, FEATURES)
             z = np.clip(weights[0] + rows @ weights[1:], -30, 30)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=["doc_id", "held_out", "score"])
 
