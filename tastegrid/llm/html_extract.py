@@ -17,6 +17,8 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tastegrid.session import materialise
+
 #: A subtree on at least this share of a host's pages, and on at least so many, is template.
 SHARE = 0.3
 MIN_PAGES = 4
@@ -229,11 +231,13 @@ def extract(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES)
     """``page_id, url, text, n_chars`` for every row of ``pages(page_id, url, html)``.
 
     Null and empty pages give an empty text. Null urls share one host; repeated rows are pages of their own; null ids are
-    rows like any other. Extra columns are ignored; an empty table gives an empty one. The hosts' hashes are joined by host:
-    Spark broadcasts them if they are small by its measure and else splits the pages of a hot host.
+    rows like any other. Extra columns are ignored; an empty table gives an empty one. The hosts' hashes are written first, so
+    Spark knows their size when it joins them by host: it broadcasts them if they are small and else splits the pages of a
+    hot host.
     """
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = own.join(templates(pages, share, min_pages), "host", "left").select("page_id", "url", "html", "template")
+    found = materialise(templates(pages, share, min_pages), "templates")
+    joined = own.join(found, "host", "left").select("page_id", "url", "html", "template")
     kind = joined.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
