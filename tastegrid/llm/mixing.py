@@ -135,6 +135,18 @@ def mix(
     return ring.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "shard", F.coalesce("blocks", F.lit(0)).alias("blocks"))
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words from, with ``size, source_size, target, taken`` (columns of these
+    names in ``docs`` are replaced). A row with a null id or one that is repeated is matched by all that decides it: id,
+    source and text's size."""
+    new = ["size", "source_size", "target", "taken"]
+    plan = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "size", "source_size", "target").agg(F.max("taken").alias("taken"))
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), *[F.col(c).alias(f"__{c}") for c in new])
+    kept = docs.withColumn("__words", word_count(F.col("text")))
+    same = kept["doc_id"].eqNullSafe(plan["__id"]) & kept["source"].eqNullSafe(plan["__source"]) & (kept["__words"] == plan["__size"])
+    return kept.join(plan, same).select(*[c for c in docs.columns if c not in new], *[F.col(f"__{c}").alias(c) for c in new])
+
+
 #: The operator's result in DuckDB's SQL: every quotient of every block is ranked, instead of the few in question.
 SQL = f"""
 WITH RECURSIVE sized AS (

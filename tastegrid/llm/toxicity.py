@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tastegrid.functions.hashing import md5_int
 from tastegrid.session import materialise
@@ -240,6 +241,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     Repeated rows and null ids are scored like any other; without labels all scores are the same. Extra columns are
     ignored; an empty table gives an empty one.
     """
+    return _scored(docs.select("doc_id", held_out().alias("held_out"), "text"), docs, labels, max_labelled, max_nodes, threshold).drop("text")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_nodes: int = MAX_NODES, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose score reaches the threshold; all columns stay, of null ids and repeated rows too."""
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select("text", F.struct(*others).alias("row"))  # a struct, so that no name clashes
+    kept = _scored(packed, docs, labels, max_labelled, max_nodes, threshold).where("predicted = 0")
+    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, max_labelled: int, max_nodes: int, threshold: float) -> DataFrame:
+    """``rows`` (with a column ``text``) plus ``score`` and ``predicted``, by models learned from ``docs`` and ``labels``."""
     spark = docs.sparkSession
     sample = materialise(labelled_sample(labels, max_labelled), "sample")
     tree = materialise(nodes(word_counts(docs, sample)), "nodes")
@@ -264,13 +278,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         for b in batches:
-            rows = np.array([_features(t, known.value, memo) for t in b.column(2).to_pylist()]).reshape(-1, FEATURES)
-            z = np.clip(weights[0] + rows @ weights[1:], -30, 30)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=["doc_id", "held_out", "score"])
+            found = np.array([_features(t, known.value, memo) for t in b.column("text").to_pylist()]).reshape(-1, FEATURES)
+            z = np.clip(weights[0] + found @ weights[1:], -30, 30)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=[*b.schema.names, "score"])
 
-    kept = docs.select("doc_id", held_out().alias("held_out"), "text")
-    scored = kept.mapInArrow(score, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    scored = rows.mapInArrow(score, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-__all__ = ["toxicity", "held_out"]
+__all__ = ["toxicity", "drop_toxic", "held_out"]
