@@ -120,7 +120,7 @@ class Index:
             starts.sort()
             group = [starts[0]]
             for s in starts[1:]:
-                if s - group[-1] > BAND:
+                if s - group[-1] > min(BAND, len(self.words[n]) // 2):
                     out.append((n, group[len(group) // 2]))
                     group = []
                 group.append(s)
@@ -130,7 +130,8 @@ class Index:
 
 def align(notice: np.ndarray, words: np.ndarray, start: int) -> tuple[int, int, int]:
     """Most words of ``notice`` in order in ``words`` within ``BAND`` of the diagonal from ``start``: their number, and the
-    places of the first and after the last of them. A row of the band at a time; fewer skipped words win ties."""
+    places of the first and after the last of them. A row of the band at a time; fewer skipped words win ties, then
+    the diagonal itself."""
     width = 2 * BAND + 1
     d = np.arange(width)
     score = np.zeros(width)
@@ -146,7 +147,8 @@ def align(notice: np.ndarray, words: np.ndarray, start: int) -> tuple[int, int,
         run = np.maximum.accumulate(best + skip * d) - skip * d  # words of the text in between
         back[i] = np.where(run > best + 1e-12, 2, np.where(diagonal >= above, 0, 1)) + np.where(same & (diagonal >= best), 4, 0)
         score = run
-    i, k = len(notice) - 1, int(score.argmax())
+    ties = np.flatnonzero(score >= score.max() - 1e-9)
+    i, k = len(notice) - 1, int(ties[np.abs(ties - BAND).argmin()])
     count, first, end = 0, -1, -1
     while i >= 0 and 0 <= k < width:
         step = back[i, k]

@@ -55,7 +55,7 @@ def _bounds(seats: Column, claimants: Column, votes: Column, total: Column) -> t
     """Seats that a claimant has for certain, and the most it can have: the quotas at two divisors, one above and one below
     the one that hands out exactly ``seats``, so only about two quotients per claimant are left to rank."""
     high = total / F.greatest(seats - claimants / 2, F.lit(0.5))
-    low = total / (seats + claimants / 2)
+    low = total / F.greatest(seats + claimants / 2, F.lit(0.5))
     sure = F.when(seats > claimants / 2, F.greatest(F.floor(votes / high + 0.5) - 1, F.lit(0))).otherwise(0).cast("bigint")
     most = (F.floor(votes / low + 0.5) + 1).cast("bigint")
     return sure, most
