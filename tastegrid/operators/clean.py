@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.functions.ranking import dense_index
-from tastegrid.session import materialise
+from tastegrid.session import discard, materialise
 
 
 def drop_incomplete_and_dup(inter: DataFrame, first_by: Sequence[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def drop_cold_users(part: DataFrame, train: DataFrame) -> DataFrame:
     return part.join(train.select("user").distinct(), "user", "left_semi")
 
 
-def aligned_ids(inter: DataFrame, sides: Sequence[DataFrame], max_rounds: int = 100) -> dict[str, DataFrame]:
+def aligned_ids(inter: DataFrame, sides: Sequence[DataFrame]) -> dict[str, DataFrame]:
     """``{"user": ids, "item": ids}`` of ``inter`` that every side table knows.
 
     A side table has a ``user`` column, an ``item`` column, or both. The id sets shrink round by round
@@ -68,18 +68,20 @@ def aligned_ids(inter: DataFrame, sides: Sequence[DataFrame], max_rounds: int =
     """
     keep = {c: materialise(inter.select(c).distinct(), f"align-{c}") for c in ("user", "item")}
     sizes = {c: keep[c].count() for c in keep}
-    for _ in range(max_rounds):
+    while True:
+        before = dict(keep)
         for side in sides:
             here = [c for c in ("user", "item") if c in side.columns]
             known = _keep_ids(side, keep)
             for c in here:
                 keep[c] = keep[c].join(known.select(c).distinct(), c, "left_semi")
         keep = {c: materialise(keep[c], f"align-{c}") for c in keep}
+        for old in before.values():
+            discard(old)
         now = {c: keep[c].count() for c in keep}
         if now == sizes:
             return keep
         sizes = now
-    raise RuntimeError("side tables did not settle")
 
 
 def _keep_ids(df: DataFrame, keep: dict[str, DataFrame]) -> DataFrame:

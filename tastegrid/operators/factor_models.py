@@ -19,7 +19,7 @@ from tastegrid.functions.pairs import HOT_PROFILE, pair_stats
 from tastegrid.functions.ranking import top_k
 from tastegrid.functions.vectors import sum_vectors
 from tastegrid.operators.clean import id_map
-from tastegrid.operators.recommend import dot_product_recs, factor_recs, item_knn_scores, top_k_unseen
+from tastegrid.operators.recommend import dot_product_recs, factor_recs, full_top_k_unseen, item_knn_scores
 from tastegrid.session import materialise
 
 
@@ -145,7 +145,8 @@ def factorisation_machine(train: DataFrame, attributes: DataFrame, k: int, facto
     """
     users, items = materialise(id_map(train, "user", "u"), "fm"), materialise(id_map(train, "item", "i"), "fm")
     bags = attributes.join(items, "item").groupBy("item").agg(F.collect_set(F.col("feature_id").cast("string")).alias("bag"))
-    counts = CountVectorizer(inputCol="bag", outputCol="f", binary=True).fit(bags)
+    n_features = attributes.agg(F.countDistinct("feature_id")).first()[0]  # the vocabulary holds every feature
+    counts = CountVectorizer(inputCol="bag", outputCol="f", binary=True, vocabSize=max(1, n_features)).fit(bags)
     item_rows = items.join(bags, "item", "left").withColumn("bag", F.coalesce("bag", F.array().cast("array<string>")))
     rows = train.join(users, "user").join(counts.transform(item_rows), "item").select("u", "i", "f", F.col("rating").alias("label"))
     encoder = OneHotEncoder(inputCols=["u", "i"], outputCols=["uv", "iv"], dropLast=False).fit(rows)
@@ -177,6 +178,10 @@ def factorisation_machine(train: DataFrame, attributes: DataFrame, k: int, facto
 # --- sparse linear item weights -----------------------------------------------------------------------
 
 
+#: Sweeps after which an item that has not settled is an error; a result is never returned unsettled.
+MAX_SWEEPS = 1_000_000
+
+
 def _solve_item(l1: float, l2: float, tolerance: float):
     """Non-negative elastic net of one item over its active items, by coordinate descent on their products."""
 
@@ -192,7 +197,7 @@ def _solve_item(l1: float, l2: float, tolerance: float):
         np.fill_diagonal(g, square)
         w = np.zeros(len(items))
         slope = pull - l1
-        for _ in range(10_000):
+        for _ in range(MAX_SWEEPS):
             largest = 0.0
             for n in range(len(items)):
                 new = max(0.0, (slope[n] + square[n] * w[n]) / (square[n] + l2))
@@ -203,6 +208,8 @@ def _solve_item(l1: float, l2: float, tolerance: float):
                     largest = max(largest, abs(change))
             if largest < tolerance:
                 break
+        else:
+            raise RuntimeError(f"weights of item {group['i'].iat[0]} have not settled after {MAX_SWEEPS} sweeps; use a larger l2 or tolerance")
         held = w > 0
         return pd.DataFrame({"i": group["i"].iat[0], "j": items[held], "w": w[held]})
 
@@ -248,4 +255,4 @@ def slim(train: DataFrame, k: int, alpha: float, l1_ratio: float, neighbours: in
     """Top-k recommendations by sparse linear weights; the penalties grow with the number of users."""
     n = train.select("user").distinct().count()
     weights = slim_weights(train, n * alpha * l1_ratio, n * alpha * (1 - l1_ratio), neighbours)
-    return top_k_unseen(item_knn_scores(train, weights), train, k)
+    return full_top_k_unseen(item_knn_scores(train, weights), train, k)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tastegrid.functions.ratios import ratio
 from tastegrid.functions.vectors import mean_vector
 
 
@@ -38,17 +39,18 @@ def fuse(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
 
 
 def minmax_normalise(vec: str = "vec") -> Column:
+    """Elements between 0 and 1; all 0 for a constant vector."""
     low, high = F.array_min(vec), F.array_max(vec)
-    return F.transform(vec, lambda x: (x - low) / (high - low))
+    return F.transform(vec, lambda x: ratio(x - low, high - low, 0.0))
 
 
 def zscore(mean: Sequence[float], std: Sequence[float], vec: str = "vec") -> Column:
-    """Per dimension, with given means and deviations."""
+    """Per dimension, with given means and deviations; 0 where the deviation is 0."""
     def numbers(values: Sequence[float]) -> Column:
         return F.array(*[F.lit(float(v)) for v in values])
 
     centred = F.zip_with(F.col(vec), numbers(mean), lambda x, m: x - m)
-    return F.zip_with(centred, numbers(std), lambda x, s: x / s)
+    return F.zip_with(centred, numbers(std), lambda x, s: ratio(x, s, 0.0))
 
 
 def dimension_moments(vectors: DataFrame, dim: int) -> DataFrame:

@@ -14,6 +14,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tastegrid.functions.ranking import top_k
+from tastegrid.functions.ratios import NAN, ratio
 from tastegrid.operators.unpersonalised import item_popularity, short_head
 
 
@@ -41,7 +42,7 @@ def _lookup(values: Sequence[float], index: Column) -> Column:
 
 
 def _ratio(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    return ratio(a, b, 0.0)
 
 
 class Evaluation:
@@ -220,7 +221,7 @@ class Evaluation:
         runs = levels.withColumn("start", start).withColumn("n", F.sum("m").over(whole)).withColumn("total", F.sum(F.col("c") * m).over(whole))
         at = 2 * (m * F.col("start") + m * (m - 1) / 2) + m * (2 * (n_items - F.col("n") + 1) - n_items - 1)
         summed = runs.groupBy("cluster").agg(F.sum(at * F.col("c") / F.col("total")).alias("s"))
-        out = summed.select("cluster", (1 - F.col("s") / (n_items - 1)).alias("value"))
+        out = summed.select("cluster", (1 - ratio(F.col("s"), n_items - 1, NAN)).alias("value"))
         return out if clusters is not None else out.select("value")
 
     def shannon_entropy(self) -> DataFrame:
@@ -311,12 +312,12 @@ class Evaluation:
         size = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
         joined = size.join(num, "cluster", "left").join(seen, "cluster", "left")
         den = F.col("size") * users - F.coalesce("seen", F.lit(0))
-        return joined.select("cluster", (F.coalesce("num", F.lit(0)) / den).alias("value"))
+        return joined.select("cluster", ratio(F.coalesce("num", F.lit(0)), den, NAN).alias("value"))
 
     @staticmethod
     def spread(groups: DataFrame) -> DataFrame:
-        """Population standard deviation over mean of the group values."""
-        return groups.agg((F.stddev_pop("value") / F.avg("value")).alias("value"))
+        """Population standard deviation over mean of the group values; NaN if all are 0."""
+        return groups.agg(ratio(F.stddev_pop("value"), F.avg("value"), NAN).alias("value"))
 
     def popularity_groups(self, ratio: float = 0.8) -> DataFrame:
         """(item, cluster): short head 0, long tail 1."""
@@ -383,7 +384,7 @@ class Evaluation:
         keys = ["user_cluster", "item_cluster"]
         got = self.bias_recommended(users, items).withColumnRenamed("value", "br")
         source = self.bias_source(users, items).withColumnRenamed("value", "bs")
-        return got.join(source, keys).select(*keys, ((F.col("br") - F.col("bs")) / F.col("bs")).alias("value"))
+        return got.join(source, keys).select(*keys, ratio(F.col("br") - F.col("bs"), F.col("bs"), NAN).alias("value"))
 
     # --- curves over all n up to the cutoff ---
 

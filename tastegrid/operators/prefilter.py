@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tastegrid.session import materialise
+from tastegrid.session import discard, materialise
 
 
 def global_threshold(inter: DataFrame, threshold: float) -> DataFrame:
@@ -63,7 +63,8 @@ def _survivors(inter: DataFrame, next_round) -> DataFrame:
     edges = materialise(inter.groupBy("user", "item").agg(F.count(F.lit(1)).alias("w")), "core")
     size = edges.count()
     while True:
-        edges = materialise(next_round(edges), "core")
+        before, edges = edges, materialise(next_round(edges), "core")
+        discard(before)
         now = edges.count()
         if now == size:
             break

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tastegrid.functions.pairs import HOT_PROFILE, pair_stats
-from tastegrid.functions.ranking import top_k
+from tastegrid.functions.ranking import dense_index, first_free_places, top_k
+from tastegrid.functions.ratios import ratio
 from tastegrid.functions.vectors import block_pairs, cosine_block, dense_rows, dot_block
 from tastegrid.operators.similarity import DIGITS, similarity
+from tastegrid.session import materialise
 
 
 def top_k_unseen(scores: DataFrame, train: DataFrame, k: int) -> DataFrame:
@@ -16,6 +18,23 @@ def top_k_unseen(scores: DataFrame, train: DataFrame, k: int) -> DataFrame:
     return top_k(fresh, ["user"], [F.desc("score"), F.asc("item")], k)
 
 
+def full_top_k_unseen(scores: DataFrame, train: DataFrame, k: int, rest: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """As :func:`top_k_unseen` among all ``items`` (those of the training part by default) for all training users: an item
+    without a score has 0, or the user's value in ``rest(user, score)``.
+
+    Only the first k unscored items of a user can be in its list, and they are the first free places in item order, so
+    users x items is never built.
+    """
+    scores = materialise(scores.select("user", "item", F.round("score", DIGITS).alias("score")), "scores")
+    users, seen = train.select("user").distinct(), train.select("user", "item").distinct()
+    places = materialise(dense_index((train if items is None else items).select("item").distinct(), ["item"], "place"), "places")
+    taken = scores.select("user", "item").unionByName(seen).distinct().join(places, "item").select("user", "place")
+    free = first_free_places(users, "user", taken, k, places.count()).join(places, "place").select("user", "item")
+    base = free.withColumn("score", F.lit(0.0)) if rest is None else free.join(rest.select("user", F.round("score", DIGITS).alias("score")), "user")
+    fresh = scores.join(seen, ["user", "item"], "left_anti").unionByName(base.select("user", "item", "score"))
+    return top_k(fresh, ["user"], [F.desc("score"), F.asc("item")], k)
+
+
 def top_k_candidates(scores: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """As :func:`top_k_unseen` with a given candidate set instead of the training mask."""
     allowed = scores.select("user", "item", F.round("score", DIGITS).alias("score")).join(candidates.select("user", "item"), ["user", "item"], "left_semi")
@@ -73,8 +92,8 @@ def bm25_weight(m: DataFrame, row: str, col: str, value: str, k1: float = 1.2, b
     lengths = m.groupBy(row).agg(F.sum(value).alias("_len"))
     n, mean = lengths.agg(F.count(F.lit(1)).cast("double")).scalar(), lengths.agg(F.avg("_len")).scalar()
     df = m.groupBy(col).agg(F.count(F.lit(1)).alias("_df"))
-    x, norm = F.col(value), (1.0 - b) + b * F.col("_len") / mean
-    weight = x * (k1 + 1.0) / (k1 * norm + x) * F.log(n / (1 + F.col("_df")))
+    x, norm = F.col(value), (1.0 - b) + b * ratio(F.col("_len"), mean, 0.0)
+    weight = ratio(x * (k1 + 1.0), k1 * norm + x, 0.0) * F.log(n / (1 + F.col("_df")))
     return m.join(lengths, row).join(df, col).select(row, col, weight.alias(value))
 
 
@@ -86,12 +105,13 @@ def tfidf_sqrt_weight(m: DataFrame, row: str, col: str, value: str) -> DataFrame
 
 
 def tfidf_items(attributes: DataFrame) -> DataFrame:
-    """(item, feature_id, weight): ln(items / feature count), scaled to length 1 per item."""
+    """(item, feature_id, weight): ln(items / feature count), scaled to length 1 per item; 0 for an item that has only features of
+    all items."""
     n = attributes.agg(F.countDistinct("item").cast("double")).scalar()
     idf = attributes.groupBy("feature_id").agg(F.log(n / F.count(F.lit(1))).alias("idf"))
     rows = attributes.join(idf, "feature_id")
     lengths = rows.groupBy("item").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("len"))
-    return rows.join(lengths, "item").select("item", "feature_id", (F.col("idf") / F.col("len")).alias("weight"))
+    return rows.join(lengths, "item").select("item", "feature_id", ratio(F.col("idf"), F.col("len"), 0.0).alias("weight"))
 
 
 def tfidf_user_profile(train: DataFrame, weights: DataFrame) -> DataFrame:
@@ -117,16 +137,18 @@ def _feature_width(profile: DataFrame, attributes: DataFrame) -> int:
 def profile_user_neighbours(profile: DataFrame, fn: str, k: int, dense_features: int = DENSE_FEATURES) -> DataFrame:
     """User neighbours ``(i, j, sim)`` from ``(user, feature_id, weight)``, a user being its own neighbour.
 
-    Users share almost all features, so small dictionaries are compared as blocks of dense vectors."""
+    Users share almost all features, so small dictionaries are compared as blocks of dense vectors. Users that share no
+    feature are no neighbours in either form."""
     d = _feature_width(profile, profile)
     if d <= dense_features:
         vectors = dense_rows(profile, "user", "feature_id", "weight", d)
-        return block_pairs(vectors, vectors, _BLOCK_SCORES[fn], k).withColumnRenamed("score", "sim")
+        near = block_pairs(vectors, vectors, _BLOCK_SCORES[fn], k).withColumnRenamed("score", "sim")
+        return near.where(F.round("sim", DIGITS) != 0)
     return similarity(profile, fn, k, key="feature_id", member="user", value="weight", keep_self=True)
 
 
 def vsm_recs(profile: DataFrame, weights: DataFrame, train: DataFrame, fn: str, k: int, dense_features: int = DENSE_FEATURES) -> DataFrame:
-    """Unseen items nearest to the user's feature profile."""
+    """Unseen items nearest to the user's feature profile, among all items with a feature; those that share none have 0."""
     d = _feature_width(profile, weights)
     if d <= dense_features:
         users, items = dense_rows(profile, "user", "feature_id", "weight", d), dense_rows(weights, "item", "feature_id", "weight", d)
@@ -136,8 +158,8 @@ def vsm_recs(profile: DataFrame, weights: DataFrame, train: DataFrame, fn: str,
     if fn == "cosine":
         for side, table in (("user", profile), ("item", weights)):
             lengths = table.groupBy(side).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_len"))
-            dots = dots.join(lengths, side).withColumn("score", F.col("score") / F.col("_len")).drop("_len")
-    return top_k_unseen(dots, train, k)
+            dots = dots.join(lengths, side).withColumn("score", ratio(F.col("score"), F.col("_len"), 0.0)).drop("_len")
+    return full_top_k_unseen(dots, train.join(profile.select("user").distinct(), "user", "left_semi"), k, items=weights)
 
 
 def factor_recs(users: DataFrame, items: DataFrame, train: DataFrame, k: int, score=dot_block) -> DataFrame:
@@ -169,7 +191,8 @@ def slope_one_deviations(train: DataFrame, hot_profile: int = HOT_PROFILE) -> Da
 
 
 def slope_one_scores(train: DataFrame, deviations: DataFrame) -> DataFrame:
-    """(user, item, score): user mean plus the mean deviation of the item from the user's co-rated items."""
+    """(user, item, score): user mean plus the mean deviation of the item from the user's co-rated items. Items without
+    such an item have the user's mean: see :func:`slope_one_recs`."""
     means = train.groupBy("user").agg(F.avg("rating").alias("mean"))
     shifts = (
         train.select("user", F.col("item").alias("j")).join(deviations, "j")
@@ -178,11 +201,17 @@ def slope_one_scores(train: DataFrame, deviations: DataFrame) -> DataFrame:
     return shifts.join(means, "user").select("user", "item", (F.col("mean") + F.col("shift")).alias("score"))
 
 
+def slope_one_recs(train: DataFrame, k: int) -> DataFrame:
+    """The k best unseen items of every user by slope one; an item that shares no user with the profile has the mean."""
+    means = train.groupBy("user").agg(F.avg("rating").alias("score"))
+    return full_top_k_unseen(slope_one_scores(train, slope_one_deviations(train)), train, k, rest=means)
+
+
 def rp3beta_neighbours(train: DataFrame, alpha: float, beta: float, k: int, normalise: bool = False, hot_profile: int = HOT_PROFILE) -> DataFrame:
     """(i, j, sim): two random-walk steps from item i to item j, damped by the popularity of j; the k best per i,
     optionally scaled to sum 1, then the k best per j."""
     totals = train.groupBy("user").agg(F.sum("rating").alias("total"))
-    walk = train.join(totals, "user").select("user", "item", F.pow(F.col("rating") / F.col("total"), alpha).alias("step"))
+    walk = train.join(totals, "user").select("user", "item", F.pow(ratio(F.col("rating"), F.col("total"), 0.0), alpha).alias("step"))
     degree = train.groupBy("item").agg(F.count(F.lit(1)).cast("double").alias("deg"))
     pairs = pair_stats(walk, "user", "item", "step", ["left", "right"], hot_profile=hot_profile)
     pairs = pairs.join(degree.select(F.col("item").alias("i"), F.col("deg").alias("di")), "i")
@@ -190,7 +219,7 @@ def rp3beta_neighbours(train: DataFrame, alpha: float, beta: float, k: int, norm
     scored = pairs.select("i", "j", (F.pow("di", F.lit(-alpha)) * F.col("right") * F.pow("dj", F.lit(-beta))).alias("sim")).withColumn("sim", F.round("sim", 12))
     rows = top_k(scored.filter(F.col("sim") != 0), ["i"], [F.desc("sim"), F.asc("j")], k).drop("rank")
     if normalise:
-        rows = rows.join(rows.groupBy("i").agg(F.sum("sim").alias("_s")), "i").select("i", "j", (F.col("sim") / F.col("_s")).alias("sim"))
+        rows = rows.join(rows.groupBy("i").agg(F.sum("sim").alias("_s")), "i").select("i", "j", ratio(F.col("sim"), F.col("_s"), 0.0).alias("sim"))
     return top_k(rows, ["j"], [F.desc("sim"), F.asc("i")], k).drop("rank")
 
 

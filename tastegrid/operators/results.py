@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from tastegrid.functions.ranking import running_total
+from tastegrid.functions.ratios import NAN, ratio
 
 
 def t_two_sided(t: float, df: float) -> float:
@@ -71,7 +72,7 @@ def _differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def _t_of(d: str = "d") -> list:
     n = F.count(d)
-    return [(F.avg(d) / (F.stddev_samp(d) / F.sqrt(n))).alias("t"), (n - 1).alias("df")]
+    return [ratio(F.avg(d), F.stddev_samp(d) / F.sqrt(F.greatest(n, F.lit(1))), NAN).alias("t"), (n - 1).alias("df")]
 
 
 def paired_ttest(a: DataFrame, b: DataFrame, with_p: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.functions.pairs import HOT_PROFILE, pair_stats
 from tastegrid.functions.ranking import dense_index, first_free_places, top_k
+from tastegrid.functions.ratios import ratio
 
 
 def _sides(pairs: DataFrame, norms: DataFrame) -> DataFrame:
@@ -50,7 +51,8 @@ def similarity(
     keep_self: bool = False,
     hot_profile: int = HOT_PROFILE,
 ) -> DataFrame:
-    """cosine, dot, asymmetric, jaccard, dice or tversky; the set forms ignore values."""
+    """cosine, dot, asymmetric, jaccard, dice or tversky; the set forms ignore values. A member whose values are all 0 has no
+    neighbours but by dot."""
     setwise = fn in ("jaccard", "dice", "tversky")
     stat = "n" if setwise else "dot"
     pairs = _sides(pair_stats(df, key, member, value, [stat], hot_profile=hot_profile), member_stats(df, member, value))
@@ -61,12 +63,12 @@ def similarity(
         pairs = pairs.unionByName(own)
     x, ni, nj, qi, qj = F.col(stat), F.col("size_i"), F.col("size_j"), F.col("square_i"), F.col("square_j")
     sim = {
-        "cosine": x / F.sqrt(qi * qj),
+        "cosine": ratio(x, F.sqrt(qi * qj)),
         "dot": x,
-        "asymmetric": x / (F.pow(qi, alpha) * F.pow(qj, 1 - alpha)),
+        "asymmetric": ratio(x, F.pow(qi, alpha) * F.pow(qj, 1 - alpha)),
         "jaccard": x / (ni + nj - x),
         "dice": 2 * x / (ni + nj),
-        "tversky": x / (x + alpha * (ni - x) + beta * (nj - x)),
+        "tversky": ratio(x, x + alpha * (ni - x) + beta * (nj - x)),
     }[fn]
     return _k_best(pairs.select("i", "j", sim.alias("sim")), k)
 
@@ -133,15 +135,15 @@ def _distances(u: Column) -> dict[str, tuple[list[str], Column, Column]]:
     ni, nj, si, sj, qi, qj = (F.col(f"{c}_{s}") for c in ("size", "total", "square") for s in ("i", "j"))
     square = F.greatest(qi + qj - 2 * dot, F.lit(0.0))
     cityblock = si + sj - 2 * low
-    corr = (u * dot - si * sj) / F.sqrt((u * qi - si * si) * (u * qj - sj * sj))
+    corr = ratio(u * dot - si * sj, F.sqrt((u * qi - si * si) * (u * qj - sj * sj)))
     tt, ft = n, ni + nj - 2 * n
     return {
         "euclidean": (["dot"], F.sqrt(square), F.col("square")),
         "sqeuclidean": (["dot"], square, F.col("square")),
         "cityblock": (["low"], cityblock, F.col("total")),
-        "braycurtis": (["low"], cityblock / (si + sj), F.lit(0)),
+        "braycurtis": (["low"], ratio(cityblock, si + sj), F.lit(0)),
         "canberra": (["n", "canberra"], F.col("canberra") + ft, F.col("size")),
-        "correlation": (["dot"], 1 - corr, F.col("total") / F.sqrt(u * F.col("square") - F.col("total") * F.col("total"))),
+        "correlation": (["dot"], 1 - corr, ratio(F.col("total"), F.sqrt(u * F.col("square") - F.col("total") * F.col("total")))),
         "hamming": (["n", "equal"], (ni + nj - n - equal) / u, F.col("size")),
         "jaccard": (["n"], ft / (tt + ft), F.lit(0)),
         "dice": (["n"], ft / (ni + nj), F.lit(0)),
@@ -161,17 +163,18 @@ def distance_similarity(
     """1 / (1 + distance) of the full member vectors, self left out; values must not be negative.
 
     Members that share a key come from the pair table. Of the others only the k nearest matter, and their
-    order is the same for every i, so they are the first k free places of one ranked member list.
+    order is the same for every i, so they are the first k free places of one ranked member list. Pairs whose distance is
+    not defined (a correlation with a member of the same value for all) are left out.
     """
     fn = _ALIASES.get(fn, fn)
     n_keys = df.agg(F.countDistinct(key).cast("double")).scalar()
     stats, distance, order = _distances(n_keys)[fn]
     norms = member_stats(df, member, value)
     shared = pair_stats(df, key, member, value, stats, hot_profile=hot_profile)
-    places = dense_index(norms.withColumn("_o", order), ["_o", "m"], "place").drop("_o")
+    places = dense_index(norms.withColumn("_o", order).where("_o IS NOT NULL"), ["_o", "m"], "place").drop("_o")
     taken = shared.select("i", F.col("j").alias("m")).unionByName(norms.select(F.col("m").alias("i"), "m"))
     taken = taken.join(places.select("m", "place"), "m").select("i", "place")
     free = first_free_places(norms.select(F.col("m").alias("i")), "i", taken, k, places.count())
     apart = free.join(places.select("place", F.col("m").alias("j")), "place").select("i", "j", *[F.lit(0.0).alias(s) for s in stats])
-    scored = _sides(shared.unionByName(apart), norms).select("i", "j", F.round(1 / (1 + distance), DIGITS).alias("sim"))
+    scored = _sides(shared.unionByName(apart), norms).select("i", "j", F.round(1 / (1 + distance), DIGITS).alias("sim")).where("sim IS NOT NULL")
     return top_k(scored, ["i"], [F.desc("sim"), F.asc("j")], k)

@@ -12,7 +12,7 @@ from tastegrid.operators import similarity as si
 from tastegrid.operators.clean import id_map
 from tastegrid.plans import fixtures as fx
 from tastegrid.plans.catalog import longs, query, rounded
-from tastegrid.plans.recommend_queries import _top
+from tastegrid.plans.recommend_queries import _full_top
 
 DIM = 64
 
@@ -124,10 +124,11 @@ def gr09(spark, sf):
 @query("gr10_content_knn_scores", f"""WITH lens AS (SELECT id, vec, sqrt(list_dot_product(vec, vec)) AS l FROM visual),
     s AS (SELECT a.id AS i, b.id AS j, round(list_dot_product(a.vec, b.vec) / (a.l * b.l + 1.0), 9) AS sim FROM lens a CROSS JOIN lens b),
     near AS (SELECT i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM s) WHERE r <= 10),
-    scores AS (SELECT t.user, n.j AS item, sum(n.sim) AS score FROM (SELECT DISTINCT user, item FROM train) t JOIN near n ON n.i = t.item GROUP BY ALL) {_top(20)}""")
+    scores AS (SELECT t.user, n.j AS item, sum(n.sim) AS score FROM (SELECT DISTINCT user, item FROM train) t JOIN near n ON n.i = t.item GROUP BY ALL) {_full_top(20, items="SELECT id AS item FROM visual")}""")
 def gr10(spark, sf):
     tr = fx.train(spark, sf)
-    return rc.top_k_unseen(gr.content_knn_scores(tr, fx.visual(spark, sf), 10, 1.0), tr, 20)
+    items = fx.visual(spark, sf)
+    return rc.full_top_k_unseen(gr.content_knn_scores(tr, items, 10, 1.0), tr, 20, items=items.withColumnRenamed("id", "item"))
 
 
 _COOC = """cooc AS MATERIALIZED (SELECT src, dst, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM (

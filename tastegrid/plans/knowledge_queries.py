@@ -28,7 +28,7 @@ def _chains(spark, sf):
     first = F.element_at(F.create_map(*[F.lit(x) for x in ("b", "brand", "t", "type", "s", "size")]), F.substring("feature", 1, 1))
     names = fx.attributes(spark, sf).select("feature").distinct()
     ids = names.withColumn("feature_id", (F.row_number().over(Window.orderBy("feature")) - 1).cast("bigint"))
-    return ids.select("feature_id", F.array(first, F.substring("feature", 3, 20)).alias("chain"))
+    return ids.select("feature_id", F.array(first, F.expr("substring(feature, 3)")).alias("chain"))
 
 
 @query("kg02_select_features", f"""WITH {_CHAINS}, known AS (SELECT item, feature_id FROM attribute_ids JOIN chains USING (feature_id) WHERE first IN ('brand', 'size') AND item IN (SELECT item FROM rel))

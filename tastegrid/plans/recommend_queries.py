@@ -141,6 +141,15 @@ def _top(k: int, scores: str = "scores") -> str:
         WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user = s.user AND t.item = s.item)) WHERE rank <= {k}"""
 
 
+def _full_top(k: int, rest: str = "0", items: str = "SELECT DISTINCT item FROM train") -> str:
+    """As :func:`_top` over all items of the training part: those without a score have ``rest``."""
+    return f"""SELECT user, item, score, rank::INTEGER AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY user ORDER BY score DESC, item) AS rank
+        FROM (SELECT u.user, p.item, round(coalesce(s.score, {rest}), 9) AS score FROM (SELECT DISTINCT user FROM train) u CROSS JOIN ({items}) p
+          LEFT JOIN scores s ON s.user = u.user AND s.item = p.item) s
+        WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user = s.user AND t.item = s.item)) WHERE rank <= {k}"""
+
+
 @query("rc01_top_k", f"WITH scores AS (SELECT u.user, p.item, ((u.user * 31 + p.item * 17) % 101)::DOUBLE AS score FROM train_users u CROSS JOIN pop p) {_top(20)}")
 def rc01(spark, sf):
     tr = fx.train(spark, sf)
@@ -154,26 +163,26 @@ def rc01(spark, sf):
 _ITEM_KNN = f"{_DATA}, {_PAIRS}, {_best(_PLAIN['cosine'], 20)}"
 
 
-@query("rc08_item_knn", f"""WITH {_ITEM_KNN}, scores AS (SELECT t.user, s.i AS item, sum(t.rating * s.sim) AS score FROM train t JOIN sim s ON s.j = t.item GROUP BY ALL) {_top(20)}""")
+@query("rc08_item_knn", f"""WITH {_ITEM_KNN}, scores AS (SELECT t.user, s.i AS item, sum(t.rating * s.sim) AS score FROM train t JOIN sim s ON s.j = t.item GROUP BY ALL) {_full_top(20)}""")
 def rc08(spark, sf):
     tr = fx.train(spark, sf)
-    return _recs(rc.top_k_unseen(rc.item_knn_scores(tr, si.similarity(tr, "cosine", 20)), tr, 20))
+    return _recs(rc.full_top_k_unseen(rc.item_knn_scores(tr, si.similarity(tr, "cosine", 20)), tr, 20))
 
 
 @query("rc09_user_knn", f"""WITH {_DATA_T}, {_PAIRS},
     own AS (SELECT i, j, dot / sqrt(qi * qj) AS sim FROM sided UNION ALL SELECT m, m, square / sqrt(square * square) FROM ms),
-    {_best("sim", 30, "own")}, scores AS (SELECT s.i AS user, t.item, sum(t.rating * s.sim) AS score FROM train t JOIN sim s ON s.j = t.user GROUP BY ALL) {_top(20)}""")
+    {_best("sim", 30, "own")}, scores AS (SELECT s.i AS user, t.item, sum(t.rating * s.sim) AS score FROM train t JOIN sim s ON s.j = t.user GROUP BY ALL) {_full_top(20)}""")
 def rc09(spark, sf):
     tr = fx.train(spark, sf)
-    return _recs(rc.top_k_unseen(rc.user_knn_scores(tr, rc.user_similarity(tr, "cosine", 30)), tr, 20))
+    return _recs(rc.full_top_k_unseen(rc.user_knn_scores(tr, rc.user_similarity(tr, "cosine", 30)), tr, 20))
 
 
 @query("rc09_user_knn_shrunk", f"""WITH {_DATA_T}, {_PAIRS}, {_best(_SHRUNK["cosine"], 30)},
-    scores AS (SELECT s.i AS user, t.item, sum(t.rating * s.sim) AS score FROM train t JOIN sim s ON s.j = t.user GROUP BY ALL) {_top(20)}""")
+    scores AS (SELECT s.i AS user, t.item, sum(t.rating * s.sim) AS score FROM train t JOIN sim s ON s.j = t.user GROUP BY ALL) {_full_top(20)}""")
 def rc09_shrunk(spark, sf):
     tr = fx.train(spark, sf)
     near = si.similarity_shrunk(tr, "cosine", 30, key="item", member="user", shrink=10.0)
-    return _recs(rc.top_k_unseen(rc.user_knn_scores(tr, near), tr, 20))
+    return _recs(rc.full_top_k_unseen(rc.user_knn_scores(tr, near), tr, 20))
 
 
 @query("rc10_attribute_item_knn", f"""WITH data AS MATERIALIZED (SELECT 'u' || user AS key, item, rating FROM train
@@ -243,10 +252,10 @@ _SLOPE = f"{_DATA}, {_PAIRS}, means AS (SELECT user, avg(rating) AS mean FROM tr
 
 
 @query("rc17_slope_one", f"""WITH {_SLOPE},
-    scores AS (SELECT user, item, mean + shift AS score FROM (SELECT t.user, d.i AS item, avg(dev) AS shift FROM train t JOIN dev d ON d.j = t.item GROUP BY ALL) JOIN means USING (user)) {_top(20)}""")
+    scores AS (SELECT user, item, mean + shift AS score FROM (SELECT t.user, d.i AS item, avg(dev) AS shift FROM train t JOIN dev d ON d.j = t.item GROUP BY ALL) JOIN means USING (user)) {_full_top(20, "(SELECT mean FROM means WHERE means.user = u.user)")}""")
 def rc17(spark, sf):
     tr = fx.train(spark, sf)
-    return _recs(rc.top_k_unseen(rc.slope_one_scores(tr, rc.slope_one_deviations(tr)), tr, 20))
+    return _recs(rc.slope_one_recs(tr, 20))
 
 
 @query("rc17_slope_one_deviations", f"WITH {_SLOPE} SELECT i, count(*) AS pairs, CASE WHEN abs(sum(dev)) < 5e-7 THEN 0 ELSE round(sum(dev), 6) END AS total, round(max(dev), 6) AS most FROM dev GROUP BY i")
@@ -261,11 +270,11 @@ def rc17_dev(spark, sf):
     raw AS (SELECT i, j, round(x.d ** -0.8::DOUBLE * s * y.d ** -0.6::DOUBLE, 12) AS sim FROM w JOIN deg x ON x.item = i JOIN deg y ON y.item = j),
     rws AS MATERIALIZED (SELECT i, j, sim / sum(sim) OVER (PARTITION BY i) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM raw) WHERE r <= 20),
     cls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY sim DESC, i) AS r FROM rws) WHERE r <= 20),
-    scores AS (SELECT t.user, c.j AS item, sum(t.rating * c.sim) AS score FROM train t JOIN cls c ON c.i = t.item GROUP BY ALL) {_top(20)}""")
+    scores AS (SELECT t.user, c.j AS item, sum(t.rating * c.sim) AS score FROM train t JOIN cls c ON c.i = t.item GROUP BY ALL) {_full_top(20)}""")
 def rc18(spark, sf):
     tr = fx.train(spark, sf)
     near = rc.rp3beta_neighbours(tr, 0.8, 0.6, 20, normalise=True)
-    return _recs(rc.top_k_unseen(rc.item_knn_scores(tr, near, target="j"), tr, 20))
+    return _recs(rc.full_top_k_unseen(rc.item_knn_scores(tr, near, target="j"), tr, 20))
 
 
 @query("rc19_gram_matrix", f"""WITH {_DATA}, {_PAIRS}, g AS (SELECT i, j, dot AS value FROM pairs UNION ALL SELECT m, m, size + 100 FROM ms)

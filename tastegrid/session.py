@@ -18,7 +18,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -29,10 +29,13 @@ _LOCAL_SCRATCH: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a local one when it is unset."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``. Only a local session may leave it unset and gets a
+    folder of this machine; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
     if not _LOCAL_SCRATCH:
         _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="tastegrid-"))
     return _LOCAL_SCRATCH[0]
@@ -50,4 +53,13 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote for ``table``, once nothing will read it again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -57,9 +57,12 @@ def read_split_hierarchy(spark: SparkSession, root: str) -> DataFrame:
 
 def read_nested_folders(spark: SparkSession, root: str) -> DataFrame:
     """``root/<test>/test.tsv`` and ``root/<test>/<val>/{train,val}.tsv`` (or ``root/<test>/train.tsv``): fold
-    numbers and part come from each row's file name."""
+    numbers and part come from each row's file name below ``root``."""
     rows = spark.read.schema(INTERACTIONS).options(sep="\t", recursiveFileLookup=True).csv(root)
-    path = F.input_file_name()
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toUri().getRawPath().rstrip("/")
+    whole = F.input_file_name()
+    path = F.substring(whole, F.locate(f"{top}/", whole) + len(top), F.length(whole))
     part = F.regexp_extract(path, r"/(train|val|test)\.tsv", 1)
     inner = F.regexp_extract(path, r"/(\d+)/(\d+)/(?:train|val|test)\.tsv", 1)
     outer = F.regexp_extract(path, r"/(\d+)/(?:train|val|test)\.tsv", 1)
@@ -146,8 +149,19 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """(key, value) rows of JSON objects. One object per line is split over tasks; a single big object is not."""
-    return _lines(spark, path).select(F.explode(F.from_json("line", f"map<string,{value}>")).alias("key", "value"))
+    """(key, value) rows of JSON objects whose values are arrays of numbers; an object may fill the whole file, on one line
+    or indented, or there may be one on each line.
+
+    The reader ends a row at every closing bracket, so each entry is a row and a large object is split over tasks. What is
+    neither an entry nor the braces and commas between entries raises.
+    """
+    rows = spark.read.option("lineSep", "]").text(path)
+    rest = F.regexp_replace("value", r"^[\s{},]+", "")
+    entry = r'^"([^"\\]*)"\s*:\s*\[([^\[\]]*)$'
+    body = F.from_json(F.concat(F.lit("["), F.regexp_extract(rest, entry, 2), F.lit("]")), value, {"mode": "FAILFAST"})
+    broken = F.raise_error(F.concat(F.lit("no JSON entry: "), F.left(rest, F.lit(80))))
+    whole = rest.rlike(entry)
+    return rows.where(rest != "").select(F.regexp_extract(rest, entry, 1).alias("key"), F.when(whole, body).otherwise(broken.cast(value)).alias("value"))
 
 
 def read_neighbour_json(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
