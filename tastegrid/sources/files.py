@@ -161,7 +161,7 @@ def _json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     body = F.from_json(F.concat(F.lit("["), F.regexp_extract(rest, entry, 2), F.lit("]")), value, {"mode": "FAILFAST"})
     broken = F.raise_error(F.concat(F.lit("no JSON entry: "), F.left(rest, F.lit(80))))
     whole = rest.rlike(entry)
-    return rows.where(rest != "").select(F.regexp_extract(rest, entry, 1).alias("key"), F.when(whole, body).otherwise(broken.cast(value)).alias("value"))
+    return rows.where(rest != "").select(F.regexp_extract(rest, entry, 1).alias("key"), F.when(whole, body).when(rest != "", broken.cast(value)).alias("value"))
 
 
 def read_neighbour_json(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
