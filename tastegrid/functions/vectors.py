@@ -7,9 +7,12 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.functions.ranking import top_k
+from tastegrid.session import stored
 
 # Rows of a block: enough blocks to keep the cluster busy, but as few copies of every vector as memory allows.
 _LEAST_BLOCK, _MOST_BLOCK = 256, 16_384
@@ -21,12 +24,6 @@ def as_double(vec: str | Column) -> Column:
     return (F.col(vec) if isinstance(vec, str) else vec).cast("array<double>")
 
 
-def width(df: DataFrame, vec: str) -> int:
-    """Length of the vectors, read from one row."""
-    row = df.filter(F.col(vec).isNotNull()).select(F.size(vec).alias("d")).first()
-    return row["d"] if row else 0
-
-
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -42,17 +39,19 @@ def normalised(vec: str, eps: float = 0.0) -> Column:
 
 
 def sum_vectors(df: DataFrame, keys: list[str], vec: str, dim: int, weight: str | None = None, out: str = "vec") -> DataFrame:
-    """Weighted element-wise sum per key as one partial aggregate per element: rows are not exploded."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    sums = [F.sum(w * F.col(vec)[i]).alias(f"_{i}") for i in range(dim)]
-    return df.groupBy(*keys).agg(*sums).select(*keys, F.array(*[f"_{i}" for i in range(dim)]).alias(out))
+    """Weighted element-wise sum per key: one aggregate over whole vectors, whatever their length ``dim``. Rows without a
+    vector count as zeros."""
+    values = F.coalesce(as_double(vec), F.array_repeat(F.lit(0.0), dim))
+    if weight:
+        values = F.zip_with(values, F.array_repeat(F.col(weight).cast("double"), dim), lambda x, w: x * w)  # weights may be negative
+    rows = df.select(*keys, array_to_vector(values).alias("_v"))
+    return rows.groupBy(*keys).agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias(out))
 
 
 def mean_vector(df: DataFrame, vec: str, dim: int, out: str = "mean_vec") -> DataFrame:
-    """One row: the element-wise mean."""
-    return df.agg(*[F.avg(F.col(vec)[i]).alias(f"_{i}") for i in range(dim)]).select(
-        F.array(*[f"_{i}" for i in range(dim)]).alias(out)
-    )
+    """One row: the element-wise mean of the vectors there are; null without any."""
+    rows = df.where(F.col(vec).isNotNull()).select(array_to_vector(as_double(vec)).alias("_v"))
+    return rows.agg(F.when(F.count("_v") > 0, vector_to_array(Summarizer.mean(F.col("_v")))).alias(out))
 
 
 def explode_vector(df: DataFrame, keys: list[str], vec: str = "vec", digits: int | None = None) -> DataFrame:
@@ -94,6 +93,7 @@ def block_pairs(
     ``k`` every task keeps only its own k best per i before the shuffle (ties by j), the final top-k picks
     among them. Scores are rounded to ``digits`` so that block shapes cannot reorder equal ones.
     """
+    left, right = stored(left, "left"), stored(right, "right")  # counted now, read twice
     nx, ny = _block_counts(left, right, block)
     x = _vector_blocks(left, "x", "y", nx, ny)
     y = _vector_blocks(right.toDF(*right.columns), "y", "x", ny, nx)
@@ -117,10 +117,11 @@ def block_pairs(
         if k is None or k >= got.shape[1]:
             r, c = np.nonzero(ok)
         else:
-            order = np.argsort(np.where(ok, -got, np.inf), axis=1, kind="stable")[:, :k]
-            r, c = np.repeat(np.arange(len(ids_i)), k), order.ravel()
-            good = ok[r, c]
-            r, c = r[good], c[good]
+            lost = np.where(ok, -got, np.inf)
+            cut = np.partition(lost, k - 1, axis=1)[:, k - 1 : k]
+            inside, tied = lost < cut, lost == cut  # of equal ones at the cut the first by j
+            tied &= np.cumsum(tied, axis=1) <= k - inside.sum(axis=1, keepdims=True)
+            r, c = np.nonzero((inside | tied) & ok)
         return pd.DataFrame({"i": ids_i[r], "j": ids_j[c], "score": got[r, c]})
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -150,6 +151,7 @@ def dense_rows(long: DataFrame, owner: str, index: str, value: str, width: int)
 
 def block_totals(table: DataFrame, total: Callable[[np.ndarray, np.ndarray], float], block: int | None = None) -> DataFrame:
     """(total): one number per pair of blocks of a vector table, all ordered pairs and self pairs in it."""
+    table = stored(table, "table")
     n, _ = _block_counts(table, table, block)
     x = _vector_blocks(table, "x", "y", n, n)
     y = _vector_blocks(table.toDF(*table.columns), "y", "x", n, n)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.functions.ratios import ratio
@@ -55,9 +57,10 @@ def zscore(mean: Sequence[float], std: Sequence[float], vec: str = "vec") -> Col
 
 def dimension_moments(vectors: DataFrame, dim: int) -> DataFrame:
     """One row: arrays of the mean and population deviation of each dimension."""
-    cells = [f(F.col("vec")[i]).alias(f"{n}{i}") for n, f in (("m", F.avg), ("s", F.stddev_pop)) for i in range(dim)]
-    row = vectors.agg(*cells)
-    return row.select(F.array(*[f"m{i}" for i in range(dim)]).alias("mean"), F.array(*[f"s{i}" for i in range(dim)]).alias("std"))
+    both = Summarizer.metrics("mean", "variance").summary(array_to_vector(F.col("vec").cast("array<double>")))
+    row = vectors.where("vec IS NOT NULL").agg(both.alias("m"), F.count(F.lit(1)).alias("n"))
+    population = F.transform(vector_to_array("m.variance"), lambda v: F.sqrt(v * (F.col("n") - 1) / F.greatest("n", F.lit(1))))
+    return row.select(vector_to_array("m.mean").alias("mean"), population.alias("std"))
 
 
 def concat_modalities(a: DataFrame, b: DataFrame) -> DataFrame:

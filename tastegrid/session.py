@@ -58,6 +58,11 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` itself if :func:`materialise` wrote it, else its written form: for what is counted first and read again."""
+    return df if hasattr(df, "folder") else materialise(df, name)
+
+
 def discard(table: DataFrame) -> None:
     """Delete what :func:`materialise` wrote for ``table``, once nothing will read it again."""
     spark = table.sparkSession
