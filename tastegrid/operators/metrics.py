@@ -8,14 +8,15 @@ with lists but no hit stay in it with zeros. A metric is a column over that fram
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cached_property, reduce
 from math import log
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tastegrid.functions.ranking import top_k
+from tastegrid.functions.ranking import running_total, top_k
 from tastegrid.functions.ratios import NAN, ratio
 from tastegrid.operators.unpersonalised import item_popularity, short_head
+from tastegrid.session import materialise
 
 
 def binary_relevance(test: DataFrame, threshold: float) -> DataFrame:
@@ -334,11 +335,14 @@ class Evaluation:
 
     @staticmethod
     def mean_difference(per_cluster: DataFrame) -> DataFrame:
-        """Mean absolute difference over cluster pairs, from the sorted cluster values."""
-        order = Window.orderBy("value")
-        placed = per_cluster.select("value", F.row_number().over(order).alias("t"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("n"))
-        pairs = F.max("n") * (F.max("n") - 1) / 2
-        return placed.agg((F.sum(F.col("value") * (2 * F.col("t") - F.col("n") - 1)) / pairs).alias("value"))
+        """Mean absolute difference over cluster pairs, from running counts over the distinct values in order; NaN for less
+        than two clusters."""
+        levels = per_cluster.where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("m"))
+        levels = materialise(levels, "levels")
+        n = levels.agg(F.sum("m")).scalar()
+        placed = running_total(levels, [F.asc("value")], "m", "cum")
+        total = F.sum(F.col("value") * F.col("m") * (2 * F.col("cum_before") + F.col("m") - n))
+        return placed.agg(ratio(total, F.max(n) * (F.max(n) - 1) / 2, NAN).alias("value"))
 
     def user_mad_rating(self, clusters: DataFrame) -> DataFrame:
         means = self.recs.join(self.gated, "user", "left_semi").groupBy("user").agg(F.avg("score").alias("v"))
@@ -432,12 +436,58 @@ def eval_error(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return both.agg(F.avg(F.pow(F.col("score") - F.col("rating"), 2)).alias("value"))
 
 
-# Metric names are matched without regard to case; unknown names are left out of a simple list.
+# Metrics of the per-user frame, at every cutoff in one pass.
 SIMPLE = ["Precision", "Recall", "HR", "F1", "nDCG", "nDCGRendle2020", "MRR", "MAP", "MAR", "NumRetrieved"]
+# One value of the whole lists at a cutoff.
+WHOLE = {
+    "DSC": lambda ev, x: ev.values({"value": ev.dsc("Precision", "Recall", 1.0)}),
+    "ExtendedF1": lambda ev, x: ev.values({"value": ev.dsc("nDCG", "MRR", 1.0)}),
+    "AUC": lambda ev, x: ev.auc(),
+    "GAUC": lambda ev, x: ev.gauc(),
+    "LAUC": lambda ev, x: ev.lauc(),
+    "MAE": lambda ev, x: ev.rating_errors().select(F.col("MAE").alias("value")),
+    "MSE": lambda ev, x: ev.rating_errors().select(F.col("MSE").alias("value")),
+    "RMSE": lambda ev, x: ev.rating_errors().select(F.col("RMSE").alias("value")),
+    "ItemCoverage": lambda ev, x: ev.item_coverage(),
+    "UserCoverage": lambda ev, x: ev.user_coverage(),
+    "UserCoverageAtN": lambda ev, x: ev.user_coverage_at_n(),
+    "Gini": lambda ev, x: ev.gini(),
+    "SEntropy": lambda ev, x: ev.shannon_entropy(),
+    "EPC": lambda ev, x: ev.epc(),
+    "ExtendedEPC": lambda ev, x: ev.epc(graded=True),
+    "EFD": lambda ev, x: ev.efd(),
+    "ExtendedEFD": lambda ev, x: ev.efd(graded=True),
+    "ARP": lambda ev, x: ev.arp(),
+    "APLT": lambda ev, x: ev.aplt(),
+    "ACLT": lambda ev, x: ev.aclt(),
+    "PopREO": lambda ev, x: ev.pop_reo(),
+    "PopRSP": lambda ev, x: ev.pop_rsp(),
+    "ExtendedPopREO": lambda ev, x: ev.pop_reo(x.get("pop_ratio", 0.8)),
+    "ExtendedPopRSP": lambda ev, x: ev.pop_rsp(x.get("pop_ratio", 0.8)),
+    "SRecall": lambda ev, x: ev.srecall(x["features"]),
+    "UserMADrating": lambda ev, x: ev.user_mad_rating(x["user_clusters"]),
+    "UserMADranking": lambda ev, x: ev.user_mad_ranking(x["user_clusters"]),
+    "ItemMADrating": lambda ev, x: ev.item_mad_rating(x["item_clusters"]),
+    "ItemMADranking": lambda ev, x: ev.item_mad_ranking(x["item_clusters"]),
+    "REO": lambda ev, x: ev.spread(ev.reo(x["item_clusters"])),
+    "RSP": lambda ev, x: ev.spread(ev.rsp(x["item_clusters"])),
+}
+# A value for each group.
+GROUPED = {
+    "clustered_nDCG": lambda ev, x: ev.clustered("nDCG", x["user_clusters"]),
+    "clustered_Recall": lambda ev, x: ev.clustered("Recall", x["user_clusters"]),
+    "clustered_APLT": lambda ev, x: ev.clustered_aplt(x["user_clusters"]),
+    "clustered_GiniIndex": lambda ev, x: ev.gini(x["user_clusters"]),
+    "BiasDisparityBR": lambda ev, x: ev.bias_recommended(x["user_clusters"], x["item_clusters"]),
+    "BiasDisparityBS": lambda ev, x: ev.bias_source(x["user_clusters"], x["item_clusters"]),
+    "BiasDisparityBD": lambda ev, x: ev.bias_disparity(x["user_clusters"], x["item_clusters"]),
+}
+REGISTRY = [*SIMPLE, *WHOLE, *GROUPED]
 
 
 def known_metrics(names: Sequence[str]) -> list[str]:
-    by_lower = {m.lower(): m for m in SIMPLE}
+    """The registry's spelling of the names, whose case does not matter; names it does not have are left out."""
+    by_lower = {m.lower(): m for m in REGISTRY}
     return [by_lower[n.lower()] for n in names if n.lower() in by_lower]
 
 
@@ -450,15 +500,33 @@ def evaluate(
     threshold: float = 0.0,
     val: DataFrame | None = None,
     val_recs: DataFrame | None = None,
+    **inputs,
 ) -> DataFrame:
-    """(part, k, metric, value) at all cutoffs in one pass; without a validation part its rows repeat the test's."""
-    names = known_metrics(metrics)
-
-    def long(ev: Evaluation) -> DataFrame:
-        return ev.values(names).unpivot(["k"], names, "metric", "value")
+    """(part, k, metric, value) for any metrics of :data:`REGISTRY` at all cutoffs; without a validation part its rows
+    repeat the test's.
 
-    tested = long(Evaluation(recs, test, train, cutoffs, threshold))
+    ``inputs`` are what some metrics need: ``features(item, feature_id)``, ``user_clusters(user, cluster)``,
+    ``item_clusters(item, cluster)``, ``pop_ratio``; a missing one is a ``KeyError``. A metric with a value per group has
+    the group in its name: ``clustered_nDCG[2]``, ``BiasDisparityBR[1,0]``.
+    """
+    names = known_metrics(metrics)
+    simple = [n for n in names if n in SIMPLE]
+
+    def long(lists: DataFrame, truth: DataFrame) -> DataFrame:
+        parts = [Evaluation(lists, truth, train, cutoffs, threshold).values(simple).unpivot(["k"], simple, "metric", "value")] if simple else []
+        for k in cutoffs:
+            ev = Evaluation(lists, truth, train, k, threshold)
+            for n in names:
+                if n in WHOLE:
+                    parts.append(WHOLE[n](ev, inputs).select(F.lit(k).alias("k"), F.lit(n).alias("metric"), F.col("value").cast("double")))
+                elif n in GROUPED:
+                    found = GROUPED[n](ev, inputs)
+                    group = F.concat_ws(",", *[F.col(c).cast("string") for c in found.columns if c != "value"])
+                    parts.append(found.select(F.lit(k).alias("k"), F.concat(F.lit(f"{n}["), group, F.lit("]")).alias("metric"), F.col("value").cast("double")))
+        return reduce(DataFrame.unionByName, parts)
+
+    tested = long(recs, test)
     if val is None:
         return tested.withColumn("part", F.explode(F.array(F.lit("test"), F.lit("val"))))
-    checked = long(Evaluation(recs if val_recs is None else val_recs, val, train, cutoffs, threshold))
+    checked = long(recs if val_recs is None else val_recs, val)
     return tested.withColumn("part", F.lit("test")).unionByName(checked.withColumn("part", F.lit("val")))

@@ -10,6 +10,8 @@ from tastegrid.plans.fixtures import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The same without the views in front, for queries that put several together.
+BODIES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -19,6 +21,7 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = with_views(sql)
+            BODIES[name] = sql
         return fn
 
     return add

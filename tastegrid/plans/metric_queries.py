@@ -8,7 +8,7 @@ from tastegrid.operators import metrics as me
 from tastegrid.operators import split as sp
 from tastegrid.operators import unpersonalised as un
 from tastegrid.plans import fixtures as fx
-from tastegrid.plans.catalog import longs, query, rounded
+from tastegrid.plans.catalog import BODIES, longs, query, rounded
 from tastegrid.session import materialise
 from tastegrid.plans.prepare_queries import _HEAD, _draw_sql
 
@@ -412,6 +412,24 @@ def me45(spark, sf):
     return rounded(out, "value")
 
 
+# Every single-valued metric by name, next to the SQL of its own query over the same lists.
+_ALL = {
+    "AUC": "me12_auc", "GAUC": "me13_gauc", "LAUC": "me14_lauc", "MAE": "me15_mae", "MSE": "me16_mse", "RMSE": "me17_rmse", "ItemCoverage": "me19_item_coverage",
+    "UserCoverage": "me20_user_coverage", "UserCoverageAtN": "me21_user_coverage_at_n", "Gini": "me23_gini", "SEntropy": "me24_shannon_entropy", "SRecall": "me25_srecall",
+    "EPC": "me26_epc", "ExtendedEPC": "me26_extended_epc", "EFD": "me27_efd", "ExtendedEFD": "me27_extended_efd", "ARP": "me28_arp", "APLT": "me29_aplt", "ACLT": "me29_aclt",
+    "PopREO": "me30_pop_reo", "PopRSP": "me31_pop_rsp", "ExtendedF1": "me06_extended_f1", "UserMADrating": "me34_user_mad_rating", "UserMADranking": "me34_user_mad_ranking",
+    "ItemMADrating": "me35_item_mad_rating", "ItemMADranking": "me35_item_mad_ranking",
+}
+_ALL_SQL = " UNION ALL ".join(f"SELECT '{m}' AS metric, value::DOUBLE AS value FROM ({BODIES[q].replace(_EVR, _EV)})" for m, q in _ALL.items())
+
+
+@query("me45_evaluate_all", f"SELECT p AS part, {K}::INTEGER AS k, metric, round(value, 6) AS value FROM ({_ALL_SQL}), (VALUES ('test'), ('val')) q(p)")
+def me45_all(spark, sf):
+    inputs = {"features": fx.attribute_ids(spark, sf), "user_clusters": fx.user_clusters(spark, sf), "item_clusters": fx.item_clusters(spark, sf)}
+    out = me.evaluate(fx.recs(spark, sf), fx.test(spark, sf), fx.train(spark, sf), [K], list(_ALL), fx.THRESHOLD, **inputs)
+    return rounded(out, "value")
+
+
 @query("re01_binary_relevance", "SELECT user, item, rating FROM rel")
 def re01(spark, sf):
     return me.binary_relevance(fx.test(spark, sf), fx.THRESHOLD).select("user", "item", "rating")
