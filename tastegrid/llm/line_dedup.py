@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tastegrid.session import materialise
+
 #: A line on at least this part of a host's pages, and on at least so many, is dropped.
 RATIO = 0.08
 MIN_PAGES = 4
@@ -39,10 +41,10 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     A line is on a page once, however often it stands there; all its places are dropped. Blank lines stay. A null text
     stays null with no lines; a text that loses all lines becomes empty, its row stays. Null hosts are one host;
     repeated rows are pages of their own. Other columns stay as they are, unless they have the names of the two counts.
-    The hosts' arrays are joined to the rows by host; Spark broadcasts them if they are small by its measure and else
-    splits the rows of a hot host.
+    The hosts' arrays are written first, so Spark knows their size when it joins them to the rows by host: it broadcasts
+    them if they are small and else splits the rows of a hot host.
     """
-    found = boilerplate(docs, host_col, text_col, ratio, min_pages).select(F.col("host").alias("__host"), F.col("drop").alias("__drop"))
+    found = materialise(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate").select(F.col("host").alias("__host"), F.col("drop").alias("__drop"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*columns).join(found, F.col(host_col).eqNullSafe(F.col("__host")), "left")
     lines = _lines(text_col)
