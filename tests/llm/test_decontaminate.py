@@ -80,3 +80,11 @@ def test_odd_rows(spark, documents, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.contaminated(documents(odd), none).count() == 0 and dc.clean(documents(odd), none).count() == len(odd)
     assert dc.contaminated(documents([]), bench).count() == 0
+
+
+def test_clean_by_row_not_by_id(spark, documents):
+    leak = " ".join(f"item{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    rows = [(None, leak, "s"), (None, "an own text", "s"), (4, f"before {leak} after", "s"), (4, "another own text", "s"), (None, None, "s")]
+    kept = sorted(((r.doc_id, r.text) for r in dc.clean(documents(rows), bench).collect()), key=str)
+    assert kept == sorted([(None, "an own text"), (4, "another own text"), (None, None)], key=str)

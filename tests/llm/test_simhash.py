@@ -76,3 +76,11 @@ def test_keep_first(spark, documents):
 def test_empty(spark, documents):
     assert simhash.near_duplicates(documents([])).count() == 0
     assert simhash.keep_first(documents([(None, None, None), (3, None, None)])).count() == 1
+
+
+def test_keep_first_by_row_not_by_id(spark, documents):
+    rnd = random.Random(8)
+    a, b, c = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    data = [(None, a, "s"), (7, b, "s"), (7, c, "s"), (9, b, "s"), (None, b, "s"), (7, c, "s")]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_first(documents(data)).collect()), key=str)
+    assert kept == sorted([(None, a), (7, b), (7, c)], key=str)
