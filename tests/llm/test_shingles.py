@@ -1,0 +1,66 @@
+import random
+
+from tastegrid.llm import shingles
+
+
+def plain_groups(data):
+    def own(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [own(t) for _, t, _ in data]
+    group = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (sets[i] == sets[j] or both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)) and group[i] != group[j]:
+                old = group[i]
+                group = [group[j] if g == old else g for g in group]
+    return group
+
+
+def check(documents, data):
+    group = plain_groups(data)
+    first = {}
+    for (i, t, s), g in sorted(zip(data, group), key=lambda x: (x[0][0] is None, x[0][0] or 0, str(x[0]))):
+        first.setdefault(g, (i, t))
+    assert sorted(((r.doc_id, r.text) for r in shingles.keep_first(documents(data)).collect()), key=str) == sorted(first.values(), key=str)
+    return len(first)
+
+
+def test_equals_all_pairs(spark, documents):
+    rnd = random.Random(6)
+    data = [(i, " ".join(f"w{rnd.randrange(900)}" for _ in range(120)), "s") for i in range(12)]
+    for i in range(12, 150):
+        words = rnd.choice(data)[1].split()
+        for _ in range(rnd.randrange(4)):  # up to fifteen of 116 shingles change: similarity around 0.8
+            words[rnd.randrange(120)] = f"x{i}"
+        data.append((i, " ".join(words), "s"))
+    assert 12 < check(documents, data) < 150
+
+
+def test_ids_and_odd_texts(spark, documents):
+    rnd = random.Random(7)
+    a, b, c = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    data = [(None, a, "s"), (7, b, "s"), (7, c, "s"), (9, b.upper(), "s"), (None, None, "s"), (3, "", "s"), (5, "one two", "s"), (6, "One  two", "s"), (8, "one", "s")]
+    check(documents, data)
+    assert shingles.keep_first(documents([])).count() == 0
+
+
+def test_pair_that_simhash_parts(spark, documents):
+    """Jaccard 0.8 or more and more than four bits apart."""
+    from tastegrid.llm import simhash
+
+    rnd = random.Random(9)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+    near = None
+    for k in range(200):
+        other = list(words)
+        for at in (20, 60):
+            other[at] = f"y{k}"
+        a, b = (simhash.fingerprint(" ".join(w)) for w in (words, other))
+        if bin(a ^ b).count("1") > 4:
+            near = other
+            break
+    docs = documents([(1, " ".join(words), "s"), (2, " ".join(near), "s")])
+    assert simhash.keep_first(docs).count() == 2 and shingles.keep_first(docs).count() == 1
