@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -22,8 +23,8 @@ from tastegrid.session import materialise
 
 #: At most so many labelled documents (in expectation, chosen by a hash) teach the models; the corpus counts use all rows.
 MAX_LABELLED = 50_000
-#: At most so many prefixes are sent to the tasks: the most frequent ones in the labelled rows.
-MAX_NODES = 1 << 18
+#: Texts that a task splits into words at once.
+GROUP = 200
 DEPTH = 8
 DISCOUNT = 0.75
 #: A step with n training documents behind it counts n / (n + CAUTION).
@@ -102,10 +103,11 @@ def nodes(words: DataFrame, depth: int = DEPTH) -> DataFrame:
     return paths.groupBy("p.node", "p.parent").agg(*[F.sum(c).alias(c) for c in CELLS], F.count(F.lit(1)).alias("types"))
 
 
-def model(tree: DataFrame, folds: tuple[int, ...], max_nodes: int = MAX_NODES, discount: float = DISCOUNT) -> DataFrame:
+def model(tree: DataFrame, folds: tuple[int, ...], max_nodes: int | None = None, discount: float = DISCOUNT) -> DataFrame:
     """``node, step, back``: log-likelihood ratio of taking the step to the node, and of leaving the known words below it.
 
-    Only nodes that two labelled documents hold are kept, at most ``max_nodes``; a kept node's parents are kept as well.
+    Nodes that two labelled documents hold are kept, all of them unless a caller sets ``max_nodes``, which keeps the most
+    frequent ones; a kept node's parents are kept as well.
     """
     t, o = (sum((F.col(f"{c}{k}") for k in folds), F.lit(0)) for c in "to")
     own = tree.select("node", "parent", "types", t.alias("t"), o.alias("o"))
@@ -130,13 +132,15 @@ def model(tree: DataFrame, folds: tuple[int, ...], max_nodes: int = MAX_NODES, d
 
     below = below.withColumns({"t_free": freed("t"), "even_free": freed("even")})
     kept = own.where("both >= 2")
-    by_count = kept.groupBy(F.least("both", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("nodes")).collect()  # 1000 rows at most
-    cutoff, room = 1001, max_nodes
-    for r in sorted(by_count, key=lambda r: -r["n"]):
-        room -= r["nodes"]
-        if room < 0:
-            break
-        cutoff = r["n"]
+    cutoff = 2
+    if max_nodes is not None:
+        by_count = kept.groupBy(F.least("both", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("nodes")).collect()  # 1000 rows at most
+        cutoff, room = 1001, max_nodes
+        for r in sorted(by_count, key=lambda r: -r["n"]):
+            room -= r["nodes"]
+            if room < 0:
+                break
+            cutoff = r["n"]
     kept = kept.where(F.col("both") >= cutoff).join(below.alias("up"), F.col("parent") == F.col("up.at"))
     shared = F.greatest(F.col("both") - discount, F.lit(0.0)) / F.col("both_all")
     shared = shared + discount * F.col("both_kinds") / F.col("both_all") * F.col("types") / F.col("types_all")
@@ -156,16 +160,64 @@ def model(tree: DataFrame, folds: tuple[int, ...], max_nodes: int = MAX_NODES, d
 Model = dict[str, tuple[float, float]]
 
 
-def _collected(spark: SparkSession, rows: DataFrame):
-    """The model as a broadcast dictionary: at most ``MAX_NODES`` entries."""
+#: The same as three arrays, sorted by the hash of the node: 24 bytes per node.
+Packed = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _hashes(nodes: list[str]) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(x.encode("utf-8", "surrogatepass")) for x in nodes), dtype=np.uint64, count=len(nodes))
+
+
+def packed(rows: DataFrame) -> Packed:
+    """All nodes of the model: as many as two of the bounded sample's documents share, whatever the corpus."""
     table = rows.toArrow()
-    return spark.sparkContext.broadcast(dict(zip(table["node"].to_pylist(), zip(table["step"].to_pylist(), table["back"].to_pylist()))))
+    own = np.concatenate([np.zeros(0, np.uint64), *(_hashes(c.to_pylist()) for c in table["node"].chunks)])
+    order = np.argsort(own, kind="stable")
+    return own[order], table["step"].to_numpy()[order], table["back"].to_numpy()[order]
+
+
+def _collected(spark: SparkSession, rows: DataFrame):
+    return spark.sparkContext.broadcast(packed(rows))
+
+
+def _path(word: str, depth: int = DEPTH) -> list[str]:
+    return [*(word[:k] for k in range(1, min(len(word), depth) + 1)), word + "$"]
+
+
+def word_ratios(words: list[str], known: Packed, depth: int = DEPTH) -> np.ndarray:
+    """:func:`word_ratio` of many words at once."""
+    nodes, steps, backs = known
+    if not words or not len(nodes):
+        return np.zeros(len(words))
+    paths = [_path(w, depth) for w in words]
+    lengths = np.fromiter(map(len, paths), dtype=np.int64, count=len(paths))
+    own = _hashes([x for p in paths for x in p])
+    at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
+    row = np.repeat(np.arange(len(words)), lengths)
+    col = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    found = np.zeros((len(words), depth + 1), dtype=bool)
+    step, back = np.zeros(found.shape), np.zeros(found.shape)
+    found[row, col], step[row, col], back[row, col] = nodes[at] == own, steps[at], backs[at]
+    on = np.logical_and.accumulate(found, axis=1)
+    last = on.sum(axis=1)
+    left = np.where((last > 0) & (last < lengths), back[np.arange(len(words)), np.maximum(last - 1, 0)], 0.0)
+    return np.clip((step * on).sum(axis=1) + left, -CLIP, CLIP)
+
+
+def _learn(memo: dict[str, float], texts: list[list[str]], known: Packed) -> None:
+    """Put the ratio of every word of ``texts`` into ``memo``."""
+    if len(memo) > 500_000:
+        memo.clear()
+    new = list({w for words in texts for w in words if w not in memo})
+    for k in range(0, len(new), 20_000):
+        memo.update(zip(new[k : k + 20_000], word_ratios(new[k : k + 20_000], known).tolist()))
 
 
 def word_ratio(word: str, known: Model, depth: int = DEPTH) -> float:
     """Log-likelihood ratio of a word: the steps along its prefixes, up to where the model knows no further."""
     total, back = 0.0, 0.0
-    for node in (*(word[:k] for k in range(1, min(len(word), depth) + 1)), word + "$"):
+    for node in _path(word, depth):
         found = known.get(node)
         if found is None:
             total += back
@@ -175,24 +227,19 @@ def word_ratio(word: str, known: Model, depth: int = DEPTH) -> float:
     return max(-CLIP, min(CLIP, total))
 
 
-def _features(text: str | None, known: Model, memo: dict[str, float]) -> tuple[float, ...]:
+def _features(words: list[str], memo: dict[str, float]) -> tuple[float, ...]:
     """Evidence of a text: the mean ratio of its words, and of what is above ``MARGIN`` in them the sum per word (once as
     a root, once damped for short texts), all counted once per ``WINDOW`` words, so that a repeated word adds little; and
     one over the root of the number of words."""
-    words = words_of(text)
     if not words:
         return 0.0, 0.0, 0.0, 1.0
-    if len(memo) > 500_000:
-        memo.clear()
     total = strong = 0.0
     seen = 0
     for k in range(0, len(words), WINDOW):
         own = set(words[k : k + WINDOW])
         seen += len(own)
         for w in own:
-            r = memo.get(w)
-            if r is None:
-                r = memo[w] = word_ratio(w, known)
+            r = memo[w]
             total += r
             if r > MARGIN:
                 strong += r - MARGIN
@@ -233,7 +280,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 100) ->
     return w / scale
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_nodes: int = MAX_NODES, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     ``score`` is the calibrated chance of label 1, from the text alone. Weights of the calibration are fitted on training
@@ -241,31 +288,35 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     Repeated rows and null ids are scored like any other; without labels all scores are the same. Extra columns are
     ignored; an empty table gives an empty one.
     """
-    return _scored(docs.select("doc_id", held_out().alias("held_out"), "text"), docs, labels, max_labelled, max_nodes, threshold).drop("text")
+    return _scored(docs.select("doc_id", held_out().alias("held_out"), "text"), docs, labels, max_labelled, threshold).drop("text")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_nodes: int = MAX_NODES, threshold: float = THRESHOLD) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score reaches the threshold; all columns stay, of null ids and repeated rows too."""
     others = [c for c in docs.columns if c != "text"]
     packed = docs.select("text", F.struct(*others).alias("row"))  # a struct, so that no name clashes
-    kept = _scored(packed, docs, labels, max_labelled, max_nodes, threshold).where("predicted = 0")
+    kept = _scored(packed, docs, labels, max_labelled, threshold).where("predicted = 0")
     return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, max_labelled: int, max_nodes: int, threshold: float) -> DataFrame:
+def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, max_labelled: int, threshold: float) -> DataFrame:
     """``rows`` (with a column ``text``) plus ``score`` and ``predicted``, by models learned from ``docs`` and ``labels``."""
     spark = docs.sparkSession
     sample = materialise(labelled_sample(labels, max_labelled), "sample")
     tree = materialise(nodes(word_counts(docs, sample)), "nodes")
-    halves = [_collected(spark, model(tree, (k,), max_nodes)) for k in (1, 0)]  # by fold of the row that is scored
+    halves = [_collected(spark, model(tree, (k,))) for k in (1, 0)]  # by fold of the row that is scored
 
     names = [f"x{k}" for k in range(FEATURES)]
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos: list[dict[str, float]] = [{}, {}]
         for b in batches:
-            cells = b.column(1).to_pylist()
-            out = [_features(t, halves[c // 2].value, memos[c // 2]) for t, c in zip(b.column(0).to_pylist(), cells)]
+            cells, out = b.column(1).to_pylist(), []
+            for k in range(0, len(cells), GROUP):
+                texts, own = [words_of(t) for t in b.column(0)[k : k + GROUP].to_pylist()], cells[k : k + GROUP]
+                for fold in (0, 1):
+                    _learn(memos[fold], [t for t, c in zip(texts, own) if c // 2 == fold], halves[fold].value)
+                out.extend(_features(t, memos[c // 2]) for t, c in zip(texts, own))
             cols = list(zip(*out)) if out else [()] * FEATURES
             yield pa.RecordBatch.from_arrays([pa.array([c % 2 for c in cells], pa.int32()), *(pa.array(c, pa.float64()) for c in cols)], names=["y", *names])
 
@@ -273,12 +324,17 @@ def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, max_labelled: i
     seen = own.mapInArrow(cross, ", ".join(["y int", *(f"{x} double" for x in names)])).toArrow()  # a row of numbers for each of the bounded sample
     x = np.column_stack([seen[c].to_numpy() for c in names]) if len(seen) else np.zeros((0, FEATURES))
     weights = fit(x, seen["y"].to_numpy().astype(float)) if len(seen) else np.zeros(FEATURES + 1)
-    known = _collected(spark, model(tree, (0, 1), max_nodes))
+    known = _collected(spark, model(tree, (0, 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         for b in batches:
-            found = np.array([_features(t, known.value, memo) for t in b.column("text").to_pylist()]).reshape(-1, FEATURES)
+            found = []
+            for k in range(0, b.num_rows, GROUP):
+                texts = [words_of(t) for t in b.column("text")[k : k + GROUP].to_pylist()]
+                _learn(memo, texts, known.value)
+                found.extend(_features(t, memo) for t in texts)
+            found = np.array(found).reshape(-1, FEATURES)
             z = np.clip(weights[0] + found @ weights[1:], -30, 30)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=[*b.schema.names, "score"])
 

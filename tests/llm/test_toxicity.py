@@ -74,3 +74,23 @@ def test_fit_recovers_a_threshold():
     x = np.linspace(-1, 1, 400)[:, None]
     w = tx.fit(x, (x[:, 0] > 0.2).astype(float))
     assert abs(-w[0] / w[1] - 0.2) < 0.05
+
+
+def test_a_rare_toxic_word_counts_beside_many_frequent_ones(spark):
+    """More nodes than 262,144 that are more frequent than the rare word."""
+    from pyspark.sql import functions as F
+
+    words = spark.range(150_000).select(F.substring(F.md5(F.col("id").cast("string")), 1, 12).alias("word"), *[F.lit(9).cast("long").alias(c) for c in tx.CELLS])
+    words = words.union(spark.createDataFrame([("zzblurgo", 0, 2, 0, 1)], words.schema))
+    known = tx.packed(tx.model(tx.nodes(words), (0, 1)))
+    assert len(known[0]) > 1 << 18
+    rare, other = tx.word_ratios(["zzblurgo", "zzother"], known)
+    assert rare > 0.5 and rare > other
+
+
+def test_ratios_at_once_equal_one_by_one(spark):
+    data = [("b", 0.5, 0.1), ("bl", 1.0, -0.2), ("bl$", 2.0, 0.0), ("é", 9.0, 0.3), ("abcdefgh", 1.0, 1.0)]
+    known = {n: (s, b) for n, s, b in data}
+    words = ["bl", "blur", "x", "é", "b", "abcdefghi", "elephant"]
+    got = tx.word_ratios(words, tx.packed(spark.createDataFrame(data, "node string, step double, back double")))
+    assert max(abs(g - tx.word_ratio(w, known)) for g, w in zip(got, words)) < 1e-12
