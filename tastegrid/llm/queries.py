@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastegrid.llm import chat_format, decontaminate, html_extract, license_scan, line_dedup, mixing, pii, quality_rules, simhash, toxicity
+from tastegrid.llm import chat_format, decontaminate, html_extract, license_scan, line_dedup, mixing, pii, quality_rules, simhash, toxicity, vector_codes
 from tastegrid.llm.registry import ORACLES, QUERIES, query, table
 
 
@@ -61,4 +61,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(examples)
 
 
+@query("op13_vector_codes", vector_codes.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
 __all__ = ["ORACLES", "QUERIES"]
