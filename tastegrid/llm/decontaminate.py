@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tastegrid.llm.registry import boxed, unboxed
+
 NGRAM = 3
 #: A seed is rare if words of its frequencies would meet by chance less than once in so many places.
 RARE = 1e-6
@@ -214,5 +216,6 @@ def _search(spark: SparkSession, docs: DataFrame, items: Items, min_score: float
 def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without the rows whose text holds a test item; a row goes for its own text alone, whatever its id."""
     texts = docs.select(F.md5("text").alias("doc_id"), "text")
-    hit = contaminated(texts, benchmark, min_score).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.md5("text") == F.col("__hit"), "left_anti")
+    hit = contaminated(texts, benchmark, min_score).select(F.col("doc_id").alias("hit")).distinct()
+    rows = boxed(docs, hit=F.md5("text"))
+    return rows.join(hit, "hit", "left_anti").select(*unboxed(rows, docs.columns))

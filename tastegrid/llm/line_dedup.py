@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tastegrid.llm.registry import boxed, unboxed
 from tastegrid.session import materialise
 
 #: A line on at least this part of a host's pages, and on at least so many, is dropped.
@@ -63,17 +64,17 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     The hosts' arrays are written first, so Spark knows their size when it joins them to the rows by host: it broadcasts
     them if they are small and else splits the rows of a hot host.
     """
-    found = materialise(boilerplate(docs, host_col, text_col, ratio, min_pages, long_ratio), "boilerplate").select(F.col("host").alias("__host"), F.col("drop").alias("__drop"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*columns).join(found, F.col(host_col).eqNullSafe(F.col("__host")), "left")
-    lines = _lines(text_col)
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), _line_key(x))))
-    out = joined.withColumn("__lines", F.when(F.col(text_col).isNotNull(), lines)).withColumn("__kept", F.when(F.col(text_col).isNotNull(), kept))
-    n, m = F.coalesce(F.size("__lines"), F.lit(0)), F.coalesce(F.size("__kept"), F.lit(0))
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
+    found = materialise(boilerplate(docs, host_col, text_col, ratio, min_pages, long_ratio), "boilerplate")
+    rows = boxed(docs, at=F.col(host_col), text=F.col(text_col))
+    lines = _lines("text")
+    kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop"), _line_key(x))))
+    joined = rows.join(found, F.col("at").eqNullSafe(F.col("host")), "left")
+    joined = joined.withColumn("lines", F.when(F.col("text").isNotNull(), lines)).withColumn("kept", F.when(F.col("text").isNotNull(), kept))
     # the size of a null array is -1 or null, by a setting of the session
-    n, m = F.greatest(n, F.lit(0)), F.greatest(m, F.lit(0))
-    return out.withColumns({"n_lines": n.cast("bigint"), "n_dropped": (n - m).cast("bigint"), text_col: text}).select(*columns, "n_lines", "n_dropped")
+    n, m = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) for c in ("lines", "kept"))
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(*unboxed(rows, columns, **{text_col: text, "n_lines": n.cast("bigint"), "n_dropped": (n - m).cast("bigint")}))
 
 
 #: DuckDB's SQL for :func:`drop_boilerplate` over the table ``{docs}``.

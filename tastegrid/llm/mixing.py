@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tastegrid.functions.hashing import md5_int, md5_key
 from tastegrid.functions.ranking import dense_index
-from tastegrid.llm.registry import WORD
+from tastegrid.llm.registry import WORD, boxed, unboxed
 from tastegrid.session import materialise
 
 BLOCK_WORDS = 16
@@ -100,7 +100,7 @@ def mix(
     block: int = BLOCK_WORDS,
     seed: str = "mix",
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken, shard, blocks`` for every row of ``docs``.
+    """``doc_id, size, source_size, target, taken, source, shard, blocks`` for every row of ``docs``.
 
     ``taken`` is the number of words that the mix takes from the row, repeats counted: never above ``most`` times its
     size, for ``most`` of 2 the document at most twice. A null text has size 0 and gives nothing; null sources are one
@@ -132,7 +132,7 @@ def mix(
     ahead = F.greatest(F.least(b, F.col("to")) - F.greatest(a, F.col("from")), F.lit(0))
     round_ = F.greatest(F.least(b, F.col("to") - length) - a, F.lit(0))
     taken = (F.col("turns") * F.col("size") + ahead + round_).cast("bigint")
-    return ring.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "shard", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    return ring.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "shard", F.coalesce("blocks", F.lit(0)).alias("blocks"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -141,10 +141,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     source and text's size."""
     new = ["size", "source_size", "target", "taken"]
     plan = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "size", "source_size", "target").agg(F.max("taken").alias("taken"))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), *[F.col(c).alias(f"__{c}") for c in new])
-    kept = docs.withColumn("__words", word_count(F.col("text")))
-    same = kept["doc_id"].eqNullSafe(plan["__id"]) & kept["source"].eqNullSafe(plan["__source"]) & (kept["__words"] == plan["__size"])
-    return kept.join(plan, same).select(*[c for c in docs.columns if c not in new], *[F.col(f"__{c}").alias(c) for c in new])
+    rows = boxed(docs, own=F.struct("doc_id", "source", word_count(F.col("text")).alias("size")))
+    own = plan.select(F.struct("doc_id", "source", "size").alias("of"), *new)
+    found = rows.join(own, F.col("own") == F.col("of"))  # structs are equal if their nulls are
+    return found.select(*unboxed(rows, [c for c in docs.columns if c not in new], **{c: F.col(c) for c in new}))
 
 
 #: The operator's result in DuckDB's SQL: every quotient of every block is ranked, instead of the few in question.
@@ -189,9 +189,9 @@ ring AS (
     {BLOCK_WORDS} * (('0x' || substr(md5('mix|start|' || d.rank || '|' || d.shard), 1, 8))::BIGINT % greatest(ceil(shard_size / {BLOCK_WORDS}.0), 1)::BIGINT) AS begin
   FROM dealt d JOIN shards s USING (rank, shard) LEFT JOIN shares h USING (rank, shard)),
 turned AS (SELECT *, CASE WHEN shard_size > 0 THEN take // shard_size ELSE 0 END AS turns FROM ring)
-SELECT doc_id, source, size, source_size, target,
+SELECT doc_id, size, source_size, target,
   (turns * size + greatest(least(stop, begin + take - turns * shard_size) - greatest(stop - size, begin), 0)
     + greatest(least(stop, begin + take - turns * shard_size - shard_size) - (stop - size), 0))::BIGINT AS taken,
-  shard, blocks::BIGINT AS blocks
+  source, shard, blocks::BIGINT AS blocks
 FROM turned
 """

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.llm.components import connected_components
+from tastegrid.llm.registry import boxed, unboxed
 from tastegrid.session import materialise
 
 SEED = 42
@@ -249,24 +250,13 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def row_key(docs: DataFrame) -> Column:
-    """Digest of all columns of a row: rows that share it are equal in every column."""
-    return F.md5(F.to_json(F.struct(*docs.columns)))
-
-
-def place(docs: DataFrame, id_col: str) -> Column:
-    """Order of the rows in a group of near-duplicates: smallest id first, null ids last, equal ids by their row keys."""
-    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row_key(docs).alias("key"))
-
-
-def rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose row key is in ``keys(key)``, one of each key."""
-    marked = docs.select(*docs.columns, row_key(docs).alias("__key"))
-    return marked.join(keys.select(F.col("key").alias("__key")), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
-
-
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the row with the smallest id, one with a null id only if no
-    other is in the group. Rows are told apart by all their columns, so null and repeated ids lose no group."""
-    placed = docs.select(place(docs, id_col).alias("place"), F.col(text_col).alias("text"))
-    return rows_of(docs, near_duplicates(placed, "place", "text", words, radius).select("component_id.key").distinct())
+    other is in the group, the smallest digest of all columns among equal ids. Rows are told apart by all their columns, so
+    null and repeated ids lose no group; columns may have any names."""
+    key = F.md5(F.to_json("row"))
+    rows = boxed(docs).select("row", key.alias("key"))
+    place = F.struct(F.col("row")[id_col].isNull().alias("none"), F.col("row")[id_col].alias("id"), F.col("key").alias("key"))
+    placed = rows.select(place.alias("place"), F.col("row")[text_col].alias("text"))
+    first = near_duplicates(placed, "place", "text", words, radius).select("component_id.key").distinct()
+    return rows.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*unboxed(rows, docs.columns))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tastegrid.functions.hashing import md5_int
+from tastegrid.llm.registry import boxed, unboxed
 from tastegrid.session import materialise
 
 #: At most so many labelled documents (in expectation, chosen by a hash) teach the models; the corpus counts use all rows.
@@ -293,10 +294,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score reaches the threshold; all columns stay, of null ids and repeated rows too."""
-    others = [c for c in docs.columns if c != "text"]
-    packed = docs.select("text", F.struct(*others).alias("row"))  # a struct, so that no name clashes
-    kept = _scored(packed, docs, labels, max_labelled, threshold).where("predicted = 0")
-    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    rows = boxed(docs, text=F.col("text"))
+    kept = _scored(rows, docs, labels, max_labelled, threshold).where("predicted = 0")
+    return kept.select(*unboxed(rows, docs.columns))
 
 
 def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, max_labelled: int, threshold: float) -> DataFrame:
