@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastegrid.llm import chat_format, decontaminate, html_extract, license_scan, line_dedup, mixing, pii, quality_rules, simhash, source_audit, toxicity, vector_codes
+from tastegrid.llm import chat_format, decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, pii, quality_rules, simhash, source_audit, toxicity, vector_codes
 from tastegrid.llm.registry import ORACLES, QUERIES, query, table
 
 
@@ -66,6 +66,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
 
+@query("op12_language_id")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op13_vector_codes", vector_codes.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
