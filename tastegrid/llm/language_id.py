@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -365,7 +366,7 @@ class Tagger:
             self._forget()
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         at = np.fromiter((self.ids[w] for words in texts for w in words), np.int64, int(lengths.sum()))
-        new = list(self.ids)[len(self.table) :]
+        new = list(islice(self.ids, len(self.table), None))
         if new:
             self.table = np.concatenate([self.table, *(self.field.scores(new[k : k + 50_000]) for k in range(0, len(new), 50_000))])
         return marginals(self.table[at], lengths, self.field.moves), lengths

@@ -1,6 +1,7 @@
 """Toxicity from two class-conditional Kneser-Ney models over the words of a text.
 
-A word is spelled as a path of prefixes that ends in the word itself. Each class has its own discounted counts along the
+A word is spelled as a path of prefixes, of one to ``DEPTH`` letters, that ends in the word itself: longer words share their
+first ``DEPTH`` letters and are told apart by the last step, so no letter of a word goes unread. Each class has its own discounted counts along the
 path; what the discount sets free goes to one backoff distribution for both classes: their joint counts, discounted in turn
 in favour of Kneser-Ney's continuation counts, in how many different words of the whole corpus a prefix continues so. A
 rare or unseen form of an expression thus falls back on the forms it shares its beginning with. A document's score
@@ -10,7 +11,9 @@ compares the two log-likelihoods per word.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,10 @@ from tastegrid.session import materialise
 
 #: At most so many labelled documents (in expectation, chosen by a hash) teach the models; the corpus counts use all rows.
 MAX_LABELLED = 50_000
-#: Texts that a task splits into words at once.
-GROUP = 200
+#: Words that a task scores at once, and different words whose ratios it remembers.
+CHUNK = 200_000
+MEMORY = 300_000
+#: Letters of the longest prefix that is a context; the step after it is the whole word.
 DEPTH = 8
 DISCOUNT = 0.75
 #: A step with n training documents behind it counts n / (n + CAUTION).
@@ -70,26 +75,19 @@ def word_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id"), "left").select("text", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}
+        seen = [Counter() for _ in range(len(CELLS) + 1)]  # the last one holds words of unlabelled rows
         for b in batches:
             for text, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = set(words_of(text))
-                if cell is None:
-                    for w in own:
-                        if w not in seen:
-                            seen[w] = [0, 0, 0, 0]
-                else:
-                    for w in own:
-                        seen.setdefault(w, [0, 0, 0, 0])[cell] += 1
-            if len(seen) > 200_000:
-                yield rows(seen)
-                seen = {}
-        if seen:
-            yield rows(seen)
-
-    def rows(seen: dict[str, list[int]]) -> pa.RecordBatch:
-        cells = [pa.array(c, pa.int64()) for c in zip(*seen.values())]
-        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), *cells], names=["word", *CELLS])
+                seen[len(CELLS) if cell is None else cell].update(set(words_of(text)))
+                if sum(map(len, seen)) > 250_000:
+                    yield rows(seen)
+                    seen = [Counter() for _ in seen]
+        yield rows(seen)
+
+    def rows(seen: list[Counter]) -> pa.RecordBatch:
+        words = list(set().union(*seen))
+        cells = [pa.array([own.get(w, 0) for w in words] if own else np.zeros(len(words), np.int64), pa.int64()) for own in seen[:-1]]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *cells], names=["word", *CELLS])
 
     counts = marked.mapInArrow(run, "word string, " + ", ".join(f"{c} long" for c in CELLS))
     return counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in CELLS])
@@ -104,11 +102,10 @@ def nodes(words: DataFrame, depth: int = DEPTH) -> DataFrame:
     return paths.groupBy("p.node", "p.parent").agg(*[F.sum(c).alias(c) for c in CELLS], F.count(F.lit(1)).alias("types"))
 
 
-def model(tree: DataFrame, folds: tuple[int, ...], max_nodes: int | None = None, discount: float = DISCOUNT) -> DataFrame:
+def model(tree: DataFrame, folds: tuple[int, ...], discount: float = DISCOUNT) -> DataFrame:
     """``node, step, back``: log-likelihood ratio of taking the step to the node, and of leaving the known words below it.
 
-    Nodes that two labelled documents hold are kept, all of them unless a caller sets ``max_nodes``, which keeps the most
-    frequent ones; a kept node's parents are kept as well.
+    All nodes that two labelled documents hold are kept, and so are their parents.
     """
     t, o = (sum((F.col(f"{c}{k}") for k in folds), F.lit(0)) for c in "to")
     own = tree.select("node", "parent", "types", t.alias("t"), o.alias("o"))
@@ -133,16 +130,7 @@ def model(tree: DataFrame, folds: tuple[int, ...], max_nodes: int | None = None,
 
     below = below.withColumns({"t_free": freed("t"), "even_free": freed("even")})
     kept = own.where("both >= 2")
-    cutoff = 2
-    if max_nodes is not None:
-        by_count = kept.groupBy(F.least("both", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("nodes")).collect()  # 1000 rows at most
-        cutoff, room = 1001, max_nodes
-        for r in sorted(by_count, key=lambda r: -r["n"]):
-            room -= r["nodes"]
-            if room < 0:
-                break
-            cutoff = r["n"]
-    kept = kept.where(F.col("both") >= cutoff).join(below.alias("up"), F.col("parent") == F.col("up.at"))
+    kept = kept.join(below.alias("up"), F.col("parent") == F.col("up.at"))
     shared = F.greatest(F.col("both") - discount, F.lit(0.0)) / F.col("both_all")
     shared = shared + discount * F.col("both_kinds") / F.col("both_all") * F.col("types") / F.col("types_all")
 
@@ -160,20 +148,20 @@ def model(tree: DataFrame, folds: tuple[int, ...], max_nodes: int | None = None,
 
 Model = dict[str, tuple[float, float]]
 
-
 #: The same as three arrays, sorted by the hash of the node: 24 bytes per node.
 Packed = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _hashes(nodes: list[str]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(x.encode("utf-8", "surrogatepass")) for x in nodes), dtype=np.uint64, count=len(nodes))
+    """Spark's xxhash64 of the nodes."""
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(x.encode("utf-8", "surrogatepass"), 42) for x in nodes), dtype=np.uint64, count=len(nodes))
 
 
 def packed(rows: DataFrame) -> Packed:
     """All nodes of the model: as many as two of the bounded sample's documents share, whatever the corpus."""
-    table = rows.toArrow()
-    own = np.concatenate([np.zeros(0, np.uint64), *(_hashes(c.to_pylist()) for c in table["node"].chunks)])
+    table = rows.select(F.xxhash64("node").alias("node"), "step", "back").toArrow()
+    own = table["node"].to_numpy().view(np.uint64)
     order = np.argsort(own, kind="stable")
     return own[order], table["step"].to_numpy()[order], table["back"].to_numpy()[order]
 
@@ -187,32 +175,23 @@ def _path(word: str, depth: int = DEPTH) -> list[str]:
 
 
 def word_ratios(words: list[str], known: Packed, depth: int = DEPTH) -> np.ndarray:
-    """:func:`word_ratio` of many words at once."""
+    """:func:`word_ratio` of many words at once, step by step along their paths, each as far as the model knows it."""
     nodes, steps, backs = known
-    if not words or not len(nodes):
-        return np.zeros(len(words))
-    paths = [_path(w, depth) for w in words]
-    lengths = np.fromiter(map(len, paths), dtype=np.int64, count=len(paths))
-    own = _hashes([x for p in paths for x in p])
-    at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
-    row = np.repeat(np.arange(len(words)), lengths)
-    col = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    found = np.zeros((len(words), depth + 1), dtype=bool)
-    step, back = np.zeros(found.shape), np.zeros(found.shape)
-    found[row, col], step[row, col], back[row, col] = nodes[at] == own, steps[at], backs[at]
-    on = np.logical_and.accumulate(found, axis=1)
-    last = on.sum(axis=1)
-    left = np.where((last > 0) & (last < lengths), back[np.arange(len(words)), np.maximum(last - 1, 0)], 0.0)
-    return np.clip((step * on).sum(axis=1) + left, -CLIP, CLIP)
-
-
-def _learn(memo: dict[str, float], texts: list[list[str]], known: Packed) -> None:
-    """Put the ratio of every word of ``texts`` into ``memo``."""
-    if len(memo) > 500_000:
-        memo.clear()
-    new = list({w for words in texts for w in words if w not in memo})
-    for k in range(0, len(new), 20_000):
-        memo.update(zip(new[k : k + 20_000], word_ratios(new[k : k + 20_000], known).tolist()))
+    total, back = np.zeros(len(words)), np.zeros(len(words))
+    on, lengths = np.arange(len(words)), np.minimum(np.fromiter(map(len, words), np.int64, len(words)), depth)
+    for k in range(1, depth + 2):
+        if not len(on) or not len(nodes):
+            break
+        last = lengths[on] < k  # the step after the longest prefix is the word itself
+        own = _hashes([words[i] + "$" if end else words[i][:k] for i, end in zip(on.tolist(), last.tolist())])
+        at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
+        found = nodes[at] == own
+        total[on[~found]] += back[on[~found]]
+        on, at, last = on[found], at[found], last[found]
+        total[on] += steps[at]
+        back[on] = backs[at]
+        on = on[~last]
+    return np.clip(total, -CLIP, CLIP)
 
 
 def word_ratio(word: str, known: Model, depth: int = DEPTH) -> float:
@@ -228,24 +207,50 @@ def word_ratio(word: str, known: Model, depth: int = DEPTH) -> float:
     return max(-CLIP, min(CLIP, total))
 
 
-def _features(words: list[str], memo: dict[str, float]) -> tuple[float, ...]:
-    """Evidence of a text: the mean ratio of its words, and of what is above ``MARGIN`` in them the sum per word (once as
-    a root, once damped for short texts), all counted once per ``WINDOW`` words, so that a repeated word adds little; and
-    one over the root of the number of words."""
-    if not words:
-        return 0.0, 0.0, 0.0, 1.0
-    total = strong = 0.0
-    seen = 0
-    for k in range(0, len(words), WINDOW):
-        own = set(words[k : k + WINDOW])
-        seen += len(own)
-        for w in own:
-            r = memo[w]
-            total += r
-            if r > MARGIN:
-                strong += r - MARGIN
-    n = len(words)
-    return total / seen, (strong / n) ** 0.5, strong / (n + 25), n**-0.5
+class Reader:
+    """Evidence of texts by one model. Every different word is looked up once and remembered."""
+
+    def __init__(self, known: Packed):
+        self.known = known
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids: defaultdict[str, int] = defaultdict()
+        self.ids.default_factory = self.ids.__len__
+        self.ratios = np.zeros(0)
+
+    def features(self, texts: list[list[str]]) -> np.ndarray:
+        """For each text the mean ratio of its words; of what is above ``MARGIN`` in them the sum per word, once as a root
+        and once damped for short texts; and one over the root of the number of words. A word counts once in ``WINDOW``
+        words, so that a repeated one adds little."""
+        if len(self.ids) > MEMORY:
+            self._forget()
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        at = np.fromiter((self.ids[w] for words in texts for w in words), np.int64, int(lengths.sum()))
+        new = list(islice(self.ids, len(self.ratios), None))
+        if new:
+            self.ratios = np.concatenate([self.ratios, word_ratios(new, self.known)])
+        windows = -(-lengths // WINDOW)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        window = np.repeat(np.cumsum(windows) - windows, lengths) + place // WINDOW
+        once = np.unique(window * max(1, len(self.ids)) + at)
+        text = np.repeat(np.arange(len(texts)), windows)[once // max(1, len(self.ids))]
+        ratio = self.ratios[once % max(1, len(self.ids))]
+        n = np.maximum(lengths, 1)
+        mean = np.bincount(text, ratio, len(texts)) / np.maximum(np.bincount(text, minlength=len(texts)), 1)
+        strong = np.bincount(text, np.maximum(ratio - MARGIN, 0.0), len(texts))
+        return np.column_stack([mean, np.sqrt(strong / n), strong / (n + 25), n**-0.5])
+
+    def read(self, texts: list[str | None]) -> np.ndarray:
+        """:meth:`features` of texts, a bounded number of words at a time."""
+        out, held, n = [np.zeros((0, FEATURES))], [], 0
+        for text in texts:
+            held.append(words_of(text))
+            n += len(held[-1])
+            if n >= CHUNK:
+                out.append(self.features(held))
+                held, n = [], 0
+        return np.concatenate([*out, self.features(held)])
 
 
 FEATURES = 4
@@ -309,16 +314,14 @@ def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, max_labelled: i
     names = [f"x{k}" for k in range(FEATURES)]
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos: list[dict[str, float]] = [{}, {}]
+        readers = [Reader(h.value) for h in halves]
         for b in batches:
-            cells, out = b.column(1).to_pylist(), []
-            for k in range(0, len(cells), GROUP):
-                texts, own = [words_of(t) for t in b.column(0)[k : k + GROUP].to_pylist()], cells[k : k + GROUP]
-                for fold in (0, 1):
-                    _learn(memos[fold], [t for t, c in zip(texts, own) if c // 2 == fold], halves[fold].value)
-                out.extend(_features(t, memos[c // 2]) for t, c in zip(texts, own))
-            cols = list(zip(*out)) if out else [()] * FEATURES
-            yield pa.RecordBatch.from_arrays([pa.array([c % 2 for c in cells], pa.int32()), *(pa.array(c, pa.float64()) for c in cols)], names=["y", *names])
+            cells = b.column(1).to_numpy()
+            out = np.zeros((len(cells), FEATURES))
+            for fold in (0, 1):
+                own = np.flatnonzero(cells // 2 == fold)
+                out[own] = readers[fold].read(b.column(0).take(pa.array(own)).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(cells % 2, pa.int32()), *(pa.array(c) for c in out.T)], names=["y", *names])
 
     own = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).select("text", "cell")
     seen = own.mapInArrow(cross, ", ".join(["y int", *(f"{x} double" for x in names)])).toArrow()  # a row of numbers for each of the bounded sample
@@ -327,15 +330,9 @@ def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, max_labelled: i
     known = _collected(spark, model(tree, (0, 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, float] = {}
+        reader = Reader(known.value)
         for b in batches:
-            found = []
-            for k in range(0, b.num_rows, GROUP):
-                texts = [words_of(t) for t in b.column("text")[k : k + GROUP].to_pylist()]
-                _learn(memo, texts, known.value)
-                found.extend(_features(t, memo) for t in texts)
-            found = np.array(found).reshape(-1, FEATURES)
-            z = np.clip(weights[0] + found @ weights[1:], -30, 30)
+            z = np.clip(weights[0] + reader.read(b.column("text").to_pylist()) @ weights[1:], -30, 30)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=[*b.schema.names, "score"])
 
     scored = rows.mapInArrow(score, StructType([*rows.schema.fields, StructField("score", DoubleType())]))

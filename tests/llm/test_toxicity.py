@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -43,13 +44,69 @@ def test_held_out_labels_are_never_read(spark, documents):
     assert max(abs(a[i] - b[i]) for i in a) < 1e-9
 
 
-def test_sample_and_nodes_are_bounded(spark, documents):
-    rows, labels = corpus(300)
-    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+def test_sample_is_bounded(spark):
+    table = spark.createDataFrame(corpus(300)[1], "doc_id long, toxic int")
     assert tx.labelled_sample(table, max_labelled=40).count() < 80
-    tree = tx.nodes(tx.word_counts(documents(rows), tx.labelled_sample(table)))
-    small = {r.node for r in tx.model(tree, (0, 1), max_nodes=50).collect()}
-    assert 0 < len(small) <= 50 and all(n[:-1] in small or len(n) == 1 for n in small if not n.endswith("$"))
+
+
+def test_model_equals_plain_kneser_ney(spark):
+    """Every step and backoff of both classes by loops over the words."""
+    rnd = random.Random(3)
+    words = {"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 13))): [rnd.choice([0, 0, 1, 5]) for _ in range(4)] for _ in range(120)}
+    steps, types = {}, {}
+    for w, (o0, t0, o1, t1) in words.items():
+        path = ["", *tx._path(w)]
+        for parent, node in zip(path, path[1:]):
+            o, t = steps.get((parent, node), (0, 0))
+            steps[parent, node] = (o + o0 + o1, t + t0 + t1)
+            types[node] = types.get(node, 0) + 1
+    d = tx.DISCOUNT
+    scale = sum(t for (p, _), (_, t) in steps.items() if p == "") / sum(o for (p, _), (o, _) in steps.items() if p == "")
+
+    def spare(n, even):
+        return d * ((1 - math.exp(-n)) if even else float(n > 0))
+
+    below = {}
+    for (parent, node), (o, t) in steps.items():
+        b = below.setdefault(parent, dict(t=0, e=0, ts=0, es=0, both=0, kinds=0, types=0))
+        e = o * scale
+        for k, v in dict(t=t, e=e, ts=spare(t, False), es=spare(e, True), both=o + t, kinds=int(o + t > 0), types=types[node]).items():
+            b[k] += v
+    free = {p: (b["ts"] / b["t"] if b["t"] else 1.0, b["es"] / b["e"] if b["e"] else 1.0) for p, b in below.items()}
+    want = {}
+    for (parent, node), (o, t) in steps.items():
+        if o + t < 2:
+            continue
+        b, e = below[parent], o * scale
+        shared = (max(o + t - d, 0) + d * b["kinds"] * types[node] / b["types"]) / b["both"]
+        toxic = (t - spare(t, False)) / b["t"] if b["t"] else 0.0
+        other = (e - spare(e, True)) / b["e"] if b["e"] else 0.0
+        step = math.log(toxic + free[parent][0] * shared) - math.log(other + free[parent][1] * shared)
+        back, n = 0.0, t + e
+        if node in below:
+            m = below[node]["t"] + below[node]["e"]
+            back = (math.log(free[node][0]) - math.log(free[node][1])) * m / (m + tx.CAUTION)
+        want[node] = (step * n / (n + tx.CAUTION), back)
+    counts = spark.createDataFrame([(w, *c) for w, c in words.items()], "word string, o0 long, t0 long, o1 long, t1 long")
+    got = {r.node: (r.step, r.back) for r in tx.model(tx.nodes(counts), (0, 1)).collect()}
+    assert got.keys() == want.keys() and max(abs(a - b) for n in want for a, b in zip(got[n], want[n])) < 1e-9
+
+
+def test_reader_equals_loops():
+    rnd = random.Random(7)
+    vocabulary = ["".join(rnd.choice("xyz") for _ in range(rnd.randrange(1, 5))) for _ in range(60)]
+    nodes = sorted({n for w in vocabulary for n in tx._path(w)})
+    known = {n: (rnd.uniform(-1, 3), rnd.uniform(-1, 1)) for n in nodes}
+    digests = tx._hashes(nodes)
+    order = np.argsort(digests)
+    packed = (digests[order], *(np.array([known[n][k] for n in nodes])[order] for k in (0, 1)))
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(n)) for n in (0, 1, 99, 100, 101, 350)] + [None, "xyzzy qqq"]
+    for text, got in zip(texts, tx.Reader(packed).read(texts)):
+        words = (text or "").split()
+        own = [tx.word_ratio(w, known) for k in range(0, len(words), tx.WINDOW) for w in set(words[k : k + tx.WINDOW])]
+        strong, n = sum(max(r - tx.MARGIN, 0.0) for r in own), max(len(words), 1)
+        want = (sum(own) / max(len(own), 1), (strong / n) ** 0.5, strong / (n + 25), n**-0.5)
+        assert np.allclose(got, want, atol=1e-12)
 
 
 def test_a_words_ratio_adds_up_along_its_prefixes():
