@@ -101,7 +101,7 @@ def _block_pairs(base: DataFrame, stats: Sequence[str], n_keys: int, longest: in
     def kernel(group: pd.DataFrame) -> pd.DataFrame:
         a, b = group[group["left"]], group[~group["left"]]
         if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in ["i", "j", *names]})
+            return pd.DataFrame({"i": group["m"].iloc[:0], "j": group["m"].iloc[:0], **{c: np.zeros(0) for c in names}})
         same = bool(group["x"].iat[0] == group["y"].iat[0])
         if set(names) <= set(_PRODUCTS) and a["m"].nunique() * b["m"].nunique() <= _DENSE_CELLS:
             return _dense_products(a, b, names, same)

@@ -76,6 +76,17 @@ def _vector_blocks(df: DataFrame, own: str, other: str, n_own: int, n_other: int
     ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
 
+def k_best(scores: np.ndarray, ok: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` highest allowed scores of every row, of equal ones at the cut the first columns."""
+    if k is None or k >= scores.shape[1]:
+        return np.nonzero(ok)
+    lost = np.where(ok, -scores, np.inf)
+    cut = np.partition(lost, k - 1, axis=1)[:, k - 1 : k]
+    inside, tied = lost < cut, lost == cut
+    tied &= np.cumsum(tied, axis=1) <= k - inside.sum(axis=1, keepdims=True)
+    return np.nonzero((inside | tied) & ok)
+
+
 def block_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -114,19 +125,12 @@ def block_pairs(
             if out is not None:
                 at = np.searchsorted(ids_j, out).clip(max=len(ids_j) - 1)
                 ok[row, at[ids_j[at] == out]] = False
-        if k is None or k >= got.shape[1]:
-            r, c = np.nonzero(ok)
-        else:
-            lost = np.where(ok, -got, np.inf)
-            cut = np.partition(lost, k - 1, axis=1)[:, k - 1 : k]
-            inside, tied = lost < cut, lost == cut  # of equal ones at the cut the first by j
-            tied &= np.cumsum(tied, axis=1) <= k - inside.sum(axis=1, keepdims=True)
-            r, c = np.nonzero((inside | tied) & ok)
+        r, c = k_best(got, ok, k)
         return pd.DataFrame({"i": ids_i[r], "j": ids_j[c], "score": got[r, c]})
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"i": [], "j": [], "score": []})
+            return pd.DataFrame({"i": a["id"].iloc[:0], "j": b["id"].iloc[:0], "score": np.zeros(0)})
         b = b.sort_values("id")
         ids_j, others = b["id"].to_numpy(), np.stack(b["vec"].to_list())
         found = []

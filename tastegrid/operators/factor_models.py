@@ -9,13 +9,12 @@ from math import pi
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizer, OneHotEncoder, VectorAssembler
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.regression import FMRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from tastegrid.functions.hashing import md5_unit
 from tastegrid.functions.pairs import HOT_PROFILE, pair_stats
+from tastegrid.functions.products import HOT_PAIRS, sparse_product
 from tastegrid.functions.ranking import top_k
 from tastegrid.functions.vectors import sum_vectors
 from tastegrid.operators.clean import id_map
@@ -134,47 +133,6 @@ def pure_svd(train: DataFrame, k: int, factors: int = 10, seed: int = 42) -> Dat
     return factor_recs(u, i, train, k)
 
 
-# --- factorisation machine ----------------------------------------------------------------------------
-
-
-def factorisation_machine(train: DataFrame, attributes: DataFrame, k: int, factors: int = 8, iterations: int = 20, seed: int = 42) -> DataFrame:
-    """Second-order factorisation machine on user, item and item-feature indicators.
-
-    For one user and item the model splits into a user vector and an item vector (item plus its features) and
-    an item constant, so the top-k over all items is a blocked product, not a prediction per pair.
-    """
-    users, items = materialise(id_map(train, "user", "u"), "fm"), materialise(id_map(train, "item", "i"), "fm")
-    bags = attributes.join(items, "item").groupBy("item").agg(F.collect_set(F.col("feature_id").cast("string")).alias("bag"))
-    n_features = attributes.agg(F.countDistinct("feature_id")).first()[0]  # the vocabulary holds every feature
-    counts = CountVectorizer(inputCol="bag", outputCol="f", binary=True, vocabSize=max(1, n_features)).fit(bags)
-    item_rows = items.join(bags, "item", "left").withColumn("bag", F.coalesce("bag", F.array().cast("array<string>")))
-    rows = train.join(users, "user").join(counts.transform(item_rows), "item").select("u", "i", "f", F.col("rating").alias("label"))
-    encoder = OneHotEncoder(inputCols=["u", "i"], outputCols=["uv", "iv"], dropLast=False).fit(rows)
-    assembler = VectorAssembler(inputCols=["uv", "iv", "f"], outputCol="features")
-    data = assembler.transform(encoder.transform(rows)).select("features", "label")
-    model = FMRegressor(factorSize=factors, maxIter=iterations, seed=seed, solver="adamW", stepSize=0.05).fit(data)
-
-    # The coefficients are MLlib's driver-side model; from here on they are a table (column, weight, vec).
-    v, w = model.factors.toArray(), model.linear.toArray()
-    spark = train.sparkSession
-    coef = materialise(spark.createDataFrame(list(zip(range(len(w)), w.tolist(), v.tolist())), "column long, w double, vec array<double>"), "fm")
-    n_u, n_i = users.count(), items.count()
-    uv = users.join(coef, F.col("u") == F.col("column")).select(F.col("user").alias("id"), "vec", F.col("w").alias("bias"))
-    terms = spark.createDataFrame([(t, n_u + n_i + n) for n, t in enumerate(counts.vocabulary)], "term string, column long")
-    own = items.select("item", (F.col("i") + n_u).alias("column"))
-    feats = attributes.join(items, "item", "left_semi").select("item", F.col("feature_id").cast("string").alias("term")).join(terms, "term").select("item", "column")
-    parts = own.unionByName(feats).join(coef, "column")
-    sums = parts.groupBy("item").agg(
-        F.sum("w").alias("bias"),
-        *[F.sum(F.col("vec")[c]).alias(f"s{c}") for c in range(factors)],
-        *[F.sum(F.col("vec")[c] * F.col("vec")[c]).alias(f"q{c}") for c in range(factors)],
-    )
-    inner = sum((F.col(f"s{c}") * F.col(f"s{c}") - F.col(f"q{c}")) / 2 for c in range(factors))
-    iv = sums.select(F.col("item").alias("id"), F.array(*[f"s{c}" for c in range(factors)]).alias("vec"), (F.col("bias") + inner).alias("bias"))
-    recs = dot_product_recs(uv.select("id", "vec"), iv.select("id", "vec"), train, k, uv.select("id", "bias"), iv.select("id", "bias"))
-    return recs.withColumn("score", F.col("score") + F.lit(float(model.intercept)))
-
-
 # --- sparse linear item weights -----------------------------------------------------------------------
 
 
@@ -217,20 +175,23 @@ def _solve_item(l1: float, l2: float, tolerance: float):
 
 
 def slim_weights(
-    train: DataFrame, l1: float, l2: float, k: int, batch: int = 40, tolerance: float = 1e-6, hot_profile: int = HOT_PROFILE
+    train: DataFrame, l1: float, l2: float, k: int, batch: int = 40, tolerance: float = 1e-6, hot_profile: int = HOT_PROFILE, hot_pairs: int = HOT_PAIRS
 ) -> DataFrame:
     """(i, j, sim, rank): item i regressed on the other items j with non-negative elastic-net weights, k best kept.
 
     Each item starts from the ``batch`` items that pull most at zero weights. The small problems over active items
-    are solved in parallel; then every inactive item's slope is checked over all the data, and those that would
-    still enter are added, until none is left. So the batch bounds a group's size, not the result.
+    are solved in parallel; then the slopes of all inactive items are checked, and those that would still enter are added,
+    until none is left. So the batch bounds a group's size, not the result. Slopes come from the products of the item
+    columns, g_ij less the sum over l of w_il g_lj, so users are keys only while those products are made; with ratings and
+    weights that are not negative no slope exceeds g_ij, so only pairs that pull at zero weights need one.
     """
     x = materialise(train.select("user", "item", F.col("rating").cast("double").alias("r")), "slim")
     gram = materialise(pair_stats(x, "user", "item", "r", ["dot"], hot_profile=hot_profile).withColumnRenamed("dot", "g"), "slim")
     square = materialise(x.groupBy(F.col("item").alias("j")).agg(F.sum(F.col("r") * F.col("r")).alias("q")), "slim")
     enough = 1e-5 * max(1.0, l1)
     strongest = [F.desc("excess"), F.asc("j")]
-    start = gram.select("i", "j", (F.col("g") - l1).alias("excess")).filter(F.col("excess") > enough)
+    start = gram.select("i", "j", "g", (F.col("g") - l1).alias("excess")).filter(F.col("excess") > enough)
+    columns = gram.unionByName(square.select(F.col("j").alias("i"), "j", F.col("q").alias("g"))).select(F.col("i").alias("l"), "j", F.col("g").alias("b"))
     active = top_k(start, ["i"], strongest, batch).select("i", "j")
     while True:
         active = materialise(active, "slim")
@@ -240,10 +201,9 @@ def slim_weights(
         kind = train.schema["item"].dataType.simpleString()
         weights = own.unionByName(couples).groupBy("i").applyInPandas(_solve_item(l1, l2, tolerance), f"i {kind}, j {kind}, w double")
         weights = materialise(weights, "slim")
-        fitted = x.join(weights.withColumnRenamed("j", "item"), "item").select("user", "i", (-F.col("r") * F.col("w")).alias("e"))
-        left = fitted.unionByName(x.select("user", F.col("item").alias("i"), F.col("r").alias("e"))).groupBy("user", "i").agg(F.sum("e").alias("e"))
-        slopes = left.join(x.withColumnRenamed("item", "j"), "user").filter(F.col("i") != F.col("j")).groupBy("i", "j").agg(F.sum(F.col("e") * F.col("r")).alias("s"))
-        late = slopes.select("i", "j", (F.col("s") - l1).alias("excess")).filter(F.col("excess") > enough).join(active, ["i", "j"], "left_anti")
+        taken = sparse_product(weights.select("i", F.col("j").alias("l"), F.col("w").alias("a")), columns, hot_pairs)
+        slope = F.col("g") - F.coalesce("value", F.lit(0.0))
+        late = start.join(taken, ["i", "j"], "left").select("i", "j", (slope - l1).alias("excess")).filter(F.col("excess") > enough).join(active, ["i", "j"], "left_anti")
         late = materialise(top_k(late, ["i"], strongest, batch).select("i", "j"), "slim")
         if late.isEmpty():
             break

@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.functions.hashing import md5_int, md5_key
 from tastegrid.functions.pairs import pair_stats
-from tastegrid.functions.ranking import dense_index, position_in_group, top_k
+from tastegrid.functions.ranking import dense_index, position_in_group, running_total, top_k
 from tastegrid.session import materialise
 
 _BLOCK_ITEMS = 1024
@@ -42,6 +42,38 @@ def unseen(users: DataFrame, items: DataFrame, seen: DataFrame, n_items: int | N
     )
 
 
+def unseen_gaps(users: DataFrame, items: DataFrame, seen: DataFrame) -> DataFrame:
+    """``user, lo, hi, n, least, most, total``: the items that each user has not seen, as runs of places lo .. hi in item
+    order, with their number, first and last item and the sum of their ids. A user has at most one run more than seen
+    items, so the result is as long as ``seen`` plus ``users``, never users x items.
+
+    The catalogue knows the running totals of its ids and each item's neighbours; a run between two seen items then is the
+    difference of what they carry. Seen items of a user are numbered (a user may hold any share of the rows) and each meets
+    the one before it by (user, number).
+    """
+    catalogue = running_total(items.select("item").distinct().withColumn("id", F.col("item").cast("decimal(38,0)")), [F.col("item")], "id", "upto")
+    catalogue = materialise(dense_index(catalogue.select("item", "upto"), ["item"], "place"), "catalogue")
+    after = catalogue.select((F.col("place") - 1).alias("place"), F.col("item").alias("next"))
+    ahead = catalogue.select((F.col("place") + 1).alias("place"), F.col("item").alias("last"), F.col("upto").alias("before"))
+    catalogue = materialise(catalogue.join(after, "place", "left").join(ahead, "place", "left"), "catalogue")
+    size, first, end, whole = catalogue.agg(F.count(F.lit(1)), F.min("item"), F.max("item"), F.max("upto")).first()
+    if not size:
+        return users.select("user", *[F.lit(0).cast("bigint").alias(c) for c in ("lo", "hi", "n")], *[F.lit(None).cast("bigint").alias(c) for c in ("least", "most", "total")]).limit(0)
+    held = seen.select("user", "item").distinct().join(users.select("user").distinct(), "user", "left_semi").join(catalogue, "item")
+    held = materialise(position_in_group(held, ["user"], [F.asc("place")], "j", size="m"), "held")
+
+    def run(lo: Column, hi: Column, least: Column, most: Column, total: Column) -> list[Column]:
+        return ["user", lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"), (hi - lo + 1).cast("bigint").alias("n"), least.alias("least"), most.alias("most"), total.cast("bigint").alias("total")]
+
+    earlier = held.select("user", (F.col("j") + 1).alias("j"), F.col("place").alias("p"), F.col("next").alias("p_next"), F.col("upto").alias("p_upto"))
+    inner = held.join(earlier, ["user", "j"], "left")
+    start = F.coalesce(F.col("p") + 1, F.lit(0))
+    below = inner.select(*run(start, F.col("place") - 1, F.coalesce("p_next", F.lit(first)), F.col("last"), F.col("before") - F.coalesce("p_upto", F.lit(0)))).where("n > 0")
+    above = held.where(F.col("j") == F.col("m")).select(*run(F.col("place") + 1, F.lit(size - 1), F.col("next"), F.lit(end), F.lit(whole) - F.col("upto"))).where("n > 0")
+    fresh = users.select("user").distinct().join(held.select("user").distinct(), "user", "left_anti")
+    return below.unionByName(above).unionByName(fresh.select(*run(F.lit(0), F.lit(size - 1), F.lit(first), F.lit(end), F.lit(whole))))
+
+
 def numbered(items: DataFrame) -> tuple[DataFrame, int]:
     """Catalogue with dense ids ``(item, idx)`` and its size."""
     catalogue = dense_index(items.select("item").distinct(), ["item"])

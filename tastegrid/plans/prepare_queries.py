@@ -352,10 +352,8 @@ def rc03(spark, sf):
     WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user = u.user AND t.item = p.item) GROUP BY u.user""")
 def ns01(spark, sf):
     tr = fx.train(spark, sf)
-    pairs = ns.unseen(tr.select("user").distinct(), tr.select("item").distinct(), tr)
-    return pairs.groupBy("user").agg(
-        F.count(F.lit(1)).alias("n"), F.min("item").alias("least"), F.max("item").alias("most"), F.sum("item").alias("total")
-    )
+    runs = ns.unseen_gaps(tr.select("user"), tr.select("item"), tr)
+    return runs.groupBy("user").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("total").alias("total"))
 
 
 @query("ns02_random_negatives", f"WITH {_draw_sql('interactions', 10, 42)} SELECT user, item FROM picks WHERE pick <= 10")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tastegrid.operators import factor_models as fm
+from tastegrid.operators import factorisation_machine as machine
 from tastegrid.operators import recommend as rc
 from tastegrid.operators import similarity as si
 from tastegrid.plans import fixtures as fx
@@ -153,11 +154,8 @@ def _full_top(k: int, rest: str = "0", items: str = "SELECT DISTINCT item FROM t
 @query("rc01_top_k", f"WITH scores AS (SELECT u.user, p.item, ((u.user * 31 + p.item * 17) % 101)::DOUBLE AS score FROM train_users u CROSS JOIN pop p) {_top(20)}")
 def rc01(spark, sf):
     tr = fx.train(spark, sf)
-    from tastegrid.operators.sampling import unseen
-
-    everything = unseen(tr.select("user").distinct(), tr.select("item").distinct(), tr)
-    scores = everything.withColumn("score", ((F.col("user") * 31 + F.col("item") * 17) % 101).cast("double"))
-    return _recs(rc.top_k_unseen(scores, tr, 20))
+    users, items = (tr.select(F.col(c).alias("id")).distinct().select("id", F.array(F.col("id").cast("double")).alias("vec")) for c in ("user", "item"))
+    return _recs(rc.factor_recs(users, items, tr, 20, lambda u, i: (u * 31 + i.T * 17) % 101))  # scored in blocks, k best of each
 
 
 _ITEM_KNN = f"{_DATA}, {_PAIRS}, {_best(_PLAIN['cosine'], 20)}"
@@ -305,7 +303,15 @@ _model_recs("rc22_implicit_als", lambda spark, sf: fm.implicit_als(fx.train(spar
 _model_recs("rc22_implicit_als_log", lambda spark, sf: fm.implicit_als(fx.train(spark, sf), 20, scaling="log"))
 _model_recs("rc23_explicit_mf", lambda spark, sf: fm.explicit_mf(fx.train(spark, sf), 20))
 _model_recs("rc23_nonneg_mf", lambda spark, sf: fm.nonneg_mf(fx.train(spark, sf), 20))
-_model_recs("rc24_factorization_machine", lambda spark, sf: fm.factorisation_machine(fx.train(spark, sf), fx.attribute_ids(spark, sf), 20))
+_model_recs("rc24_factorization_machine", lambda spark, sf: machine.factorisation_machine(fx.train(spark, sf), fx.attribute_ids(spark, sf), 20))
+
+
+@query("rc24_fm_normal_equations", "SELECT user, count(*) AS rows, TRUE AS met FROM train GROUP BY user")
+def rc24_normal(spark, sf):
+    """Every user's coefficients against the normal equations, with residuals made by the definition of the machine."""
+    tr = fx.train(spark, sf)
+    model = machine.fit(tr, fx.attribute_ids(spark, sf), sweeps=2, reg=1.0)
+    return machine.normal_equations(tr, model, 1.0).select("user", "rows", (F.col("slope") < 1e-8).alias("met"))
 
 
 @query("rc25_dot_product_scores", """
