@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastegrid.llm import decontaminate, line_dedup, mixing, shingles, toxicity
+from tastegrid.llm import decontaminate, line_dedup, mixing, simhash, toxicity
+from tastegrid.llm.registry import quoted
 from tastegrid.session import materialise
 
 
@@ -19,13 +20,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on too many pages of a source go out of the texts, long passages from a far smaller part on; ``n_chars`` follows."""
-    cut = line_dedup.drop_boilerplate(docs, long_ratio=line_dedup.LONG_RATIO).drop("n_lines", "n_dropped")
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    cut = line_dedup.drop_boilerplate(docs, long_ratio=line_dedup.LONG_RATIO)
+    return cut.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else quoted(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (0.8 of their 5-word shingles) stays: the one with the smallest id."""
-    return shingles.keep_first(docs)
+    """One document of each group of near-duplicates stays, the one with the smallest id: linked are SimHash fingerprints of
+    4-word shingles that differ in at most 4 bits."""
+    return simhash.keep_first(docs, words=4, radius=4)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
