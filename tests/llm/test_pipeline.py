@@ -90,3 +90,22 @@ def test_stages_equal_plain_versions(spark, tmp_path, duck):
     assert out.columns == [*docs.columns, "size", "source_size", "target", "taken"]
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in whole.collect()) == sorted(taken)
+
+
+def test_any_names_of_further_columns(spark, tmp_path):
+    """Names with dots and back ticks and the names that the operators use inside pass through every stage."""
+    names = ["a.b", "__key", "__host", "__id", "__hit", "row", "key", "host", "drop", "lines", "own", "of", "hit", "place", "taken", "sco`re"]
+    rows, labels, items = corpus()
+    rows = rows[:30] + rows[-1:]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame = frame.select("*", *[(corpus_pipeline.F.col("doc_id") * 3 + k).alias(n) for k, n in enumerate(names)])
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns or name == "source_mixing"
+        docs = corpus_pipeline.materialise(out, name)
+    got = docs.collect()
+    assert got and all(r["a.b"] == r.doc_id * 3 and r["sco`re"] == r.doc_id * 3 + len(names) - 1 for r in got if r.doc_id is not None)
