@@ -16,7 +16,7 @@ from tastegrid.functions.hashing import md5_unit
 from tastegrid.functions.pairs import HOT_PROFILE, pair_stats
 from tastegrid.functions.products import HOT_PAIRS, sparse_product
 from tastegrid.functions.ranking import top_k
-from tastegrid.functions.vectors import sum_vectors
+from tastegrid.functions.vectors import dot, sum_vectors
 from tastegrid.operators.clean import id_map
 from tastegrid.operators.recommend import dot_product_recs, factor_recs, full_top_k_unseen, item_knn_scores
 from tastegrid.session import materialise
@@ -66,6 +66,27 @@ def explicit_mf(train: DataFrame, k: int, factors: int = 10, reg: float = 0.1, i
     return recs.withColumn("score", F.col("score") + F.lit(mean))
 
 
+def normal_equations(train: DataFrame, users: DataFrame, items: DataFrame, value: str, reg: float, alpha: float | None = None, nonnegative: bool = False) -> DataFrame:
+    """``user, rows, slope``: how far a user's factors, the last that alternating least squares sets, are from the least
+    penalised error given the items': the largest slope per row. ``alpha`` is that of confidences, None for plain ratings;
+    with ``nonnegative`` a factor at 0 may have a slope that would push it below.
+    """
+    k = items.select(F.size("vec").alias("n")).first()["n"]
+    rows = train.select("user", "item", F.col(value).cast("float").cast("double").alias("r"))
+    rows = rows.join(users.select(F.col("id").alias("user"), F.col("vec").alias("u")), "user").join(items.select(F.col("id").alias("item"), F.col("vec").alias("v")), "item")
+    at = dot("u", "v")
+    error = F.col("r") - at if alpha is None else (1 + alpha * F.abs("r")) * (F.col("r") > 0).cast("double") - alpha * F.abs("r") * at
+    sums = rows.select("user", "u", "r", *[(error * F.col("v")[c]).alias(f"s{c}") for c in range(k)])
+    sums = sums.groupBy("user", "u").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("r") > 0).alias("held"), *[F.sum(f"s{c}").alias(f"s{c}") for c in range(k)])
+    gram = np.zeros((k, k)) if alpha is None else _gram(items, k)
+    weight = F.col("rows") if alpha is None else F.col("held")
+    slopes = []
+    for c in range(k):
+        slope = (F.col(f"s{c}") - sum(float(gram[c, d]) * F.col("u")[d] for d in range(k)) - reg * weight * F.col("u")[c]) / F.col("rows")
+        slopes.append(F.when((F.col("u")[c] <= 0) & (slope < 0), 0.0).otherwise(F.abs(slope)) if nonnegative else F.abs(slope))
+    return sums.select("user", "rows", F.greatest(*slopes).alias("slope"))
+
+
 # --- truncated SVD ------------------------------------------------------------------------------------
 
 

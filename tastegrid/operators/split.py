@@ -3,12 +3,17 @@ several, a fold column; ties are broken by item so that every run gives the same
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.functions.hashing import md5_key
 from tastegrid.functions.ranking import HOT_ROWS, exact_quantiles, position_in_group, running_total
+from tastegrid.session import materialise
+
+USER = ("user",)
 
 
 def part_of(split: DataFrame, part: str) -> DataFrame:
@@ -56,44 +61,45 @@ def best_timestamp(inter: DataFrame, min_below: int = 1, min_over: int = 1) -> D
     return fixed_timestamp(inter, best_timestamp_value(inter, min_below, min_over).select("ts").scalar())
 
 
-def temporal_holdout(inter: DataFrame, ratio: float, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each user's latest rows, past floor(n * (1 - ratio)), are the test part."""
-    placed = position_in_group(inter, ["user"], [F.asc("ts"), F.asc("item")], "_p", hot_rows, size="_n")
+def temporal_holdout(inter: DataFrame, ratio: float, hot_rows: int = HOT_ROWS, keys: Sequence[str] = USER) -> DataFrame:
+    """Each user's latest rows, past floor(n * (1 - ratio)), are the test part. Here and below, ``keys`` are the columns
+    whose values make one history."""
+    placed = position_in_group(inter, keys, [F.asc("ts"), F.asc("item")], "_p", hot_rows, size="_n")
     return placed.withColumn("part", _part(F.col("_p") > _train_size(ratio))).drop("_p", "_n")
 
 
-def temporal_leave_n_out(inter: DataFrame, n: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def temporal_leave_n_out(inter: DataFrame, n: int, hot_rows: int = HOT_ROWS, keys: Sequence[str] = USER) -> DataFrame:
     """Each user's ``n`` latest rows are the test part."""
-    placed = position_in_group(inter, ["user"], [F.desc("ts"), F.desc("item")], "_p", hot_rows)
+    placed = position_in_group(inter, keys, [F.desc("ts"), F.desc("item")], "_p", hot_rows)
     return placed.withColumn("part", _part(F.col("_p") <= n)).drop("_p")
 
 
-def _shuffled(inter: DataFrame, folds: int, seed: int, hot_rows: int) -> DataFrame:
+def _shuffled(inter: DataFrame, folds: int, seed: int, hot_rows: int, keys: Sequence[str]) -> DataFrame:
     folded = inter.withColumn("test_fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    key = md5_key(F.lit(seed), "test_fold", "user", "item")
-    return position_in_group(folded, ["test_fold", "user"], [key, F.asc("item")], "_p", hot_rows, size="_n")
+    key = md5_key(F.lit(seed), "test_fold", *keys, "item")
+    return position_in_group(folded, ["test_fold", *keys], [key, F.asc("item")], "_p", hot_rows, size="_n")
 
 
-def random_subsampling(inter: DataFrame, folds: int, ratio: float, seed: int = 42, hot_rows: int = HOT_ROWS) -> DataFrame:
+def random_subsampling(inter: DataFrame, folds: int, ratio: float, seed: int = 42, hot_rows: int = HOT_ROWS, keys: Sequence[str] = USER) -> DataFrame:
     """Per fold and user, n - floor(n * (1 - ratio)) random rows are the test part."""
-    placed = _shuffled(inter, folds, seed, hot_rows)
+    placed = _shuffled(inter, folds, seed, hot_rows, keys)
     return placed.withColumn("part", _part(F.col("_p") <= F.col("_n") - _train_size(ratio))).drop("_p", "_n")
 
 
-def random_leave_n_out(inter: DataFrame, folds: int, n: int, seed: int = 42, hot_rows: int = HOT_ROWS) -> DataFrame:
+def random_leave_n_out(inter: DataFrame, folds: int, n: int, seed: int = 42, hot_rows: int = HOT_ROWS, keys: Sequence[str] = USER) -> DataFrame:
     """Per fold and user, ``n`` random rows are the test part."""
-    return _shuffled(inter, folds, seed, hot_rows).withColumn("part", _part(F.col("_p") <= n)).drop("_p", "_n")
+    return _shuffled(inter, folds, seed, hot_rows, keys).withColumn("part", _part(F.col("_p") <= n)).drop("_p", "_n")
 
 
-def assign_folds(inter: DataFrame, k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def assign_folds(inter: DataFrame, k: int, hot_rows: int = HOT_ROWS, keys: Sequence[str] = USER) -> DataFrame:
     """Test fold of each row: its place in the user's history modulo ``k``."""
-    placed = position_in_group(inter, ["user"], [F.asc("ts"), F.asc("item")], "_p", hot_rows)
+    placed = position_in_group(inter, keys, [F.asc("ts"), F.asc("item")], "_p", hot_rows)
     return placed.withColumn("test_fold", ((F.col("_p") - 1) % k).cast("int")).drop("_p")
 
 
-def k_folds(inter: DataFrame, k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def k_folds(inter: DataFrame, k: int, hot_rows: int = HOT_ROWS, keys: Sequence[str] = USER) -> DataFrame:
     """All ``k`` train/test pairs as one table with ``test_fold`` and ``part``."""
-    own = assign_folds(inter, k, hot_rows).withColumnRenamed("test_fold", "_own")
+    own = assign_folds(inter, k, hot_rows, keys).withColumnRenamed("test_fold", "_own")
     every = own.withColumn("test_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     return every.withColumn("part", _part(F.col("_own") == F.col("test_fold"))).drop("_own")
 
@@ -107,6 +113,29 @@ def nested(split: DataFrame, ratio: float, hot_rows: int = HOT_ROWS) -> DataFram
     return inner.drop("_p", "_n").unionByName(split.filter(F.col("part") != "train"))
 
 
+def nested_by(split: DataFrame, strategy: Callable[..., DataFrame], *args, **options) -> DataFrame:
+    """Every train part of ``split`` split again by any strategy of this module, called with ``args`` and ``options``: its
+    test rows become 'val'. ``val_fold`` numbers the inner folds (0 if the strategy makes one); the outer test rows stand
+    once, with -1.
+
+    Strategies by user treat a user's rows of each outer fold as a history of its own, all folds in one pass. Those with a
+    time limit for all users look at one outer fold after the other, as their limit depends on its rows.
+    """
+    own = split.columns
+    train = split.where("part = 'train'").drop("part").withColumnRenamed("test_fold", "_outer")
+    if "keys" in signature(strategy).parameters:
+        inner = strategy(train, *args, keys=["_outer", "user"] if "test_fold" in own else USER, **options)
+    elif "test_fold" in own:
+        train = materialise(train, "train")
+        folds = [r["_outer"] for r in train.select("_outer").distinct().collect()]  # a few folds
+        inner = reduce(DataFrame.unionByName, [strategy(train.where(F.col("_outer") == f), *args, **options) for f in folds]) if folds else train.withColumn("part", F.lit("train"))
+    else:
+        inner = strategy(train, *args, **options)
+    fold = F.col("test_fold") if "test_fold" in inner.columns else F.lit(0)
+    inner = inner.withColumn("val_fold", fold.cast("int")).withColumn("part", F.when(F.col("part") == "test", "val").otherwise(F.col("part"))).drop("test_fold")
+    return inner.withColumnRenamed("_outer", "test_fold").select(*own, "val_fold").unionByName(split.where("part = 'test'").withColumn("val_fold", F.lit(-1)))
+
+
 def global_quantile_split(inter: DataFrame, ratios: Sequence[float]) -> DataFrame:
     """Cut at the timestamp quantiles of the normalised, non-zero ratios; ``x_label`` 0, 1, 2, ..."""
     shares = [r for r in ratios if r > 0]

@@ -51,8 +51,8 @@ def _nested(spark, sf):
     return sp.nested(folds, 0.2).withColumn("val_fold", F.lit(0))
 
 
-_NESTED = """WITH f AS (SELECT user, item, rating, ts, f AS test_fold, row_number() OVER (PARTITION BY user, f ORDER BY md5(concat_ws('|', 42, f, user, item)), item) AS p FROM interactions, range(2) t(f)),
-    tr AS (SELECT *, row_number() OVER (PARTITION BY user, test_fold ORDER BY ts, item) AS q, count(*) OVER (PARTITION BY user, test_fold) AS n FROM f WHERE p > 3)
+_NESTED = """WITH f AS MATERIALIZED (SELECT user, item, rating, ts, f AS test_fold, row_number() OVER (PARTITION BY user, f ORDER BY md5(concat_ws('|', 42, f, user, item)), item) AS p FROM interactions, range(2) t(f)),
+    tr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user, test_fold ORDER BY ts, item) AS q, count(*) OVER (PARTITION BY user, test_fold) AS n FROM f WHERE p > 3)
     SELECT user, item, rating, ts, test_fold::INTEGER AS test_fold, 0 AS val_fold, CASE WHEN q > floor(n * (1 - 0.2::DOUBLE)) THEN 'val' ELSE 'train' END AS part FROM tr
     UNION ALL SELECT user, item, rating, ts, test_fold::INTEGER, 0, 'test' FROM f WHERE p <= 3"""
 

@@ -272,6 +272,32 @@ def sp08(spark, sf):
     return sp.nested(fx.holdout(spark, sf), 0.25)
 
 
+@query("sp08_nested_k_folds", f"""WITH {_SHUFFLED},
+    o AS MATERIALIZED (SELECT user, item, rating, ts, test_fold, CASE WHEN p <= n - floor(n * (1 - 0.2::DOUBLE)) THEN 'test' ELSE 'train' END AS part FROM shuffled),
+    own AS (SELECT *, (row_number() OVER (PARTITION BY test_fold, user ORDER BY ts, item) - 1) % 3 AS f FROM o WHERE part = 'train')
+    SELECT user, item, rating, ts, test_fold, CASE WHEN own.f = t.f THEN 'val' ELSE 'train' END AS part, t.f::INTEGER AS val_fold FROM own, range(3) t(f)
+    UNION ALL SELECT *, -1 FROM o WHERE part = 'test'""")
+def sp08_k_folds(spark, sf):
+    """Two random hold-outs, each validated by three folds."""
+    return sp.nested_by(sp.random_subsampling(fx.interactions(spark, sf), 2, 0.2), sp.k_folds, 3)
+
+
+@query("sp08_nested_random", """
+    WITH s AS (SELECT user, item, rating, ts, f, row_number() OVER (PARTITION BY f, user ORDER BY md5(concat_ws('|', 7, f, user, item)), item) AS p FROM train, range(2) t(f))
+    SELECT user, item, rating, ts, CASE WHEN p <= 2 THEN 'val' ELSE 'train' END AS part, f::INTEGER AS val_fold FROM s
+    UNION ALL SELECT user, item, rating, ts, 'test', -1 FROM test""")
+def sp08_random(spark, sf):
+    """The temporal hold-out, validated twice by two random rows of every user."""
+    return sp.nested_by(fx.holdout(spark, sf), sp.random_leave_n_out, 2, 2, seed=7)
+
+
+@query("sp08_nested_timestamp", f"""WITH {_SHUFFLED},
+    o AS MATERIALIZED (SELECT user, item, rating, ts, test_fold, CASE WHEN p <= 3 THEN 'test' ELSE 'train' END AS part FROM shuffled)
+    SELECT user, item, rating, ts, test_fold, CASE WHEN part = 'test' THEN 'test' WHEN ts >= 9900 THEN 'val' ELSE 'train' END AS part, CASE WHEN part = 'test' THEN -1 ELSE 0 END AS val_fold FROM o""")
+def sp08_timestamp(spark, sf):
+    return sp.nested_by(sp.random_leave_n_out(fx.interactions(spark, sf), 2, 3), sp.fixed_timestamp, 9900)
+
+
 @query("sp09_global_quantile_split", """
     WITH q AS (SELECT quantile_cont(ts, 0.8) AS a, quantile_cont(ts, 0.8 + 0.1) AS b FROM interactions)
     SELECT user, item, rating, ts, CASE WHEN ts < a THEN 0 WHEN ts < b THEN 1 ELSE 2 END::INTEGER AS x_label FROM interactions, q""")

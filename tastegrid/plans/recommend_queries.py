@@ -306,7 +306,54 @@ _model_recs("rc23_nonneg_mf", lambda spark, sf: fm.nonneg_mf(fx.train(spark, sf)
 _model_recs("rc24_factorization_machine", lambda spark, sf: machine.factorisation_machine(fx.train(spark, sf), fx.attribute_ids(spark, sf), 20))
 
 
-@query("rc24_fm_normal_equations", "SELECT user, count(*) AS rows, TRUE AS met FROM train GROUP BY user")
+_MET = "SELECT user, count(*) AS rows, TRUE AS met FROM train GROUP BY user"
+
+
+def _met(slopes):
+    """Factors are single floats, so slopes per row are 0 to about five digits."""
+    return slopes.select("user", "rows", (F.col("slope") < 1e-4).alias("met"))
+
+
+@query("rc21_svd_orthonormal", "SELECT a::INTEGER AS a, b::INTEGER AS b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM range(10) x(a), range(10) y(b)")
+def rc21_orthonormal(spark, sf):
+    _, items = fm.randomised_svd(fx.train(spark, sf).withColumn("one", F.lit(1.0)), 10, "one")
+    long = items.select("id", F.posexplode("vec").alias("a", "x"))
+    pairs = long.join(long.select("id", F.col("a").alias("b"), F.col("x").alias("y")), "id")
+    return rounded(pairs.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("value")), "value")
+
+
+@query("rc21_svd_users", _MET)
+def rc21_users(spark, sf):
+    """A user's vector is the sum of those of the user's items: the matrix times the item vectors."""
+    tr = fx.train(spark, sf)
+    users, items = fm.randomised_svd(tr.withColumn("one", F.lit(1.0)), 10, "one")
+    sums = tr.join(items.select(F.col("id").alias("item"), F.posexplode("vec").alias("c", "x")), "item").groupBy("user", "c").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("rows"))
+    own = users.select(F.col("id").alias("user"), F.posexplode("vec").alias("c", "u"))
+    return sums.join(own, ["user", "c"]).groupBy("user").agg(F.max("rows").alias("rows"), (F.max(F.abs(F.col("s") - F.col("u"))) < 1e-9).alias("met"))
+
+
+@query("rc22_als_normal_equations", _MET)
+def rc22_normal(spark, sf):
+    tr = fx.train(spark, sf)
+    users, items = fm._als_factors(tr, "rating", rank=10, regParam=0.1, alpha=10.0, implicitPrefs=True, maxIter=10, seed=42)
+    return _met(fm.normal_equations(tr, users, items, "rating", 0.1, alpha=10.0))
+
+
+@query("rc23_als_normal_equations", _MET)
+def rc23_normal(spark, sf):
+    tr = fx.train(spark, sf)
+    users, items = fm._als_factors(tr, "rating", rank=10, regParam=0.1, maxIter=10, seed=42)
+    return _met(fm.normal_equations(tr, users, items, "rating", 0.1))
+
+
+@query("rc23_nonneg_optimality", _MET)
+def rc23_nonneg(spark, sf):
+    tr = fx.train(spark, sf)
+    users, items = fm._als_factors(tr, "rating", rank=10, regParam=0.1, nonnegative=True, maxIter=10, seed=42)
+    return _met(fm.normal_equations(tr, users, items, "rating", 0.1, nonnegative=True))
+
+
+@query("rc24_fm_normal_equations", _MET)
 def rc24_normal(spark, sf):
     """Every user's coefficients against the normal equations, with residuals made by the definition of the machine."""
     tr = fx.train(spark, sf)
