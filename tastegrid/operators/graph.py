@@ -185,10 +185,16 @@ def user_cooccurrence(train: DataFrame, k: int = 200, hot_profile: int = HOT_PRO
     return best.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("n").alias("weight"), "rank")
 
 
-def sample_neighbours(neighbours: DataFrame, k: int, mode: str = "softmax", seed: int = 42) -> DataFrame:
+def sample_neighbours(neighbours: DataFrame, k: int, mode: str = "softmax", seed: int = 42, nodes: DataFrame | None = None) -> DataFrame:
     """Exactly ``k`` neighbours per node from a ranked table: the first k, shorter lists padded by random repeats.
 
-    Weights are the softmax of the neighbour weights or 1 / k."""
+    Weights are the softmax of the neighbour weights or 1 / k. Of ``nodes(src)``, those without a neighbour have k slots of
+    weight 0 that point to the first node."""
+    if nodes is not None:
+        sampled = sample_neighbours(neighbours, k, mode, seed)
+        alone = nodes.select("src").distinct().join(neighbours.select("src").distinct(), "src", "left_anti")
+        alone = alone.select("src", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("slot"), F.lit(nodes.agg(F.min("src")).scalar()).alias("dst"), F.lit(0.0).alias("weight"))
+        return sampled.unionByName(alone)
     first = neighbours.filter(F.col("rank") <= k)
     sizes = first.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     slots = sizes.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(k))))

@@ -368,14 +368,18 @@ class Evaluation:
 
     @staticmethod
     def _disparity(rows: DataFrame, users: DataFrame, items: DataFrame, out: str) -> DataFrame:
+        """Every user group against every item category, both numbered from 0: the category's part of the group's rows over
+        its part of the items. NaN for a group without rows or a category without items."""
         u, i = users.withColumnRenamed("cluster", "user_cluster"), items.withColumnRenamed("cluster", "item_cluster")
         counts = rows.join(u, "user").join(i, "item").groupBy("user_cluster", "item_cluster").agg(F.count(F.lit(1)).alias("c"))
+        totals = counts.groupBy("user_cluster").agg(F.sum("c").alias("total"))
         share = i.groupBy("item_cluster").agg(F.count(F.lit(1)).alias("size"))
         n_items = items.agg(F.count(F.lit(1))).scalar()
-        top = i.agg(F.max("item_cluster")).scalar()
-        grid = counts.groupBy("user_cluster").agg(F.sum("c").alias("total")).withColumn("item_cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), top)))
-        joined = grid.join(counts, ["user_cluster", "item_cluster"], "left").join(share, "item_cluster")
-        value = (F.coalesce("c", F.lit(0)) / F.col("total")) / (F.col("size") / n_items)
+        first = F.lit(0).cast("bigint")
+        grid = u.agg(F.max("user_cluster").alias("groups"), F.lit(i.agg(F.max("item_cluster")).scalar()).alias("categories"))
+        grid = grid.withColumn("user_cluster", F.explode(F.sequence(first, F.col("groups").cast("bigint")))).withColumn("item_cluster", F.explode(F.sequence(first, F.col("categories").cast("bigint"))))
+        joined = grid.join(totals, "user_cluster", "left").join(share, "item_cluster", "left").join(counts, ["user_cluster", "item_cluster"], "left")
+        value = ratio(ratio(F.coalesce("c", F.lit(0)), F.col("total"), NAN), F.col("size") / n_items, NAN)
         return joined.select("user_cluster", "item_cluster", value.alias(out))
 
     def bias_recommended(self, users: DataFrame, items: DataFrame) -> DataFrame:

@@ -145,13 +145,14 @@ def _sampled(mode: str, weight: str):
         firsts AS (SELECT * FROM low WHERE rank <= 10), n AS (SELECT src, count(*) AS n FROM firsts GROUP BY src),
         slots AS (SELECT src, slot, CASE WHEN slot <= n THEN slot ELSE ('0x' || substr(md5(concat_ws('|', 42, src, slot)), 1, 8))::BIGINT % n + 1 END AS rank FROM n, range(1, 11) t(slot)),
         picked AS (SELECT src, slot, dst, weight FROM slots JOIN firsts USING (src, rank))
-        SELECT src, slot::INTEGER AS slot, dst, round({weight}, 9) AS weight FROM picked""")
+        SELECT src, slot::INTEGER AS slot, dst, round({weight}, 9) AS weight FROM picked
+        UNION ALL SELECT user, slot::INTEGER, (SELECT min(user) FROM train_users), 0 FROM train_users, range(1, 11) t(slot) WHERE user NOT IN (SELECT src FROM n)""")
     def run(spark, sf):
         from tastegrid.functions.ranking import top_k
 
         strong = gr.user_cooccurrence(fx.train(spark, sf), 200).filter(F.col("weight") >= 4).drop("rank")
         ranked = top_k(strong, ["src"], [F.desc("weight"), F.asc("dst")], 200)
-        return gr.sample_neighbours(ranked, 10, mode).withColumn("weight", F.round("weight", 9))
+        return gr.sample_neighbours(ranked, 10, mode, nodes=fx.train(spark, sf).select(F.col("user").alias("src"))).withColumn("weight", F.round("weight", 9))
 
 
 _sampled("mean", "0.1::DOUBLE")

@@ -333,13 +333,17 @@ def me35r(spark, sf):
     return _one(_ev_random(spark, sf).item_mad_ranking(fx.item_clusters(spark, sf)))
 
 
-def _disparity_sql(rows: str, out: str) -> str:
+def _disparity_sql(rows: str, out: str, by: int = 1) -> str:
+    """The whole grid; with ``by`` 2 every second group and category is empty."""
+    users, items = f"(SELECT user, cluster * {by} AS cluster FROM user_clusters)", f"(SELECT item, cluster * {by} AS cluster FROM item_clusters)"
     return f"""{out}_c AS (SELECT u.cluster AS user_cluster, i.cluster AS item_cluster, count(*) AS c FROM {rows} x
-          JOIN user_clusters u ON u.user = x.user JOIN item_clusters i ON i.item = x.item GROUP BY ALL),
+          JOIN {users} u ON u.user = x.user JOIN {items} i ON i.item = x.item GROUP BY ALL),
         {out}_t AS (SELECT user_cluster, sum(c) AS total FROM {out}_c GROUP BY user_cluster),
-        {out}_s AS (SELECT cluster AS item_cluster, count(*) / (SELECT count(*) FROM item_clusters) AS share FROM item_clusters GROUP BY cluster),
-        {out} AS (SELECT t.user_cluster, s.item_cluster, coalesce(c, 0) / total / share AS value
-          FROM {out}_t t CROSS JOIN {out}_s s LEFT JOIN {out}_c c ON c.user_cluster = t.user_cluster AND c.item_cluster = s.item_cluster)"""
+        {out}_s AS (SELECT cluster AS item_cluster, count(*) / (SELECT count(*) FROM item_clusters) AS share FROM {items} GROUP BY cluster),
+        {out}_g AS (SELECT a AS user_cluster, b AS item_cluster FROM range((SELECT max(cluster) + 1 FROM {users})) x(a), range((SELECT max(cluster) + 1 FROM {items})) y(b)),
+        {out} AS (SELECT g.user_cluster, g.item_cluster, coalesce(coalesce(c, 0) / total / share, 'nan'::DOUBLE) AS value
+          FROM {out}_g g LEFT JOIN {out}_t t USING (user_cluster) LEFT JOIN {out}_s s USING (item_cluster)
+          LEFT JOIN {out}_c c ON c.user_cluster = g.user_cluster AND c.item_cluster = g.item_cluster)"""
 
 
 @query("me36_bias_disparity_br", f"WITH {_EV}, {_disparity_sql('lists', 'br')} SELECT user_cluster, item_cluster, round(value, 6) AS value FROM br")
@@ -347,6 +351,13 @@ def me36(spark, sf):
     return rounded(_ev(spark, sf).bias_recommended(fx.user_clusters(spark, sf), fx.item_clusters(spark, sf)), "value")
 
 
+@query("me36_bias_disparity_with_empty_groups", f"WITH {_EV}, {_disparity_sql('lists', 'br', 2)} SELECT user_cluster, item_cluster, isnan(value) AS empty, CASE WHEN isnan(value) THEN 0 ELSE round(value, 6) END AS value FROM br")
+def me36_empty(spark, sf):
+    users, items = (t.withColumn("cluster", F.col("cluster") * 2) for t in (fx.user_clusters(spark, sf), fx.item_clusters(spark, sf)))
+    got = _ev(spark, sf).bias_recommended(users, items)
+    return got.select("user_cluster", "item_cluster", F.isnan("value").alias("empty"), F.when(F.isnan("value"), 0.0).otherwise(F.round("value", 6)).alias("value"))
+
+
 @query("me37_bias_disparity_bs", f"WITH {_disparity_sql('train', 'bs')} SELECT user_cluster, item_cluster, round(value, 6) AS value FROM bs")
 def me37(spark, sf):
     return rounded(_ev(spark, sf).bias_source(fx.user_clusters(spark, sf), fx.item_clusters(spark, sf)), "value")
