@@ -45,7 +45,12 @@ CLOSES = {
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+ATTRIBUTES = frozenset(["class", "id", "role", "hidden", "style", "aria-hidden"])
+#: Raw elements that end themselves where they say so.
+FOREIGN = frozenset(["svg", "math"])
+#: A class that begins so says what its element has or lacks, not what it is.
+LAYOUT = frozenset(["has", "no", "not", "with", "without"])
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -68,7 +73,8 @@ class Element:
             return True
         if a.get("role", "").lower() in SITE_ROLES:
             return True
-        named = {w.lower() for k in ("class", "id") for w in _WORD.findall(a.get(k, ""))}
+        names = [[w.lower() for w in _WORD.findall(name)] for k in ("class", "id") for name in a.get(k, "").split()]
+        named = {w for words in names if words and words[0] not in LAYOUT for w in words}
         return self.tag not in ("body", "html", "article", "main") and bool(named & SITE_WORDS)
 
 
@@ -93,11 +99,12 @@ def parse(page: str) -> Element:
             _close(stack, tag)
             continue
         _make_room(stack, tag)
-        e = Element(tag, {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(rest)} if rest and not rest.isspace() else {})
+        e = Element(tag, {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(rest) if k.lower() in ATTRIBUTES} if rest and not rest.isspace() else {})
         stack[-1].parts.append(e)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*+>", re.I).search(page, at)
-            at = end.end() if end else n
+            if not rest.endswith("/") or (end and tag not in FOREIGN):  # <svg/> is empty, and so is <script/> that nothing ends
+                at = end.end() if end else n
         elif tag not in VOID and not rest.endswith("/") or tag in BLOCK:
             if tag not in VOID:
                 stack.append(e)

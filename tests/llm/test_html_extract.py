@@ -51,3 +51,13 @@ def test_odd_pages(spark):
 def test_hashes_tell_subtrees_apart():
     keys = lambda h: set(hx.block_keys(h))
     assert keys("<div><p>a</p></div>") & keys("<section><p>a</p></section>") and not keys("<div>a</div>") & keys("<div>b</div>")
+
+
+def test_attributes_by_their_whole_names_and_empty_raw_elements():
+    def text(body):
+        return hx.main_text(f"<html><body>{body}</body></html>", set())
+
+    assert text("<article><p>see <a href='/hidden-gems'>the gems</a></p><p data-hidden='false'>two</p><p title='class=\"menu\"'>three</p></article>") == "see the gems two three"
+    assert text("<article><p>one</p><svg/><p>two</p><script/><p>three</p></article>") == "one two three"
+    assert text("<article><p>one</p><svg><path/></svg><script>x</script><p hidden>no</p><p>two</p></article>") == "one two"
+    assert text("<div class='layout has-sidebar'><article class='post no-comments'><p>one</p></article></div><div class='sidebar'><p>no</p></div>") == "one"
