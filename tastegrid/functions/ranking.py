@@ -91,20 +91,23 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], out: str = "idx",
     )
 
 
-def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str = "total") -> DataFrame:
+def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str = "total", keys: Sequence[str] = ()) -> DataFrame:
     """Adds ``out`` (total of ``value`` up to and including the row) and ``<out>_before``, over all rows
-    in sort order. Ties in ``order`` must be broken by the caller."""
-    ranged = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "running")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    in sort order, or over those of the same ``keys``. Ties in ``order`` must be broken by the caller.
+
+    Rows are range-partitioned on (keys, order), so one key may hold any share of them."""
+    keys = list(keys)
+    ranged = materialise(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "running")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("_part")
+        ranged.groupBy(*keys, "_part")
         .agg(F.sum(value).alias("_s"))
-        .select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))
+        .select(*keys, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))
     )
-    local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         ranged.withColumn("_local", F.sum(value).over(local))
-        .join(F.broadcast(offsets), "_part")
+        .join(offsets if keys else F.broadcast(offsets), [*keys, "_part"])
         .withColumn(out, F.col("_local") + F.col("_offset"))
         .withColumn(f"{out}_before", F.col(out) - F.col(value))
         .drop("_local", "_offset", "_part")

@@ -4,66 +4,12 @@ results ``(model, user, value)``."""
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import erfc, exp, inf, lgamma, log, nan, sqrt
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType
 
 from tastegrid.functions.ranking import running_total
 from tastegrid.functions.ratios import NAN, ratio
-
-
-def t_two_sided(t: float, df: float) -> float:
-    """Two-sided p of Student's t: the regularised incomplete beta function by its continued fraction."""
-    if t != t or df < 1:
-        return nan
-    if t in (inf, -inf):
-        return 0.0
-    a, b, x = df / 2.0, 0.5, df / (df + t * t)
-    if x >= 1.0:
-        return 1.0
-    flip = x > (a + 1) / (a + b + 2)
-    if flip:
-        a, b, x = b, a, 1.0 - x
-    if x <= 0.0:
-        return 1.0 if flip else 0.0
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1.0 - x)) / a
-    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1.0))
-    total = d
-    for m in range(1, 500):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 / (1.0 + top * d)
-            c = 1.0 + top / c
-            total *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
-    value = front * total
-    return 1.0 - value if flip else value
-
-
-def wilcoxon_two_sided(w: float, n: int, ties: float) -> float:
-    """Two-sided p of the signed-rank statistic: exact up to 50 differences without ties, else normal."""
-    if n == 0:
-        return nan
-    if n <= 50 and ties == 0:
-        ways = [1] + [0] * (n * (n + 1) // 2)
-        for r in range(1, n + 1):
-            for s in range(len(ways) - 1, r - 1, -1):
-                ways[s] += ways[s - r]
-        return min(1.0, 2.0 * sum(ways[: int(w) + 1]) / 2.0**n)
-    spread = sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
-    return erfc(abs(w - n * (n + 1) / 4) / spread / sqrt(2.0)) if spread > 0 else nan
-
-
-@F.pandas_udf(DoubleType())
-def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided(a, b) for a, b in zip(t, df)])
-
-
-@F.pandas_udf(DoubleType())
-def _w_p(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
-    return pd.Series([wilcoxon_two_sided(a, int(b), c) for a, b, c in zip(w, n, ties)])
+from tastegrid.functions.tails import signed_rank_two_sided, t_two_sided
 
 
 def _differences(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -78,40 +24,62 @@ def _t_of(d: str = "d") -> list:
 def paired_ttest(a: DataFrame, b: DataFrame, with_p: bool = True) -> DataFrame:
     """One row (t, df[, p]) over the common users."""
     row = _differences(a, b).agg(*_t_of())
-    return row.withColumn("p", _t_p("t", F.col("df").cast("double"))) if with_p else row
+    return row.withColumn("p", t_two_sided(F.col("t"), F.col("df"))) if with_p else row
 
 
-def wilcoxon(a: DataFrame, b: DataFrame, with_p: bool = True) -> DataFrame:
-    """One row (w, n[, p]): the smaller signed-rank sum over non-zero differences; no rank for equal lists.
+def _signed_ranks(d: DataFrame, keys: Sequence[str], with_p: bool) -> DataFrame:
+    """(keys, w, n[, p]) of differences ``(keys, d)``, all groups of ``keys`` at once.
 
-    Differences are counted per absolute value first; ranks then follow from a running total over the distinct
-    values, so the users are never put in one order."""
-    d = _differences(a, b).filter(F.col("d") != 0)
-    levels = d.groupBy(F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("d") > 0).alias("up"))
-    placed = running_total(levels, [F.asc("size")], "m", "cum").withColumn("rank", F.col("cum_before") + (F.col("m") + 1) / 2)
+    Differences are counted per absolute value first; average ranks then follow from running totals over a group's
+    distinct values, which range partitions hold, so no group is ever sorted in one task."""
+    levels = d.groupBy(*keys, F.abs("d").alias("size")).agg(F.count_if(F.col("d") != 0).alias("m"), F.count_if(F.col("d") > 0).alias("up"))
+    placed = running_total(levels, [F.asc("size")], "m", "cum", keys).withColumn("rank", F.col("cum_before") + (F.col("m") + 1) / 2)
     m, up = F.col("m"), F.col("up")
-    row = placed.agg(
-        F.least(F.sum(up * F.col("rank")), F.sum((m - up) * F.col("rank"))).alias("w"),
+    rows = placed.groupBy(*keys).agg(
+        F.when(F.sum("m") > 0, F.least(F.sum(up * F.col("rank")), F.sum((m - up) * F.col("rank")))).alias("w"),
         F.coalesce(F.sum("m"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(m * m * m - m), F.lit(0)).cast("double").alias("ties"),
+        F.coalesce(F.sum(m.cast("double") * m * m - m), F.lit(0.0)).alias("ties"),
     )
     if with_p:
-        row = row.withColumn("p", _w_p("w", F.col("n").cast("double"), "ties"))
-    return row.drop("ties")
+        rows = rows.withColumn("p", signed_rank_two_sided(F.col("w"), F.col("n"), F.col("ties")))
+    return rows.drop("ties")
 
 
-def compare_all_models(values: DataFrame, with_p: bool = False) -> DataFrame:
-    """(model_a, model_b, t, df[, p]) of every two models over their common users, both directions."""
-    a = values.select("user", F.col("model").alias("model_a"), F.col("value").alias("a"))
-    b = values.select("user", F.col("model").alias("model_b"), F.col("value").alias("b"))
-    pairs = a.join(b, "user").filter(F.col("model_a") < F.col("model_b")).withColumn("d", F.col("a") - F.col("b"))
-    rows = pairs.groupBy("model_a", "model_b").agg(*_t_of())
+def wilcoxon(a: DataFrame, b: DataFrame, with_p: bool = True) -> DataFrame:
+    """One row (w, n[, p]): the smaller signed-rank sum over non-zero differences; no rank for equal lists."""
+    return _signed_ranks(_differences(a, b), [], with_p)
+
+
+TESTS = ("ttest", "wilcoxon")
+
+
+def compare_all_models(values: DataFrame, with_p: bool = False, test: str = "ttest", keys: Sequence[str] = ()) -> DataFrame:
+    """Every two models over their common users, both directions, for every value of ``keys`` (metric, cutoff) at once.
+
+    ``values`` is (model, user, keys, value). 'ttest' gives (model_a, model_b, keys, t, df[, p]), 'wilcoxon' (model_a,
+    model_b, keys, w, n[, p]); two models with equal values have no w, n = 0 and a p of NaN. A null or NaN value takes its
+    user out of that comparison."""
+    if test not in TESTS:
+        raise ValueError(f"unknown test {test}; known: {', '.join(TESTS)}")
+    keys = list(keys)
+    known = values.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    a = known.select("user", *keys, F.col("model").alias("model_a"), F.col("value").alias("a"))
+    b = known.select("user", *keys, F.col("model").alias("model_b"), F.col("value").alias("b"))
+    pairs = a.join(b, ["user", *keys]).filter(F.col("model_a") < F.col("model_b")).withColumn("d", F.col("a") - F.col("b"))
+    group = ["model_a", "model_b", *keys]
+    if test == "ttest":
+        rows, found = pairs.groupBy(*group).agg(*_t_of()), ["t", "df"]
+        if with_p:
+            rows = rows.withColumn("p", t_two_sided(F.col("t"), F.col("df")))
+    else:
+        rows, found = _signed_ranks(pairs.select(*group, "d"), group, with_p), ["w", "n"]
+    found += ["p"] if with_p else []
+    mirrored = [(-F.col(c) if c == "t" else F.col(c)).alias(c) for c in found]
     both = F.array(
-        F.struct("model_a", "model_b", "t", "df"),
-        F.struct(F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), (-F.col("t")).alias("t"), "df"),
+        F.struct("model_a", "model_b", *keys, *found),
+        F.struct(F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), *keys, *mirrored),
     )
-    out = rows.select(F.explode(both).alias("r")).select("r.*")
-    return out.withColumn("p", _t_p("t", F.col("df").cast("double"))) if with_p else out
+    return rows.select(F.explode(both).alias("r")).select("r.*")
 
 
 def average_folds(results: DataFrame) -> DataFrame:

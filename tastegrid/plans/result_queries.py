@@ -58,7 +58,28 @@ def st01(spark, sf):
     return rounded(rs.paired_ttest(*_pair(spark, sf), with_p=False), "t")
 
 
-@query("st01_paired_ttest_p")
+# p of Student's t for whole degrees of freedom: a finite sum over the angle whose tangent is |t| / sqrt(df).
+def _t_p_sql(rows: str, keys: str = "") -> str:
+    """CTE ``tp``: the rows of ``rows`` (keys, t, df) with p."""
+    return f"""ang AS (SELECT *, atan(abs(t) / sqrt(df)) AS th FROM {rows}),
+      terms AS (SELECT *, unnest(range(0, CASE WHEN df % 2 = 1 THEN (df - 1) // 2 ELSE df // 2 END)) AS j FROM ang),
+      sums AS (SELECT {keys}t, df, sum(exp(CASE WHEN df % 2 = 1 THEN lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5) + (2 * j + 1) * ln(cos(th))
+          ELSE lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1) + 2 * j * ln(cos(th)) END)) AS s FROM terms GROUP BY ALL),
+      tp AS (SELECT ang.*, 1 - CASE WHEN df % 2 = 1 THEN 2 / pi() * (th + sin(th) * coalesce(s, 0)) ELSE sin(th) * s END AS p
+        FROM ang LEFT JOIN sums USING ({keys}t, df))"""
+
+
+# p of the signed ranks for many differences: the normal law's series over positive terms.
+def _w_p_sql(rows: str, keys: str = "") -> str:
+    """CTE ``wp``: the rows of ``rows`` (keys, w, n, ties) with p; more than 50 differences, or ties, are the normal law's case."""
+    return f"""dev AS (SELECT *, abs(w - n * (n + 1) / 4) / sqrt((n * (n + 1.0::DOUBLE) * (2 * n + 1) - ties / 2) / 24) / sqrt(2) AS x FROM {rows}),
+      parts AS (SELECT *, unnest(range(0, 400)) AS j FROM dev WHERE n > 0 AND x > 0),
+      added AS (SELECT {keys}w, n, ties, sum(exp(j * ln(2) + (2 * j + 1) * ln(x) - x * x - (lgamma(2 * j + 2) - lgamma(j + 1) - j * ln(2)))) AS s FROM parts GROUP BY ALL),
+      wp AS (SELECT dev.*, CASE WHEN n = 0 THEN 'nan'::DOUBLE ELSE 1 - 2 / sqrt(pi()) * coalesce(s, 0) END AS p FROM dev LEFT JOIN added USING ({keys}w, n, ties))"""
+
+
+@query("st01_paired_ttest_p", f"""WITH {_MODELS}, {_D}, t AS (SELECT avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM d),
+    {_t_p_sql('t')} SELECT round(t, 6) AS t, df, round(p, 6) + 0 AS p FROM tp""")
 def st01_p(spark, sf):
     return rounded(rs.paired_ttest(*_pair(spark, sf)), "t", "p")
 
@@ -70,7 +91,10 @@ def st02(spark, sf):
     return rs.wilcoxon(*_pair(spark, sf), with_p=False)
 
 
-@query("st02_wilcoxon_p")
+@query("st02_wilcoxon_p", f"""WITH {_MODELS}, {_D}, z AS (SELECT d, abs(d) AS a FROM d WHERE d <> 0),
+    r AS (SELECT d, a, count(*) OVER (PARTITION BY a) AS m, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS r FROM z),
+    ws AS (SELECT least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) AS w, count(*) AS n, sum(m * m - 1)::DOUBLE AS ties FROM r),
+    {_w_p_sql('ws')} SELECT w, n, round(p, 6) + 0 AS p FROM wp""")
 def st02_p(spark, sf):
     return rounded(rs.wilcoxon(*_pair(spark, sf)), "p")
 
@@ -81,6 +105,29 @@ def st03(spark, sf):
     return rounded(rs.compare_all_models(_values(spark, sf, "Recall")), "t")
 
 
+_ALL_D = """vals AS (UNPIVOT (SELECT model, user, "Precision", "Recall", "MRR" FROM users) ON "Precision", "Recall", "MRR" INTO NAME metric VALUE value),
+    d AS (SELECT a.model AS model_a, b.model AS model_b, metric, a.value - b.value AS d FROM vals a JOIN vals b USING (user, metric) WHERE a.model <> b.model)"""
+
+
+def _all_values(spark, sf):
+    return _users(spark, sf).unpivot(["model", "user"], _METRICS, "metric", "value")
+
+
+@query("st03_compare_all_metrics_ttest", f"""WITH {_MODELS}, {_ALL_D},
+    t AS (SELECT model_a, model_b, metric, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM d GROUP BY ALL), {_t_p_sql('t', 'model_a, model_b, metric, ')}
+    SELECT model_a, model_b, metric, round(t, 6) AS t, df, round(p, 6) + 0 AS p FROM tp""")
+def st03_ttest(spark, sf):
+    return rounded(rs.compare_all_models(_all_values(spark, sf), True, "ttest", ["metric"]), "t", "p")
+
+
+@query("st03_compare_all_metrics_wilcoxon", f"""WITH {_MODELS}, {_ALL_D}, z AS (SELECT *, abs(d) AS a FROM d WHERE d <> 0),
+    r AS (SELECT *, count(*) OVER (PARTITION BY model_a, model_b, metric, a) AS m, rank() OVER (PARTITION BY model_a, model_b, metric ORDER BY a) + (count(*) OVER (PARTITION BY model_a, model_b, metric, a) - 1) / 2 AS r FROM z),
+    ws AS (SELECT model_a, model_b, metric, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w, count(*) AS n, sum(m * m - 1)::DOUBLE AS ties FROM r GROUP BY ALL),
+    {_w_p_sql('ws', 'model_a, model_b, metric, ')} SELECT model_a, model_b, metric, w, n, round(p, 6) + 0 AS p FROM wp""")
+def st03_wilcoxon(spark, sf):
+    return rounded(rs.compare_all_models(_all_values(spark, sf), True, "wilcoxon", ["metric"]), "p")
+
+
 @query("st04_average_folds", f"WITH {_MODELS} SELECT model, k, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM long GROUP BY ALL")
 def st04(spark, sf):
     return rounded(rs.average_folds(_long(spark, sf)), "mean", "std")
