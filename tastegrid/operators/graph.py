@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.functions.hashing import md5_int, md5_unit
+from tastegrid.functions.nearest import best_products, cosine_at_least
 from tastegrid.functions.pairs import HOT_PROFILE, pair_stats
 from tastegrid.functions.ranking import dense_index, position_in_group, top_k
 from tastegrid.functions.vectors import block_pairs, block_totals, cosine_block, dot, mean_vector, norm, normalised, shrunk_cosine_block, sum_vectors
@@ -105,11 +106,22 @@ def cosine_matrix(vectors: DataFrame) -> DataFrame:
     return _edges(block_pairs(vectors, vectors, cosine_block))
 
 
+def cosine_edges(vectors: DataFrame, at_least: float, **cells: int) -> DataFrame:
+    """Pairs with a cosine of at least ``at_least``, both directions and self pairs; pairs that cannot reach it are not
+    computed (:func:`nearest.cosine_at_least`, which takes ``cells``)."""
+    return _edges(cosine_at_least(vectors, at_least, **cells))
+
+
 def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
     """The k most similar of each row, the row itself among them."""
     return _edges(block_pairs(vectors, vectors, cosine_block, k))
 
 
+def knn_graph_pruned(vectors: DataFrame, k: int, **cells: int) -> DataFrame:
+    """:func:`knn_graph` for large tables: a vector travels only to the cells that can hold a nearer one."""
+    return _edges(best_products(vectors, vectors, k, cosine=True, **cells))
+
+
 def unit_weights(edges: DataFrame) -> DataFrame:
     """Edges counted as 1 and normalised by the rows' edge counts at both ends."""
     rows = _degree(edges, "src", "_s")

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tastegrid.functions.nearest import best_products
 from tastegrid.functions.pairs import HOT_PROFILE, pair_stats
 from tastegrid.functions.ranking import dense_index, first_free_places, top_k
 from tastegrid.functions.ratios import ratio
@@ -173,6 +174,14 @@ def factor_recs(users: DataFrame, items: DataFrame, train: DataFrame, k: int, sc
     return got.select(F.col("i").alias("user"), F.col("j").alias("item"), "score", "rank")
 
 
+def factor_recs_pruned(users: DataFrame, items: DataFrame, train: DataFrame, k: int, **cells: int) -> DataFrame:
+    """:func:`factor_recs` by dot products for large catalogues: a user's vector travels only to the item cells that can
+    still beat the user's k-th best score (:func:`nearest.best_products`, which takes ``cells``)."""
+    mask = train.select(F.col("user").alias("i"), F.col("item").alias("j"))
+    got = best_products(users, items, k, mask=mask, **cells)
+    return got.select(F.col("i").alias("user"), F.col("j").alias("item"), "score", "rank")
+
+
 def with_bias(vectors: DataFrame, bias: DataFrame | None, first: bool) -> DataFrame:
     """Vectors extended so that their dot product adds the biases: (vec, b, 1) against (vec, 1, b)."""
     rows = vectors if bias is None else vectors.join(bias.select("id", "bias"), "id", "left")

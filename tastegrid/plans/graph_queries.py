@@ -74,6 +74,16 @@ def gr04(spark, sf):
     return _r(gr.cosine_matrix(fx.visual(spark, sf)))
 
 
+@query("gr04_cosine_at_least", f"WITH {_sims('visual')} {_OUT} vsim WHERE weight >= 0.3")
+def gr04_at_least(spark, sf):
+    return _r(gr.cosine_edges(fx.visual(spark, sf), 0.3))
+
+
+@query("gr05_knn_graph_pruned", f"WITH {_knn('visual', 10)} {_OUT} vknn")
+def gr05_pruned(spark, sf):
+    return _r(gr.knn_graph_pruned(fx.visual(spark, sf), 10))
+
+
 @query("gr05_knn_graph", f"WITH {_knn('visual', 10)} {_OUT} vknn")
 def gr05(spark, sf):
     return _r(gr.knn_graph(fx.visual(spark, sf), 10))

@@ -361,15 +361,18 @@ def rc24_normal(spark, sf):
     return machine.normal_equations(tr, model, 1.0).select("user", "rows", (F.col("slope") < 1e-8).alias("met"))
 
 
-@query("rc25_dot_product_scores", """
+_DOTS = """
     WITH uv AS (SELECT t.user, list_transform(range(64), lambda d: 0.0::DOUBLE) AS z FROM train_users t),
     ul AS (SELECT user, dim, sum(rating * value) AS value FROM train JOIN visual_long ON id = item GROUP BY user, dim),
     ub AS (SELECT user, avg(rating) AS b FROM train GROUP BY user),
     ib AS (SELECT item, avg(rating) AS b FROM train GROUP BY item),
     dots AS (SELECT u.user, v.id AS item, sum(u.value * v.value) AS d FROM ul u JOIN visual_long v USING (dim) GROUP BY ALL),
     scores AS (SELECT user, item, d + coalesce(ub.b, 0) + coalesce(ib.b, 0) AS score FROM dots LEFT JOIN ub USING (user) LEFT JOIN ib USING (item))
-    """ + _top(20))
-def rc25(spark, sf):
+    """ + _top(20)
+
+
+def _dot_sides(spark, sf):
+    """Users as the sum of their items' vectors and items as theirs, both with the mean rating as bias."""
     from tastegrid.functions.vectors import sum_vectors
 
     tr, items = fx.train(spark, sf), fx.visual(spark, sf)
@@ -377,4 +380,16 @@ def rc25(spark, sf):
     users = sum_vectors(rows, ["user"], "vec", 64, "rating").withColumnRenamed("user", "id")
     ub = tr.groupBy(F.col("user").alias("id")).agg(F.avg("rating").alias("bias"))
     ib = tr.groupBy(F.col("item").alias("id")).agg(F.avg("rating").alias("bias"))
+    return users, items, tr, ub, ib
+
+
+@query("rc25_dot_product_scores", _DOTS)
+def rc25(spark, sf):
+    users, items, tr, ub, ib = _dot_sides(spark, sf)
     return _recs(rc.dot_product_recs(users, items, tr, 20, ub, ib))
+
+
+@query("rc25_dot_product_scores_pruned", _DOTS)
+def rc25_pruned(spark, sf):
+    users, items, tr, ub, ib = _dot_sides(spark, sf)
+    return _recs(rc.factor_recs_pruned(rc.with_bias(users, ub, True), rc.with_bias(items, ib, False), tr, 20))
