@@ -63,9 +63,11 @@ def item_knn_scores(train: DataFrame, neighbours: DataFrame, target: str = "i")
     )
 
 
-def user_knn_scores(train: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """(user, item, score): similarity of i to j times j's ratings, for user neighbours ``(i, j, sim)``."""
-    w = neighbours.select(F.col("j").alias("user"), F.col("i").alias("of"), "sim")
+def user_knn_scores(train: DataFrame, neighbours: DataFrame, target: str = "i") -> DataFrame:
+    """(user, item, score): similarities times ratings, for user neighbours ``(i, j, sim)``. With target 'i' a user is scored
+    from the user's own neighbours j, with 'j' from the users i that have the user among theirs."""
+    source = "j" if target == "i" else "i"
+    w = neighbours.select(F.col(source).alias("user"), F.col(target).alias("of"), "sim")
     return (
         train.select("user", "item", "rating").join(w, "user")
         .groupBy(F.col("of").alias("user"), "item").agg(F.sum(F.col("rating") * F.col("sim")).alias("score"))
@@ -88,10 +90,6 @@ def stacked_features(train: DataFrame, attributes: DataFrame, weight: float) ->
     return known.unionByName(users.select("key", "item", "rating"))
 
 
-def attribute_item_neighbours(train: DataFrame, attributes: DataFrame, weight: float, fn: str, k: int) -> DataFrame:
-    return similarity(stacked_features(train, attributes, weight), fn, k, key="key")
-
-
 def bm25_weight(m: DataFrame, row: str, col: str, value: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Values of a sparse matrix reweighted by Okapi BM25, rows as documents and columns as terms."""
     lengths = m.groupBy(row).agg(F.sum(value).alias("_len"))
@@ -109,6 +107,18 @@ def tfidf_sqrt_weight(m: DataFrame, row: str, col: str, value: str) -> DataFrame
     return m.join(df, col).select(row, col, (F.sqrt(value) * F.log(n / (1 + F.col("_df")))).alias(value))
 
 
+FEATURE_WEIGHTS = {"TF_IDF": tfidf_sqrt_weight, "BM25": bm25_weight}
+
+
+def attribute_item_neighbours(train: DataFrame, attributes: DataFrame, weight: float, fn: str, k: int, feature_weighting: str | None = None) -> DataFrame:
+    """Item neighbours from attributes and ratings side by side; 'TF_IDF' or 'BM25' first reweighs the whole matrix with the
+    items as its documents."""
+    stacked = stacked_features(train, attributes, weight)
+    if feature_weighting is not None:
+        stacked = FEATURE_WEIGHTS[feature_weighting](stacked, "item", "key", "rating")
+    return similarity(stacked, fn, k, key="key")
+
+
 def tfidf_items(attributes: DataFrame) -> DataFrame:
     """(item, feature_id, weight): ln(items / feature count), scaled to length 1 per item; 0 for an item that has only features of
     all items."""
@@ -152,6 +162,12 @@ def profile_user_neighbours(profile: DataFrame, fn: str, k: int, dense_features:
     return similarity(profile, fn, k, key="feature_id", member="user", value="weight", keep_self=True)
 
 
+def attribute_user_knn_recs(train: DataFrame, profile: DataFrame, fn: str, neighbours: int, k: int, dense_features: int = DENSE_FEATURES) -> DataFrame:
+    """Complete lists of unseen items from the ratings of those users that count the user among their nearest by features."""
+    near = profile_user_neighbours(profile, fn, neighbours, dense_features)
+    return full_top_k_unseen(user_knn_scores(train, near, target="j"), train, k)
+
+
 def vsm_recs(profile: DataFrame, weights: DataFrame, train: DataFrame, fn: str, k: int, dense_features: int = DENSE_FEATURES) -> DataFrame:
     """Unseen items nearest to the user's feature profile, among all items with a feature; those that share none have 0."""
     d = _feature_width(profile, weights)

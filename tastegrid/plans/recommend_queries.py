@@ -190,6 +190,30 @@ def rc10(spark, sf):
     return _neighbours(rc.attribute_item_neighbours(fx.train(spark, sf), fx.attribute_ids(spark, sf), 2.0, "cosine", 20))
 
 
+_STACKED = """raw AS MATERIALIZED (SELECT 'u' || user AS key, item, rating FROM train
+      UNION ALL SELECT 'f' || feature_id, item, 2.0 FROM attribute_ids WHERE item IN (SELECT item FROM pop)),
+    kd AS (SELECT key, count(*) AS df FROM raw GROUP BY key), il AS (SELECT item, sum(rating) AS len FROM raw GROUP BY item),
+    ig AS (SELECT count(*) AS n, avg(len) AS mean FROM il)"""
+
+
+@query("rc10_attribute_item_knn_tfidf", f"""WITH {_STACKED},
+    data AS MATERIALIZED (SELECT key, item, sqrt(rating) * ln(n / (1 + df)) AS rating FROM raw JOIN kd USING (key), ig),
+    {_PAIRS}, {_best(_PLAIN['cosine'], 20)} {_OUT}""")
+def rc10_tfidf(spark, sf):
+    return _neighbours(rc.attribute_item_neighbours(fx.train(spark, sf), fx.attribute_ids(spark, sf), 2.0, "cosine", 20, "TF_IDF"))
+
+
+@query("rc10_attribute_item_knn_bm25_recs", f"""WITH {_STACKED},
+    data AS MATERIALIZED (SELECT key, item, rating * 2.2 / (1.2 * (0.25 + 0.75 * len / mean) + rating) * ln(n / (1 + df)) AS rating
+      FROM raw JOIN kd USING (key) JOIN il USING (item), ig),
+    {_PAIRS}, {_best(_PLAIN['cosine'], 20)},
+    scores AS (SELECT t.user, s.i AS item, sum(t.rating * s.sim) AS score FROM train t JOIN sim s ON s.j = t.item GROUP BY ALL) {_full_top(20)}""")
+def rc10_bm25(spark, sf):
+    tr = fx.train(spark, sf)
+    near = rc.attribute_item_neighbours(tr, fx.attribute_ids(spark, sf), 2.0, "cosine", 20, "BM25")
+    return _recs(rc.full_top_k_unseen(rc.item_knn_scores(tr, near), tr, 20))
+
+
 @query("rc11_bm25_weight", """WITH l AS (SELECT item, sum(rating) AS len FROM train GROUP BY item), d AS (SELECT user, count(*) AS df FROM train GROUP BY user),
     g AS (SELECT count(*) AS n, avg(len) AS mean FROM l)
     SELECT item, user, round(rating * 2.2 / (1.2 * (0.25 + 0.75 * len / mean) + rating) * ln(n / (1 + df)), 6) AS rating
@@ -220,6 +244,26 @@ def rc13(spark, sf):
     return _neighbours(rc.profile_user_neighbours(profile, "cosine", 20))
 
 
+_NEAR_USERS = """l AS (SELECT user, sqrt(sum(weight * weight)) AS len FROM {profile} GROUP BY user),
+    sided AS (SELECT a.user AS i, b.user AS j, round(sum(a.weight * b.weight) / max(x.len) / max(y.len), 9) AS c FROM {profile} a JOIN {profile} b USING (feature_id)
+      JOIN l x ON x.user = a.user JOIN l y ON y.user = b.user GROUP BY a.user, b.user)"""
+_FROM_NEAR = "scores AS (SELECT s.j AS user, t.item, sum(t.rating * s.sim) AS score FROM train t JOIN sim s ON s.i = t.user GROUP BY ALL)"
+
+
+@query("rc13_attribute_user_knn_recs", f"""WITH {_TFIDF}, {_NEAR_USERS.format(profile='profile')}, {_best('c', 20)}, {_FROM_NEAR} {_full_top(20)}""")
+def rc13_recs(spark, sf):
+    tr = fx.train(spark, sf)
+    profile = rc.tfidf_user_profile(tr, rc.tfidf_items(fx.attribute_ids(spark, sf)))
+    return _recs(rc.attribute_user_knn_recs(tr, profile, "cosine", 20, 20))
+
+
+@query("rc13_attribute_user_knn_binary_recs", f"""WITH bin AS MATERIALIZED (SELECT DISTINCT user, feature_id, 1.0::DOUBLE AS weight FROM train JOIN attribute_ids USING (item)),
+    {_NEAR_USERS.format(profile='bin')}, {_best('c', 20)}, {_FROM_NEAR} {_full_top(20)}""")
+def rc13_binary_recs(spark, sf):
+    tr = fx.train(spark, sf)
+    return _recs(rc.attribute_user_knn_recs(tr, rc.binary_user_profile(tr, fx.attribute_ids(spark, sf)), "cosine", 20, 20))
+
+
 @query("rc13_attribute_user_knn_binary", """SELECT DISTINCT user, feature_id, 1.0::DOUBLE AS weight FROM train JOIN attribute_ids USING (item)""")
 def rc13_binary(spark, sf):
     return rc.binary_user_profile(fx.train(spark, sf), fx.attribute_ids(spark, sf))
