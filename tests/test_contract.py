@@ -10,7 +10,7 @@ from tools.check import TABLES, compare
 SMALL = "/root/testdata/sf0.001"
 ROWS_ONLY = {
     "rc20_slim", "rc21_pure_svd", "rc22_implicit_als", "rc22_implicit_als_log", "rc23_explicit_mf", "rc23_nonneg_mf", "rc24_factorization_machine",
-    "tx14_clean_review_text", "st01_paired_ttest_p", "st02_wilcoxon_p",
+    "tx14_clean_review_text",
 }
 
 
@@ -33,7 +33,7 @@ def duck():
 
 @pytest.mark.parametrize(
     "name",
-    ["cl04_reindex", "pf05_iterative_k_core", "sp02_best_timestamp", "rc02_most_popular", "rc08_item_knn", "me00_per_user_values", "me33_rsp", "gr05_knn_graph", "tx11_assign_categories", "kg04_second_hop", "io07_read_attributes", "st02_wilcoxon"],
+    ["cl04_reindex", "pf05_iterative_k_core", "sp02_best_timestamp", "rc02_most_popular", "rc08_item_knn", "me00_per_user_values", "me33_rsp", "gr05_knn_graph", "tx11_assign_categories", "kg04_second_hop", "io07_read_attributes", "st02_wilcoxon", "st03_compare_all_metrics_wilcoxon", "gr04_cosine_at_least"],
 )
 def test_against_sql(spark, duck, name):
     got = entry.queries()[name](spark, SMALL).toPandas()
