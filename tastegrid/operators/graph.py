@@ -10,6 +10,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tastegrid.functions.edge_blocks import EdgeBlocks
 from tastegrid.functions.hashing import md5_int, md5_unit
 from tastegrid.functions.nearest import best_products, cosine_at_least
 from tastegrid.functions.pairs import HOT_PROFILE, pair_stats
@@ -240,18 +241,13 @@ def degree_edge_pruning(train: DataFrame, drop: float, seed: int = 42) -> DataFr
 # --- propagation --------------------------------------------------------------------------------------
 
 
-def step(edges: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """Each node's weighted sum of its neighbours' vectors."""
-    rows = edges.join(vectors.select(F.col("id").alias("dst"), "vec"), "dst")
-    return sum_vectors(rows, ["src"], "vec", dim, "weight").withColumnRenamed("src", "id")
-
-
 def layers(edges: DataFrame, vectors: DataFrame, count: int, dim: int) -> list[DataFrame]:
-    """X, AX, A^2 X, ...; every layer is written out, so later ones do not compute earlier ones again."""
-    edges = materialise(edges, "edges")
+    """X, AX, A^2 X, ...; every layer is written out, so later ones do not compute earlier ones again. Edges are cut into
+    grid blocks once, and a layer moves vectors per block, not per edge."""
+    blocks = EdgeBlocks(edges, dim)
     out = [materialise(vectors.select("id", "vec"), "layer")]
     for _ in range(count):
-        out.append(materialise(step(edges, out[-1], dim), "layer"))
+        out.append(materialise(blocks.step(out[-1]), "layer"))
     return out
 
 
@@ -269,11 +265,11 @@ def propagate(edges: DataFrame, vectors: DataFrame, count: int, dim: int) -> Dat
 
 def propagate_cosine_refined(edges: DataFrame, vectors: DataFrame, count: int, dim: int) -> DataFrame:
     """Sum of layers, each node's layer scaled by its cosine to the node's own vector before it goes on."""
-    edges = materialise(edges, "edges")
+    blocks = EdgeBlocks(edges, dim)
     first = materialise(vectors.select("id", F.col("vec").alias("own")), "layer")
     now, out = first.select("id", F.col("own").alias("vec")), []
     for _ in range(count):
-        moved = step(edges, now, dim).join(first, "id")
+        moved = blocks.step(now).join(first, "id")
         lengths = F.greatest(norm("vec"), F.lit(1e-8)) * F.greatest(norm("own"), F.lit(1e-8))
         moved = moved.withColumn("c", dot("vec", "own") / lengths).select("id", F.transform("vec", lambda x: x * F.col("c")).alias("vec"))
         now = materialise(moved, "layer")
