@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.functions.ranking import top_k
-from tastegrid.session import stored
+from tastegrid.session import materialise, stored
 
 # Rows of a block: enough blocks to keep the cluster busy, but as few copies of every vector as memory allows.
 _LEAST_BLOCK, _MOST_BLOCK = 256, 16_384
@@ -144,6 +144,65 @@ def block_pairs(
     return pairs if k is None else top_k(pairs, ["i"], [F.desc("score"), F.asc("j")], k)
 
 
+def product_ranks(
+    left: DataFrame, right: DataFrame, wanted: DataFrame, hidden: DataFrame, digits: int = 9, block: int | None = None, most_wanted: int = 1_000
+) -> DataFrame:
+    """``(i, j, score, rank)``: the place, from 1, of every wanted pair ``(i, j)`` among the dot products of ``i`` with all rows of
+    ``right`` that ``hidden(i, j)`` does not take out; of equal ones the smaller ``j`` is first.
+
+    No list is made: a task counts, for each wanted pair, how many of its block's rows come before it, and the counts of
+    the blocks add up. Wanted pairs that are hidden or lack a vector have no row; repeated ones count once. An ``i`` with
+    more than ``most_wanted`` of them is several rows in several blocks.
+    """
+    kind_i, kind_j = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
+    right = stored(right, "right")
+    asked = wanted.select("i", "j").distinct().join(hidden.select("i", "j"), ["i", "j"], "left_anti")
+    asked = asked.join(left.select(F.col("id").alias("i"), as_double("vec").alias("a")), "i").join(right.select(F.col("id").alias("j"), as_double("vec").alias("b")), "j")
+    asked = materialise(asked.select("i", "j", (F.round(dot("a", "b"), digits) + F.lit(0.0)).alias("score")), "wanted")
+    parts = asked.groupBy("i").agg(F.ceil(F.count(F.lit(1)) / most_wanted).alias("parts"))
+    packed = asked.join(parts, "i").groupBy("i", F.pmod(F.xxhash64("j"), F.col("parts")).alias("part"))
+    packed = packed.agg(F.array_sort(F.collect_list(F.struct("j", "score"))).alias("wanted")).select(F.col("i").alias("id"), "part", "wanted")
+    own = stored(packed.join(left.select("id", as_double("vec").alias("vec")), "id"), "left")
+    nx, ny = _block_counts(own, right, block)
+    x = own.withColumn("x", F.pmod(F.xxhash64("id", "part"), F.lit(nx)).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))))
+    seen = hidden.select(F.col("i").alias("id"), F.pmod(F.xxhash64("j"), F.lit(ny)).cast("int").alias("y"), "j").groupBy("id", "y").agg(F.collect_set("j").alias("hidden"))
+    x = x.join(seen, ["id", "y"], "left").drop("part")
+    y = _vector_blocks(right.toDF(*right.columns), "y", "x", ny, nx)
+
+    def before(got: np.ndarray, ids: np.ndarray, asked: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """How many of ``ids`` (ascending, with scores ``got``) come before each asked one."""
+        order = np.argsort(-got, kind="stable")
+        lost = -got[order]
+        first, last = np.searchsorted(lost, -score, "left"), np.searchsorted(lost, -score, "right")
+        n = first.copy()
+        for k in np.flatnonzero(last > first):
+            n[k] += np.searchsorted(ids[order[first[k] : last[k]]], asked[k])
+        at = np.searchsorted(ids, asked).clip(max=len(ids) - 1)
+        return n - ((ids[at] == asked) & (got[at] > score))  # its own product may differ in the last digit
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(a) and len(b):
+            b = b.sort_values("id")
+            ids, others = b["id"].to_numpy(), np.stack(b["vec"].to_list())
+            for start in range(0, len(a), _SLICE):
+                part = a.iloc[start : start + _SLICE]
+                scores = np.round(np.stack(part["vec"].to_list()) @ others.T, digits)
+                for i, pairs, out, got in zip(part["id"], part["wanted"], part["hidden"], scores):
+                    free = np.ones(len(ids), bool)
+                    if out is not None:
+                        free[np.isin(ids, np.asarray(out))] = False
+                    if free.any():
+                        js, score = np.array([p["j"] for p in pairs]), np.array([p["score"] for p in pairs])
+                        found.append((np.repeat(np.asarray([i]), len(js)), js, score, before(got[free], ids[free], js, score)))
+        if not found:
+            return pd.DataFrame({"i": a["id"].iloc[:0], "j": b["id"].iloc[:0], "score": np.zeros(0), "n": np.zeros(0, np.int64)})
+        return pd.DataFrame(dict(zip(("i", "j", "score", "n"), map(np.concatenate, zip(*found)))))
+
+    counts = x.groupBy("x", "y").cogroup(y.groupBy("x", "y")).applyInPandas(kernel, f"i {kind_i}, j {kind_j}, score double, n long")
+    return counts.groupBy("i", "j", "score").agg((F.sum("n") + 1).alias("rank"))
+
+
 def dense_rows(long: DataFrame, owner: str, index: str, value: str, width: int) -> DataFrame:
     """``(id, vec)`` from long form, for a checked, bounded number of columns ``width``."""
     held = long.groupBy(F.col(owner).alias("id")).agg(

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tastegrid.functions.ranking import running_total, top_k
 from tastegrid.functions.ratios import NAN, ratio
+from tastegrid.functions.vectors import product_ranks
 from tastegrid.operators.unpersonalised import item_popularity, short_head
 from tastegrid.session import materialise
 
@@ -534,3 +535,32 @@ def evaluate(
         return tested.withColumn("part", F.explode(F.array(F.lit("test"), F.lit("val"))))
     checked = long(recs if val_recs is None else val_recs, val)
     return tested.withColumn("part", F.lit("test")).unionByName(checked.withColumn("part", F.lit("val")))
+
+
+# --- metrics over the whole catalogue -------------------------------------------------------------------
+
+
+def catalogue_ranks(users: DataFrame, items: DataFrame, test: DataFrame, train: DataFrame) -> DataFrame:
+    """``(user, item, score, rank)`` of the test rows alone, ranked among all training items that their user has not seen, for
+    vectors ``(id, vec)`` of users and items. The lists themselves are never made."""
+    known = train.select(F.col("item").alias("id")).distinct()
+    seen = train.select(F.col("user").alias("i"), F.col("item").alias("j"))
+    wanted = test.select(F.col("user").alias("i"), F.col("item").alias("j"))
+    return product_ranks(users, items.join(known, "id", "left_semi"), wanted, seen).select(
+        F.col("i").alias("user"), F.col("j").alias("item"), "score", "rank"
+    )
+
+
+def catalogue_metrics(users: DataFrame, items: DataFrame, test: DataFrame, train: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
+    """One row ``AUC, GAUC, LAUC, MAE, MSE, RMSE`` of lists that hold every unseen training item of every user with a vector."""
+    relevant = binary_relevance(test, threshold)
+    ev = Evaluation(materialise(catalogue_ranks(users, items, relevant, train), "ranks"), test, train, k, threshold)
+    n = items.join(train.select(F.col("item").alias("id")).distinct(), "id", "left_semi").agg(F.count(F.lit(1))).scalar()
+    own = train.join(items.select(F.col("id").alias("item")), "item", "left_semi").groupBy("user").agg(F.countDistinct("item").alias("n"))
+    lengths = users.select(F.col("id").alias("user")).join(own, "user", "left").select("user", (n - F.coalesce("n", F.lit(0))).alias("n"))
+    ev.list_lengths = lengths.where("n > 0").select("user", F.least("n", F.lit(k)).alias("n_recs"))
+    out = ev.auc().withColumnRenamed("value", "AUC")
+    for name, value in (("GAUC", ev.gauc()), ("LAUC", ev.lauc())):
+        out = out.withColumn(name, value.scalar())
+    errors = ev.rating_errors()
+    return out.withColumns({c: errors.select(c).scalar() for c in errors.columns})

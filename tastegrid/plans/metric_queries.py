@@ -11,6 +11,7 @@ from tastegrid.plans import fixtures as fx
 from tastegrid.plans.catalog import BODIES, longs, query, rounded
 from tastegrid.session import materialise
 from tastegrid.plans.prepare_queries import _HEAD, _draw_sql
+from tastegrid.plans.recommend_queries import _SCORES, biased_sides
 
 K = 10
 
@@ -140,6 +141,35 @@ def me17_users(spark, sf):
     return rounded(_ev(spark, sf).rating_errors_per_user(), "MAE", "MSE", "RMSE")
 
 
+# Every user's whole list by vectors with biases, and the relevant rows in it.
+_FULL = _SCORES + """, lists AS (SELECT user, item, round(score, 9) AS score, row_number() OVER (PARTITION BY user ORDER BY round(score, 9) DESC, item) AS rank
+      FROM scores s JOIN pop USING (item) WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user = s.user AND t.item = s.item)),
+    all_hits AS MATERIALIZED (SELECT l.user, l.item, l.score, l.rank, r.rating, row_number() OVER (PARTITION BY l.user ORDER BY l.rank) AS p
+      FROM lists l JOIN rel r ON l.user = r.user AND l.item = r.item)"""
+
+
+@query("me12_catalogue_ranks", f"{_FULL} SELECT user, item, round(score, 6) AS score, rank FROM all_hits")
+def me12_ranks(spark, sf):
+    users, items = biased_sides(spark, sf)
+    relevant = me.binary_relevance(fx.test(spark, sf), fx.THRESHOLD)
+    return rounded(me.catalogue_ranks(users, items, relevant, fx.train(spark, sf)), "score")
+
+
+@query("me12_catalogue_metrics", f"""{_FULL}, rels AS (SELECT user, count(*) AS n_rel FROM rel GROUP BY user),
+    gated AS (SELECT user, n_rel FROM rels WHERE user IN (SELECT user FROM lists)),
+    profiles AS (SELECT user, count(DISTINCT item) AS n_train FROM train GROUP BY user),
+    terms AS (SELECT user, rank, score, rating, (neg - (rank - 1) + (p - 1)) / neg AS term FROM
+      (SELECT h.*, (SELECT count(*) FROM pop) - coalesce(n_train, 0) - n_rel + 1 AS neg FROM all_hits h JOIN rels USING (user) LEFT JOIN profiles USING (user))),
+    s AS (SELECT user, sum(term) AS g, sum(term) FILTER (rank <= {K}) AS l FROM terms GROUP BY user),
+    m AS (SELECT avg(coalesce(g, 0) / n_rel) AS g, avg(coalesce(l, 0) / least(n_rel, {K})) AS l FROM gated LEFT JOIN s USING (user)),
+    e AS (SELECT avg(term) AS auc, sum(abs(score - rating)) / (SELECT count(*) FROM rel) AS mae, sum((score - rating) ** 2) / (SELECT count(*) FROM rel) AS mse FROM terms)
+    SELECT round(auc, 6) AS "AUC", round(m.g, 6) AS "GAUC", round(m.l, 6) AS "LAUC", round(mae, 6) AS "MAE", round(mse, 6) AS "MSE", round(sqrt(mse), 6) AS "RMSE" FROM e, m""")
+def me12_catalogue(spark, sf):
+    users, items = biased_sides(spark, sf)
+    out = me.catalogue_metrics(users, items, fx.test(spark, sf), fx.train(spark, sf), K, fx.THRESHOLD)
+    return rounded(out, *out.columns)
+
+
 @query("me18_eval_error", "WITH h AS (SELECT r.score, t.rating FROM recs r JOIN test t ON r.user = t.user AND r.item = t.item) SELECT round(avg((score - rating) ** 2), 6) AS value FROM h")
 def me18(spark, sf):
     return _one(me.eval_error(fx.recs(spark, sf), fx.test(spark, sf)))

@@ -405,14 +405,15 @@ def rc24_normal(spark, sf):
     return machine.normal_equations(tr, model, 1.0).select("user", "rows", (F.col("slope") < 1e-8).alias("met"))
 
 
-_DOTS = """
+_SCORES = """
     WITH uv AS (SELECT t.user, list_transform(range(64), lambda d: 0.0::DOUBLE) AS z FROM train_users t),
     ul AS (SELECT user, dim, sum(rating * value) AS value FROM train JOIN visual_long ON id = item GROUP BY user, dim),
     ub AS (SELECT user, avg(rating) AS b FROM train GROUP BY user),
     ib AS (SELECT item, avg(rating) AS b FROM train GROUP BY item),
     dots AS (SELECT u.user, v.id AS item, sum(u.value * v.value) AS d FROM ul u JOIN visual_long v USING (dim) GROUP BY ALL),
     scores AS (SELECT user, item, d + coalesce(ub.b, 0) + coalesce(ib.b, 0) AS score FROM dots LEFT JOIN ub USING (user) LEFT JOIN ib USING (item))
-    """ + _top(20)
+    """
+_DOTS = _SCORES + _top(20)
 
 
 def _dot_sides(spark, sf):
@@ -427,6 +428,12 @@ def _dot_sides(spark, sf):
     return users, items, tr, ub, ib
 
 
+def biased_sides(spark, sf):
+    """Vectors of users and items whose products are the scores."""
+    users, items, _, ub, ib = _dot_sides(spark, sf)
+    return rc.with_bias(users, ub, True), rc.with_bias(items, ib, False)
+
+
 @query("rc25_dot_product_scores", _DOTS)
 def rc25(spark, sf):
     users, items, tr, ub, ib = _dot_sides(spark, sf)
