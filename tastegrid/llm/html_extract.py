@@ -33,10 +33,13 @@ BLOCK = frozenset(
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption dd dt".split())
 SITE_TAGS = frozenset("nav aside footer form menu dialog button select option label fieldset input canvas audio video head".split())
 SITE_WORDS = frozenset(
-    "ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus "
+    "ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies discussion disqus "
     "footer form login masthead menu menubar modal nav navbar navigation navi newsletter notice notices notification outbrain overlay pager pagination "
     "popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar widget widgets".split()
 )
+#: First words of the classes of articles that are reader comments, and last words that only say whether comments are on.
+COMMENT_WORDS = frozenset("comment commentlist comments replies reply".split())
+COMMENT_STATES = frozenset("closed count disabled enabled off on open".split())
 SITE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
@@ -74,8 +77,10 @@ class Element:
         if a.get("role", "").lower() in SITE_ROLES:
             return True
         names = [[w.lower() for w in _WORD.findall(name)] for k in ("class", "id") for name in a.get(k, "").split()]
+        if self.tag == "article":
+            return any(words[0] in COMMENT_WORDS and words[-1] not in COMMENT_STATES for words in names if words)
         named = {w for words in names if words and words[0] not in LAYOUT for w in words}
-        return self.tag not in ("body", "html", "article", "main") and bool(named & SITE_WORDS)
+        return self.tag not in ("body", "html", "main") and bool(named & SITE_WORDS)
 
 
 def parse(page: str) -> Element:
@@ -165,53 +170,87 @@ def block_keys(page: str | None) -> list[int]:
     return sorted(found)
 
 
-def _articles(root: Element) -> list[Element]:
-    """Outermost article elements that no site element holds; else main elements; else nothing."""
-    for wanted in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            e = todo.pop(0) if len(todo) < 64 else todo.pop()
-            for p in e.parts:
-                if isinstance(p, Element):
-                    if p.tag == wanted or (wanted == "main" and p.attrs.get("role", "").lower() == "main"):
-                        found.append(p)
-                    elif not p.is_site(False):
-                        todo.append(p)
-        if found:
-            return found
-    return []
+def _is_main(e: Element) -> bool:
+    return e.tag == "main" or e.attrs.get("role", "").lower() == "main"
+
+
+def _beside(main: Element, template: set[int]) -> tuple[bool, bool]:
+    """Whether a main element holds running text outside the articles in it that is no template, and whether it holds articles."""
+    text = articles = False
+    todo = [(main, False)]
+    while todo:
+        e, running = todo.pop()
+        for p in e.parts:
+            if isinstance(p, str):
+                text = text or running and not p.isspace()
+            elif p.tag in RAW or p.is_site(True):
+                continue
+            elif p.tag == "article":
+                articles = True
+            elif p.key in template and p.tag in BLOCK:
+                continue
+            else:
+                todo.append((p, running or p.tag in ("p", "pre", "blockquote")))
+    return text, articles
+
+
+def _articles(root: Element, template: set[int]) -> dict[int, bool]:
+    """By identity, the outermost elements that hold the page's article: articles that are no reader comments, and main
+    elements with running text beside their articles or without any. The value says whether running text directly in it is
+    never template."""
+    found: dict[int, bool] = {}
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        for p in e.parts:
+            if isinstance(p, str) or p.is_site(False):
+                continue
+            if p.tag == "article":
+                found[id(p)] = True
+                continue
+            if _is_main(p):
+                text, articles = _beside(p, template)
+                if text or not articles:
+                    found[id(p)] = not articles
+                    continue
+            todo.append(p)
+    return found
 
 
 def main_text(page: str | None, template: set[int]) -> str:
     """Text of the page without site elements and template subtrees: white space runs are one space, blocks joined by one.
 
-    Inside an article running text (paragraphs, headings, quotes) is never template, wherever else it stands.
+    Inside an article running text (paragraphs, headings, quotes) is never template, wherever else it stands; beside one,
+    in a main element, it may be. Character references are read within a run of text, never across markup.
     """
     if not page:
         return ""
     root = parse(page)
     if template:
         hash_blocks(root)
-    chosen = {id(e) for e in _articles(root)}
+    chosen = _articles(root, template)
     out: list[str] = []
-    todo: list[tuple[object, bool]] = [(root, not chosen)]  # what to visit, whether its text counts
+    todo: list[tuple[object, bool, bool]] = [(root, not chosen, False)]  # what to visit, whether its text counts, whether running text is safe
     while todo:
-        e, counts = todo.pop()
+        e, counts, safe = todo.pop()
         if isinstance(e, str):
             if counts:
-                out.append(e)
+                out.append(entities.unescape(e) if "&" in e else e)
             continue
         inside = bool(chosen) and counts
         if e.tag in RAW or e.is_site(inside) and id(e) not in chosen:
             continue
-        counts = counts or id(e) in chosen
-        if e.key in template and e.tag in BLOCK and e.tag not in ("html", "body", "article", "main") and not (inside and e.tag in FLOW):
+        if id(e) in chosen:
+            counts, safe = True, chosen[id(e)]
+        elif inside and e.tag == "article":
+            safe = True
+        if e.key in template and e.tag in BLOCK and e.tag not in ("html", "body", "article", "main") and not (inside and safe and e.tag in FLOW):
             continue
         if e.tag in BLOCK or e.tag == "br":
             out.append(" ")
-            todo.append((" ", counts))
-        todo.extend((p, counts) for p in reversed(e.parts))
-    return " ".join(entities.unescape("".join(out)).split())
+            todo.append((" ", counts, safe))
+        todo.extend((p, counts, safe) for p in reversed(e.parts))
+    return " ".join("".join(out).split())
 
 
 def host_of(url: Column) -> Column:

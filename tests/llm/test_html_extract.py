@@ -61,3 +61,48 @@ def test_attributes_by_their_whole_names_and_empty_raw_elements():
     assert text("<article><p>one</p><svg/><p>two</p><script/><p>three</p></article>") == "one two three"
     assert text("<article><p>one</p><svg><path/></svg><script>x</script><p hidden>no</p><p>two</p></article>") == "one two"
     assert text("<div class='layout has-sidebar'><article class='post no-comments'><p>one</p></article></div><div class='sidebar'><p>no</p></div>") == "one"
+
+
+def test_reader_comments_in_articles_and_main_beside_articles():
+    def text(body, template=()):
+        return hx.main_text(f"<html><body>{body}</body></html>", set(template))
+
+    story = "<article class='post comments-open'><p>story</p></article>"
+    assert text(story + "<ol class='commentlist'><li><article class='comment-body'><p>reader</p></article></li></ol>") == "story"
+    assert text(story + "<section><article class='comment depth-2'><p>reader</p></article></section>") == "story"
+    assert text("<article><p>story</p><article id='comment-7'><p>reader</p></article></article>") == "story"
+    assert text("<main><p>intro</p><article>card</article><aside>no</aside></main><div>no</div>") == "intro card"
+    assert text("<main><div class='x'>More stories</div><article><p>story</p></article></main>") == "story"
+    assert text("<main><p> </p><article><p>story</p></article></main>") == "story"
+    assert text("<div role='main'><p>one</p><div>two</div></div><div>no</div>") == "one two"
+    assert text("<article hidden><p>no</p></article><main><p>yes</p></main>") == "yes"
+
+
+def test_recurring_text_beside_an_article_is_template(spark):
+    rows = [(i, "http://a/", f"<main><p>Read more of us.</p><article><p>Same words.</p><p>{i}</p></article></main>") for i in range(6)]
+    rows += [(10 + i, "http://a/", f"<main><p>Read more of us.</p><p>Own {i}.</p><article><p>Same words.</p></article></main>") for i in range(6)]
+    got = texts(spark, rows)
+    assert got[3] == "Same words. 3" and got[13] == "Own 3. Same words."
+
+
+def test_references_are_read_within_a_run_of_text():
+    def text(body):
+        return hx.main_text(f"<article>{body}</article>", set())
+
+    assert text("a<b>&</b>lt;b &l<!-- -->t; &amp;lt; &#xe9;t&eacute;") == "a&lt;b &lt; &lt; \u00e9t\u00e9"
+    assert text("one&nbsp;two&#32;<br>three") == "one two three"
+
+
+def test_templates_against_plain_counts(spark):
+    """The hashes counted by Spark are those of blocks that recur, counted here page by page."""
+    rows = [(n, f"http://h{n % 3}/", f"<div><p>Menu {n % 3}</p></div><section><p>Text {n}</p><div>Part {n % 4}</div></section>") for n in range(30)]
+    seen = {}
+    for n, url, page in rows:
+        for key in hx.block_keys(page):
+            seen.setdefault((f"h{n % 3}", key), set()).add(n)
+    want = {h: set() for h in ("h0", "h1", "h2")}
+    for (h, key), pages_with in seen.items():
+        if len(pages_with) >= 4 and len(pages_with) >= 0.3 * 10:
+            want[h].add(key)
+    got = {r.host: set(r.template) for r in hx.templates(pages(spark, rows), 0.3, 4).collect()}
+    assert got == want and all(want.values())
