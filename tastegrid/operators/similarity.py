@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.functions.pairs import HOT_PROFILE, pair_stats
-from tastegrid.functions.ranking import dense_index, first_free_places, top_k
+from tastegrid.functions.products import HOT_PAIRS, sparse_product
+from tastegrid.functions.ranking import dense_index, first_free_places, position_in_group, top_k
 from tastegrid.functions.ratios import ratio
+from tastegrid.session import materialise
 
 
 def _sides(pairs: DataFrame, norms: DataFrame) -> DataFrame:
@@ -137,8 +139,11 @@ def _distances(u: Column) -> dict[str, tuple[list[str], Column, Column]]:
     cityblock = si + sj - 2 * low
     corr = ratio(u * dot - si * sj, F.sqrt((u * qi - si * si) * (u * qj - sj * sj)))
     tt, ft = n, ni + nj - 2 * n
+    apart = (ni - n) * (nj - n)
     return {
-        "euclidean": (["dot"], F.sqrt(square), F.col("square")),
+        "yule": (["n"], ratio(2 * apart, n * (u - ni - nj + n) + apart, 0.0), F.lit(0)),
+        "kulsinski": (["n"], (ft - tt + u) / (ft + u), F.lit(0)),
+        "euclidean": (["dot"], F.sqrt(F.round(square, 12)), F.col("square")),  # equal vectors of fractions are at 0
         "sqeuclidean": (["dot"], square, F.col("square")),
         "cityblock": (["low"], cityblock, F.col("total")),
         "braycurtis": (["low"], ratio(cityblock, si + sj), F.lit(0)),
@@ -154,19 +159,77 @@ def _distances(u: Column) -> dict[str, tuple[list[str], Column, Column]]:
     }
 
 
-_ALIASES = {"l1": "cityblock", "manhattan": "cityblock", "l2": "euclidean"}
+_ALIASES = {"l1": "cityblock", "manhattan": "cityblock", "l2": "euclidean", "minkowski": "euclidean"}
+
+
+def _standardised(df: DataFrame, key: str, member: str, value: str) -> DataFrame:
+    """Values over their key's standard deviation among all members, absent ones as 0. A key with one value for all members
+    tells none apart and is left out."""
+    members = df.agg(F.countDistinct(member).cast("double")).scalar()
+    v = F.col(value).cast("double")
+    spread = df.groupBy(key).agg(((F.sum(v * v) - F.sum(v) * F.sum(v) / members) / F.nullif(members - 1, F.lit(0.0))).alias("_s"))
+    return df.join(spread.where("_s > 0"), key).select(key, member, (v / F.sqrt("_s")).alias(value))
+
+
+def chebyshev_similarity(
+    df: DataFrame, k: int, key: str = "user", member: str = "item", value: str = "rating", hot_pairs: int = HOT_PAIRS
+) -> DataFrame:
+    """1 / (1 + largest difference) of the full member vectors; of equal ones the member with the smaller largest value, then
+    the smaller one, is nearer. Values must not be negative.
+
+    The difference is the largest one on a shared key or the largest value on a key of one side alone. The latter follows
+    from levels, the (member, value) histogram: a product of levels by keys counts how many keys of a level the other
+    member shares, and the first level, from the top, that it does not share whole is the largest value it lacks.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(member).alias("m"), F.col(value).cast("double").alias("v"))
+    sizes = rows.groupBy("m", "v").agg(F.count(F.lit(1)).alias("size"))
+    levels = position_in_group(dense_index(sizes, ["m", "v"], "level"), ["m"], [F.desc("v")], "place")
+    levels = materialise(levels.select("level", "m", "v", "size", F.col("place").cast("int").alias("place")), "levels")
+    at = rows.join(levels.select("m", "v", "level"), ["m", "v"])
+    met = sparse_product(
+        at.select(F.col("level").alias("i"), F.col("k").alias("l"), F.lit(1.0).alias("a")),
+        at.select(F.col("k").alias("l"), F.col("level").alias("j"), F.lit(1.0).alias("b")),
+        hot_pairs,
+    )
+    own = levels.select(F.col("level").alias("i"), F.col("m").alias("mi"), F.col("v").alias("vi"), "size", "place")
+    other = levels.select(F.col("level").alias("j"), F.col("m").alias("mj"), F.col("v").alias("vj"))
+    by_level = met.join(own, "i").join(other, "j").where("mi <> mj").groupBy("mi", "mj", "place", "size").agg(
+        F.sum("value").alias("n"), F.max(F.abs(F.col("vi") - F.col("vj"))).alias("far")
+    )
+    whole = F.when(F.round("n") == F.col("size"), F.col("place"))
+    met_whole = F.aggregate(F.array_sort(F.collect_set(whole)), F.lit(0), lambda s, p: F.when(p == s + 1, p).otherwise(s))
+    pairs = by_level.groupBy("mi", "mj").agg(F.max("far").alias("far"), met_whole.alias("upto"))
+    top = levels.select(F.col("m").alias("mi"), (F.col("place") - 1).alias("upto"), F.col("v").alias("alone"))
+    seen_from = materialise(pairs.join(top, ["mi", "upto"], "left").select("mi", "mj", F.greatest("far", F.coalesce("alone", F.lit(0.0))).alias("d")), "pairs")
+    shared = seen_from.unionByName(seen_from.select(F.col("mj").alias("mi"), F.col("mi").alias("mj"), "d")).groupBy("mi", "mj").agg(F.max("d").alias("d"))
+
+    first = levels.where("place = 1").select("m", F.col("v").alias("most"))
+    places = materialise(dense_index(first, ["most", "m"], "place"), "places")
+    taken = seen_from.select(F.col("mi").alias("i"), F.col("mj").alias("m")).unionByName(first.select(F.col("m").alias("i"), "m"))
+    free = first_free_places(first.select(F.col("m").alias("i")), "i", taken.join(places.select("m", "place"), "m").select("i", "place"), k, places.count())
+    apart = free.join(places.select("place", F.col("m").alias("mj")), "place").select(F.col("i").alias("mi"), "mj", F.lit(None).cast("double").alias("d"))
+    near = shared.unionByName(apart)
+    near = near.join(first.select(F.col("m").alias("mi"), F.col("most").alias("most_i")), "mi").join(first.select(F.col("m").alias("mj"), F.col("most").alias("most_j")), "mj")
+    distance = F.coalesce("d", F.greatest("most_i", "most_j"))
+    scored = near.select(F.col("mi").alias("i"), F.col("mj").alias("j"), F.round(1 / (1 + distance), DIGITS).alias("sim"), "most_j")
+    return top_k(scored, ["i"], [F.desc("sim"), F.asc("most_j"), F.asc("j")], k).select("i", "j", "sim", "rank")
 
 
 def distance_similarity(
     df: DataFrame, fn: str, k: int, key: str = "user", member: str = "item", value: str = "rating", hot_profile: int = HOT_PROFILE
 ) -> DataFrame:
-    """1 / (1 + distance) of the full member vectors, self left out; values must not be negative.
+    """1 / (1 + distance) of the full member vectors, self left out; values must not be negative. minkowski is the one of
+    power 2, seuclidean divides by the spread of each key (a member without a key that has any is left out).
 
     Members that share a key come from the pair table. Of the others only the k nearest matter, and their
     order is the same for every i, so they are the first k free places of one ranked member list. Pairs whose distance is
     not defined (a correlation with a member of the same value for all) are left out.
     """
     fn = _ALIASES.get(fn, fn)
+    if fn == "chebyshev":
+        return chebyshev_similarity(df, k, key, member, value)
+    if fn == "seuclidean":
+        df, fn = _standardised(df, key, member, value), "euclidean"
     n_keys = df.agg(F.countDistinct(key).cast("double")).scalar()
     stats, distance, order = _distances(n_keys)[fn]
     norms = member_stats(df, member, value)

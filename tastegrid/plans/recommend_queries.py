@@ -113,11 +113,17 @@ _DISTANCES = {
     "rogerstanimoto": f"2 * {_FT} / (u + {_FT})",
     "sokalsneath": f"2 * {_FT} / (n + 2 * {_FT})",
     "russellrao": "(u - n) / u",
+    "yule": "coalesce(2 * (ni - n) * (nj - n) / nullif(n * (u - ni - nj + n) + (ni - n) * (nj - n), 0), 0)",
+    "kulsinski": "(ni + nj - 3 * n + u) / (ni + nj - 2 * n + u)",
+    "seuclidean": "sqrt(round(greatest(qi + qj - 2 * dot, 0), 12))",
 }
+_SPREAD = """spread AS (SELECT user AS key, (sum(rating * rating) - sum(rating) * sum(rating) / m) / (m - 1) AS s
+      FROM train, (SELECT count(DISTINCT item)::DOUBLE AS m FROM train) GROUP BY user, m),
+    data AS MATERIALIZED (SELECT t.user AS key, item, rating / sqrt(s) AS rating FROM train t JOIN spread ON key = t.user AND s > 0)"""
 
 
 def _distance(fn: str):
-    @query(f"rc07_distance_similarity_{fn}", f"""WITH {_DATA}, {_PAIRS}, nu AS (SELECT count(DISTINCT key)::DOUBLE AS u FROM data),
+    @query(f"rc07_distance_similarity_{fn}", f"""WITH {_SPREAD if fn == "seuclidean" else _DATA}, {_PAIRS}, nu AS (SELECT count(DISTINCT key)::DOUBLE AS u FROM data),
         every AS (SELECT x.m AS i, y.m AS j, coalesce(n, 0) AS n, coalesce(dot, 0) AS dot, coalesce(low, 0) AS low, coalesce(equal, 0) AS equal,
             coalesce(canberra, 0) AS canberra, x.size AS ni, y.size AS nj, x.total AS si, y.total AS sj, x.square AS qi, y.square AS qj, u
           FROM ms x JOIN ms y ON x.m <> y.m LEFT JOIN pairs p ON p.i = x.m AND p.j = y.m, nu),
@@ -130,6 +136,15 @@ for _fn in _DISTANCES:
     _distance(_fn)
 
 
+@query("rc07_distance_similarity_chebyshev", f"""WITH {_DATA}, ms AS (SELECT item AS m, max(rating) AS most FROM data GROUP BY item),
+    half AS (SELECT a.item AS i, m.m AS j, most, max(abs(a.rating - coalesce(b.rating, 0))) AS d
+      FROM data a JOIN ms m ON m.m <> a.item LEFT JOIN data b ON b.key = a.key AND b.item = m.m GROUP BY a.item, m.m, most),
+    whole AS (SELECT x.i, x.j, x.most, round(1 / (1 + greatest(x.d, y.d)), 9) AS sim FROM half x JOIN half y ON y.i = x.j AND y.j = x.i),
+    sim AS (SELECT i, j, sim, row_number() OVER (PARTITION BY i ORDER BY sim DESC, most, j) AS rank FROM whole QUALIFY rank <= 20) {_OUT}""")
+def rc07_chebyshev(spark, sf):
+    return _neighbours(si.distance_similarity(fx.train(spark, sf), "chebyshev", 20))
+
+
 def _recs(df):
     return df.select("user", "item", "score", "rank")
 

@@ -99,7 +99,7 @@ def test_no_seen_item_is_recommended(ratings):
     assert recs.join(ratings, ["user", "item"]).count() == 0
 
 
-@pytest.mark.parametrize("fn", ["euclidean", "cityblock", "canberra", "hamming", "correlation", "russellrao", "jaccard"])
+@pytest.mark.parametrize("fn", ["euclidean", "cityblock", "canberra", "hamming", "correlation", "russellrao", "jaccard", "chebyshev", "yule", "kulsinski", "seuclidean", "minkowski"])
 def test_distances_cover_items_without_common_users(spark, fn):
     """Few users, so that most item pairs share none."""
     rng = np.random.default_rng(1)
@@ -110,8 +110,11 @@ def test_distances_cover_items_without_common_users(spark, fn):
     m[0, m.sum(0) == 0] = 2.0
     data = spark.createDataFrame([(int(u), int(i), float(m[u, i])) for u, i in zip(*np.nonzero(m))], "user long, item long, rating double")
 
+    spread = m.std(axis=1, ddof=1)
+
     def distance(a, b):
         ta, tb = a > 0, b > 0
+        both, one, other = int((ta & tb).sum()), int((ta & ~tb).sum()), int((~ta & tb).sum())
         differ = int((ta != tb).sum())
         return {
             "euclidean": lambda: sqrt(((a - b) ** 2).sum()),
@@ -121,18 +124,37 @@ def test_distances_cover_items_without_common_users(spark, fn):
             "correlation": lambda: 1 - np.corrcoef(a, b)[0, 1],
             "russellrao": lambda: (len(a) - int((ta & tb).sum())) / len(a),
             "jaccard": lambda: differ / (int((ta & tb).sum()) + differ),
+            "chebyshev": lambda: np.abs(a - b).max(),
+            "yule": lambda: 2 * one * other / (both * (len(a) - both - differ) + one * other) if one * other else 0.0,
+            "kulsinski": lambda: (differ - both + len(a)) / (differ + len(a)),
+            "seuclidean": lambda: sqrt((((a - b) / spread) ** 2).sum()),
+            "minkowski": lambda: ((a - b) ** 2).sum() ** 0.5,
         }[fn]()
 
     want = {}
     for i in range(14):
-        sims = sorted(((-round(1 / (1 + distance(m[:, i], m[:, j])), 9), j) for j in range(14) if j != i))
-        want[i] = [j for _, j in sims[:4]]
+        tie = {j: m[:, j].max() if fn == "chebyshev" else 0 for j in range(14)}
+        sims = sorted(((-round(1 / (1 + distance(m[:, i], m[:, j])), 9), tie[j], j) for j in range(14) if j != i))
+        want[i] = [j for *_, j in sims[:4]]
     got = defaultdict(dict)
     for r in si.distance_similarity(data, fn, 4).collect():
         got[r["i"]][r["rank"]] = r["j"]
     assert {i: [got[i][r] for r in range(1, 5)] for i in got} == want
 
 
+@pytest.mark.parametrize("hot_pairs", [0, 10**6])
+def test_chebyshev_levels_with_hot_keys(spark, hot_pairs):
+    """Values of many levels, one key that every member has, and members that share a level whole, in part or not."""
+    rng = np.random.default_rng(4)
+    m = np.where(rng.random((30, 12)) < 0.4, rng.integers(1, 10, (30, 12)) / 2, 0.0)
+    m[0] = 1.0
+    m[:, 1] = m[:, 0]  # the same member twice: distance 0
+    data = spark.createDataFrame([(int(u), int(i), float(m[u, i])) for u, i in zip(*np.nonzero(m))], "user long, item long, rating double")
+    got = {(r.i, r.j): r.sim for r in si.chebyshev_similarity(data, 11, hot_pairs=hot_pairs).collect()}
+    assert got == {(i, j): round(1 / (1 + np.abs(m[:, i] - m[:, j]).max()), 9) for i in range(12) for j in range(12) if i != j}
+    assert si.chebyshev_similarity(data.limit(0), 3).count() == 0
+
+
 def test_randomised_svd(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(size=(25, 4)) @ rng.normal(size=(4, 18)) + 0.01 * rng.normal(size=(25, 18))
