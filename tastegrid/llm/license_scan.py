@@ -21,6 +21,8 @@ NGRAM, WINDOW = 3, 3
 BAND = 8
 #: Share of a notice that may be missing or changed, less one word: short notices must be whole.
 SLACK = 0.25
+#: Of a notice with at least so many words a part is reported too, from this share of it on.
+LONG, PART = 24, 0.4
 
 # Names and the wording of public license notices.
 NOTICES = {
@@ -105,33 +107,78 @@ class Index:
             for h, at in winnow(own):
                 self.places[h].append((n, at))
 
-    def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """``notice, start``: where a notice would begin, one for each group of fingerprints on about the same diagonal."""
+    def candidates(self, words: np.ndarray) -> list[tuple[int, list[tuple[int, int, int]]]]:
+        """``notice, groups``: the fingerprints on about one diagonal are a group ``(start, first place, last place)``, where start
+        is where the notice would begin and the places are those in the notice."""
         known = np.flatnonzero(words)
         if len(known) < NGRAM:
             return []
-        found: dict[int, list[int]] = defaultdict(list)
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for run in np.split(known, np.flatnonzero(np.diff(known) > 1) + 1):  # no n-gram with an unknown word is in a notice
             for h, at in winnow(words[run]) if len(run) >= NGRAM else ():
                 for n, place in self.places.get(h, ()):
-                    found[n].append(int(run[0]) + at - place)
+                    found[n].append((int(run[0]) + at - place, place))
         out = []
-        for n, starts in found.items():
-            starts.sort()
-            group = [starts[0]]
-            for s in starts[1:]:
-                if s - group[-1] > min(BAND, len(self.words[n]) // 2):
-                    out.append((n, group[len(group) // 2]))
-                    group = []
-                group.append(s)
-            out.append((n, group[len(group) // 2]))
+        for n, seeds in found.items():
+            seeds.sort()
+            groups = [[seeds[0]]]
+            for s in seeds[1:]:
+                if s[0] - groups[-1][-1][0] > min(BAND, len(self.words[n]) // 2):
+                    groups.append([])
+                groups[-1].append(s)
+            out.append((n, [(g[len(g) // 2][0], min(p for _, p in g), max(p for _, p in g)) for g in groups]))
         return out
 
 
-def align(notice: np.ndarray, words: np.ndarray, start: int) -> tuple[int, int, int]:
-    """Most words of ``notice`` in order in ``words`` within ``BAND`` of the diagonal from ``start``: their number, and the
-    places of the first and after the last of them. A row of the band at a time; fewer skipped words win ties, then
-    the diagonal itself."""
+def chains(groups: list[tuple[int, int, int]], size: int) -> list[list[tuple[int, int, int]]]:
+    """Groups that follow each other in the notice and in the text, with no more text in between than the notice has words:
+    a copy into which text was put, or out of which a part was taken. Only chains of two and more."""
+    out: list[list[tuple[int, int, int]]] = []
+    for g in sorted(groups, key=lambda g: (g[0] + g[1], g)):
+        for chain in out[:-4:-1]:  # other groups may lie between two of a chain, seldom many
+            start, _, last = chain[-1]
+            if g[1] > last and 0 < g[0] + g[1] - start - last <= size:
+                chain.append(g)
+                break
+        else:
+            out.append([g])
+    return [c for c in out if len(c) > 1]
+
+
+def chained(notice: np.ndarray, words: np.ndarray, chain: list[tuple[int, int, int]]) -> list[list[tuple[int, int]]]:
+    """The matched ``(notice place, text place)`` of each part of the notice, a part aligned on its own group's diagonal. The
+    cut between two parts lies where the later one's words begin to match without a gap."""
+    cuts = [0]
+    for (_, _, last), (start, first, _) in zip(chain, chain[1:]):
+        cut = first
+        while cut > last + NGRAM and 0 < start + cut <= len(words) and words[start + cut - 1] == notice[cut - 1]:
+            cut -= 1
+        cuts.append(cut)
+    out = []
+    begins = [0, *(start + cut for (start, _, _), cut in zip(chain[1:], cuts[1:])), len(words)]  # a part has its own stretch of the text
+    for k, ((start, _, _), a, b) in enumerate(zip(chain, cuts, [*cuts[1:], len(notice)])):
+        low = begins[k]
+        out.append([(a + i, low + at) for i, at in matched(notice[a:b], words[low : begins[k + 1]], start + a - low)])
+    return out
+
+
+def densest(pairs: list[tuple[int, int]]) -> tuple[int, int]:
+    """First and after the last of the matched words of the part of a notice with most matched beyond missing words."""
+    best, at, low, floor = (0, 0, 0), 0, 0, 0
+    for k, (place, _) in enumerate(pairs):
+        before = 2 * k - place  # matched so far less missing so far, but for a constant
+        if k == 0 or before < floor:
+            floor, low = before, k
+        if before + 1 - floor > best[0]:
+            best = (before + 1 - floor, low, k + 1)
+    return best[1:]
+
+
+def matched(notice: np.ndarray, words: np.ndarray, start: int) -> list[tuple[int, int]]:
+    """Most words of ``notice`` in order in ``words`` within ``BAND`` of the diagonal from ``start``, as ``(notice place, text
+    place)``. A row of the band at a time; fewer skipped words win ties, then the diagonal itself."""
+    if not len(notice):
+        return []
     width = 2 * BAND + 1
     d = np.arange(width)
     score = np.zeros(width)
@@ -149,7 +196,7 @@ def align(notice: np.ndarray, words: np.ndarray, start: int) -> tuple[int, int,
         score = run
     ties = np.flatnonzero(score >= score.max() - 1e-9)
     i, k = len(notice) - 1, int(ties[np.abs(ties - BAND).argmin()])
-    count, first, end = 0, -1, -1
+    out = []
     while i >= 0 and 0 <= k < width:
         step = back[i, k]
         if step & 3 == 2:
@@ -158,25 +205,44 @@ def align(notice: np.ndarray, words: np.ndarray, start: int) -> tuple[int, int,
             i, k = i - 1, k + 1
         else:
             if step & 4:
-                at = start + i + k - BAND
-                count, first, end = count + 1, at, end if end >= 0 else at + 1
+                out.append((i, start + i + k - BAND))
             i -= 1
-    return count, first, end
+    return out[::-1]
+
+
+def align(notice: np.ndarray, words: np.ndarray, start: int) -> tuple[int, int, int]:
+    """Number of matched words, the places of the first and after the last of them in the text."""
+    pairs = matched(notice, words, start)
+    return (len(pairs), pairs[0][1], pairs[-1][1] + 1) if pairs else (0, -1, -1)
 
 
 def scan(text: str | None, index: Index) -> list[tuple[str, float, int, int, int]]:
     """``license, coverage, matched words, start, end`` (code points) of the notices in a text, in order, without overlap:
-    the one with more matched words stays."""
+    the one with more matched words stays. A notice is reported where all but a few of its words are, in one piece or in
+    pieces that follow each other; of a long one also a part, without the matched words that lie apart from it. A span goes from the first matched word to the last; text
+    between two pieces is in it, but other notices may stand there."""
     if not text:
         return []
     get = index.numbers.get
     words = np.fromiter((get(w, 0) for w in words_of(text)), dtype=np.int64)
     rows = []
-    for n, start in index.candidates(words):
-        size = len(index.words[n])
-        count, first, end = align(index.words[n], words, start)
-        if count and size - count <= max(0, int(SLACK * size) - 1):
-            rows.append((count, size, index.names[n], first, end))
+    for n, groups in index.candidates(words):
+        notice = index.words[n]
+        size = len(notice)
+        ways = [[matched(notice, words, start)] for start, _, _ in groups]
+        ways += [chained(notice, words, chain) for chain in chains(groups, size)]
+        for parts in ways:
+            count = sum(map(len, parts))
+            if not count or size - count > max(0, int(SLACK * size) - 1):
+                if size < LONG or count < PART * size:
+                    continue
+                pairs = [p for part in parts for p in part]
+                a, b = densest(pairs)
+                count = b - a
+                if count < PART * size:
+                    continue
+                parts = [[p for p in part if pairs[a] <= p <= pairs[b - 1]] for part in parts]
+            rows.append((count, size, index.names[n], [(part[0][1], part[-1][1] + 1) for part in parts if part]))
     if not rows:
         return []
     # lower-casing can change the length of a text, so the spans come from the words as written
@@ -185,10 +251,10 @@ def scan(text: str | None, index: Index) -> list[tuple[str, float, int, int, int
         spans = [m.span() for m in _WORDS.finditer(text.lower())]
     taken: list[tuple[int, int]] = []
     out = []
-    for count, size, name, first, end in sorted(rows, key=lambda r: (-r[0], r[1], r[2], r[3])):
-        if all(end <= a or first >= b for a, b in taken):
-            taken.append((first, end))
-            out.append((name, round(count / size, 6), count, spans[first][0], spans[end - 1][1]))
+    for count, size, name, parts in sorted(rows, key=lambda r: (-r[0], r[1], r[2], r[3])):
+        if all(end <= a or first >= b for a, b in taken for first, end in parts):
+            taken.extend(parts)
+            out.append((name, round(count / size, 6), count, spans[parts[0][0]][0], spans[parts[-1][1] - 1][1]))
     return sorted(out, key=lambda r: (r[3], r[0]))
 
 
