@@ -3,6 +3,9 @@
 Everything per user comes from one frame keyed by (cutoff, user): hits are found by one join of the lists
 with the relevant test rows, which is small, and are then summed per user for all cutoffs at once. Users
 with lists but no hit stay in it with zeros. A metric is a column over that frame.
+
+Lists are joined by merge: popular lists repeat the same items and lie in files far below the broadcast limit, however many
+rows they have, and a broadcast of them would pass whole through the driver.
 """
 
 from __future__ import annotations
@@ -69,7 +72,7 @@ class Evaluation:
     def all_hits(self) -> DataFrame:
         """Relevant rows of the full lists, with ``p``, the hit's place among the user's hits."""
         order = Window.partitionBy("user").orderBy("rank")
-        return self.full.join(self.rel, ["user", "item"]).withColumn("p", F.row_number().over(order))
+        return self.full.hint("merge").join(self.rel, ["user", "item"]).withColumn("p", F.row_number().over(order))
 
     @cached_property
     def hits(self) -> DataFrame:
@@ -82,7 +85,7 @@ class Evaluation:
     @cached_property
     def list_lengths(self) -> DataFrame:
         """(user, n_recs) of the lists cut at the largest cutoff."""
-        return self.recs.groupBy("user").agg(F.count(F.lit(1)).alias("n_recs"))
+        return self.recs.groupBy("user").agg(F.count(F.lit(1)).alias("n_recs")).hint("merge")
 
     @cached_property
     def gated(self) -> DataFrame:
@@ -215,7 +218,7 @@ class Evaluation:
         counts (about the square root of the list rows at most) are put in order.
         """
         n_items = self.train.agg(F.countDistinct("item")).scalar()
-        recs = self.recs.join(clusters, "user") if clusters is not None else self.recs.withColumn("cluster", F.lit(0))
+        recs = self.recs.hint("merge").join(clusters, "user") if clusters is not None else self.recs.withColumn("cluster", F.lit(0))
         levels = recs.groupBy("cluster", "item").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("m"))
         before = Window.partitionBy("cluster").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy("cluster")
@@ -308,7 +311,8 @@ class Evaluation:
         """(group, value): recommended rows over recommendable rows of each item group. The latter are group size
         times users less the training rows inside the group, never a list of pairs."""
         users = self.list_lengths.agg(F.count(F.lit(1))).scalar()
-        num = self.recs.join(groups, "item").groupBy("cluster").agg(F.count(F.lit(1)).alias("num"))
+        shown = self.recs.groupBy("item").agg(F.count(F.lit(1)).alias("c")).hint("merge")
+        num = shown.join(groups, "item").groupBy("cluster").agg(F.sum("c").alias("num"))
         seen = self.train.select("user", "item").distinct().join(self.list_lengths, "user", "left_semi")
         seen = seen.join(groups, "item").groupBy("cluster").agg(F.count(F.lit(1)).alias("seen"))
         size = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
@@ -372,7 +376,7 @@ class Evaluation:
         """Every user group against every item category, both numbered from 0: the category's part of the group's rows over
         its part of the items. NaN for a group without rows or a category without items."""
         u, i = users.withColumnRenamed("cluster", "user_cluster"), items.withColumnRenamed("cluster", "item_cluster")
-        counts = rows.join(u, "user").join(i, "item").groupBy("user_cluster", "item_cluster").agg(F.count(F.lit(1)).alias("c"))
+        counts = rows.hint("merge").join(u, "user").join(i, "item").groupBy("user_cluster", "item_cluster").agg(F.count(F.lit(1)).alias("c"))
         totals = counts.groupBy("user_cluster").agg(F.sum("c").alias("total"))
         share = i.groupBy("item_cluster").agg(F.count(F.lit(1)).alias("size"))
         n_items = items.agg(F.count(F.lit(1))).scalar()
