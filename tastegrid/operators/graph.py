@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tastegrid.functions.edge_blocks import EdgeBlocks
 from tastegrid.functions.hashing import md5_int, md5_unit
@@ -202,22 +202,26 @@ def sample_neighbours(neighbours: DataFrame, k: int, mode: str = "softmax", seed
     """Exactly ``k`` neighbours per node from a ranked table: the first k, shorter lists padded by random repeats.
 
     Weights are the softmax of the neighbour weights or 1 / k. Of ``nodes(src)``, those without a neighbour have k slots of
-    weight 0 that point to the first node."""
+    weight 0 that point to the first node. The first k are written out, so the neighbours are computed once."""
+    first = materialise(neighbours.filter(F.col("rank") <= k), "neighbours")
+    sampled = _sampled_slots(first, k, mode, seed)
     if nodes is not None:
-        sampled = sample_neighbours(neighbours, k, mode, seed)
-        alone = nodes.select("src").distinct().join(neighbours.select("src").distinct(), "src", "left_anti")
+        alone = nodes.select("src").distinct().join(first.select("src").distinct(), "src", "left_anti")
         alone = alone.select("src", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("slot"), F.lit(nodes.agg(F.min("src")).scalar()).alias("dst"), F.lit(0.0).alias("weight"))
         return sampled.unionByName(alone)
-    first = neighbours.filter(F.col("rank") <= k)
+    return sampled
+
+
+def _sampled_slots(first: DataFrame, k: int, mode: str, seed: int) -> DataFrame:
     sizes = first.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     slots = sizes.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(k))))
     pick = F.when(F.col("slot") <= F.col("n"), F.col("slot")).otherwise(md5_int(F.lit(seed), "src", "slot") % F.col("n") + 1)
     rows = slots.withColumn("rank", pick.cast("int")).join(first, ["src", "rank"]).select("src", "slot", "dst", "weight")
     if mode == "mean":
         return rows.withColumn("weight", F.lit(1.0 / k))
-    tops = rows.groupBy("src").agg(F.max("weight").alias("top"))
-    sums = rows.join(tops, "src").withColumn("e", F.exp(F.col("weight") - F.col("top")))
-    return sums.join(sums.groupBy("src").agg(F.sum("e").alias("s")), "src").select("src", "slot", "dst", (F.col("e") / F.col("s")).alias("weight"))
+    slots_of = Window.partitionBy("src")  # k rows each
+    powers = rows.withColumn("e", F.exp(F.col("weight") - F.max("weight").over(slots_of)))
+    return powers.select("src", "slot", "dst", (F.col("e") / F.sum("e").over(slots_of)).alias("weight"))
 
 
 def session_item_graph(edges: DataFrame, items: DataFrame) -> DataFrame:
