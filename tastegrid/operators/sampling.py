@@ -7,7 +7,7 @@ joined against the seen pairs, and only rows whose draws were all rejected draw
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -132,27 +132,36 @@ def first_unseen(
     tag: str,
     out: str = "negative",
     draws: int = 3,
+    met: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Adds to each row a uniform item that its owner has not seen. ``seen`` is ``(owner, item)``.
+    """Adds to each row a uniform item that its owner has not seen. ``seen`` is ``(owner, item)``, or ``met`` gives those of
+    some distinct ``(owner, out)`` pairs that are seen.
 
-    Rows that were rejected every time draw again, twice as often; owners who have seen everything
-    must be taken out before.
+    Every row draws once and is written with whether its owner has seen the item, so accepted rows move no more. Rejected
+    ones draw again, ``draws`` times, then twice as often and so on; owners who have seen everything must be taken out before.
     """
-    done, start, open_rows = None, 0, rows
-    while True:
-        tries = open_rows.withColumn("_t", F.explode(F.sequence(F.lit(start), F.lit(start + draws - 1)))).withColumn(
-            "idx", md5_int(F.lit(seed), F.lit(tag), *row_key, "_t") % n_items
-        )
-        fresh = tries.join(catalogue.withColumnRenamed("item", out), "idx").join(
-            seen.select(F.col(owner), F.col("item").alias(out)), [owner, out], "left_anti"
-        )
-        first = fresh.groupBy(*rows.columns).agg(F.min(F.struct("_t", out)).alias("_f")).select(*rows.columns, F.col(f"_f.{out}").alias(out))
-        first = materialise(first, "negatives")
-        done = first if done is None else done.unionByName(first)
-        open_rows = open_rows.join(first.select(*row_key), list(row_key), "left_anti")
-        if open_rows.isEmpty():
-            return done
-        open_rows, start, draws = materialise(open_rows, "redraw"), start + draws, draws * 2
+    known = seen.select(F.col(owner), F.col("item").alias(out)).distinct() if met is None else None
+
+    def tried(open_rows: DataFrame, tries: Column) -> DataFrame:
+        idx = md5_int(F.lit(seed), F.lit(tag), *row_key, "_t") % n_items
+        drawn = open_rows.withColumn("_t", tries).withColumn("idx", idx).join(catalogue.withColumnRenamed("item", out), "idx").drop("idx")
+        hit = known
+        if met is not None:
+            drawn = materialise(drawn, "drawn")
+            hit = met(drawn.select(owner, out).distinct())
+        return drawn.join(hit.withColumn("_hit", F.lit(True)), [owner, out], "left")
+
+    first = materialise(tried(rows, F.lit(0)).select(*rows.columns, out, "_hit"), "negatives")
+    done, start = first.where("_hit IS NULL").drop("_hit"), 1
+    open_rows = first.where("_hit").select(*rows.columns)
+    while not open_rows.isEmpty():
+        fresh = tried(open_rows, F.explode(F.sequence(F.lit(start), F.lit(start + draws - 1)))).where("_hit IS NULL")
+        better = fresh.groupBy(*rows.columns).agg(F.min(F.struct("_t", out)).alias("_f")).select(*rows.columns, F.col(f"_f.{out}").alias(out))
+        better = materialise(better, "negatives")
+        done = done.unionByName(better)
+        open_rows = materialise(open_rows.join(better.select(*row_key), list(row_key), "left_anti"), "redraw")
+        start, draws = start + draws, draws * 2
+    return done
 
 
 class Sampler:
@@ -194,7 +203,7 @@ class Sampler:
 
     def per_interaction(self) -> DataFrame:
         """(user, item, negative): one negative per training row."""
-        rows = self.seen.join(self.users.select("user"), "user", "left_semi")
+        rows = self.seen.distinct().join(self.users.select("user"), "user", "left_semi")
         return self.negatives(rows, ["user", "item"])
 
     def pointwise(self, events: int, ratio: int = 1, ratings: bool = False) -> DataFrame:
@@ -208,7 +217,7 @@ class Sampler:
 
     def positives_plus_negatives(self, m: int) -> DataFrame:
         """(user, item, label): every positive and ``m`` unseen items for each, repeats allowed."""
-        rows = self.seen.join(self.users.select("user"), "user", "left_semi").withColumnRenamed("item", "of")
+        rows = self.seen.distinct().join(self.users.select("user"), "user", "left_semi").withColumnRenamed("item", "of")
         rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(m))))
         bad = self.negatives(rows, ["user", "of", "draw"], "item").select("user", "item", F.lit(0.0).alias("label"))
         return self.seen.withColumn("label", F.lit(1.0)).unionByName(bad)
@@ -261,14 +270,23 @@ def two_hop_neighbours(train: DataFrame, of: str = "user", hot_profile: int = 20
 
 def neighbourhood_samples(train: DataFrame, of: str = "item", seed: int = 42) -> DataFrame:
     """(id, neighbour, stranger): one random neighbour and one random non-neighbour; both 0 where an id has no
-    neighbour or more than 80 % of the catalogue as neighbours."""
+    neighbour or more than 80 % of the catalogue as neighbours. Neighbours are counted where they are combined and never
+    written; whether a stranger is one is asked of the edges of the two."""
+    other = "item" if of == "user" else "user"
+    edges = train.select(F.col(of).alias("id"), F.col(other).alias("by")).distinct()
     catalogue, n = numbered(train.select(F.col(of).alias("item")))
-    near = materialise(two_hop_neighbours(train, of), "near")
+    near = two_hop_neighbours(train, of)
     key = md5_key(F.lit(seed), F.lit("near"), "i", "j")
     picked = near.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key.alias("h"), F.col("j").alias("j"))).alias("p"))
     usable = picked.filter(F.col("n") / F.lit(float(n)) <= 0.8).select(F.col("i").alias("id"), F.col("p.j").alias("neighbour"))
-    seen = near.select(F.col("i").alias("id"), F.col("j").alias("item"))
-    full = first_unseen(usable, ["id"], "id", seen, catalogue, n, seed, "far", "stranger")
+
+    def met(pairs: DataFrame) -> DataFrame:
+        """Pairs that share one of ``by``: the edges of id that stranger has too."""
+        shared = pairs.where("id <> stranger").join(edges, "id").join(edges.withColumnRenamed("id", "stranger"), ["stranger", "by"], "left_semi")
+        return shared.select("id", "stranger").distinct()
+
+    usable = materialise(usable, "usable")
+    full = first_unseen(usable, ["id"], "id", edges, catalogue, n, seed, "far", "stranger", met=met)
     ids = catalogue.select(F.col("item").alias("id"))
     return ids.join(full, "id", "left").select(
         "id", F.coalesce("neighbour", F.lit(0)).alias("neighbour"), F.coalesce("stranger", F.lit(0)).alias("stranger")
