@@ -1,7 +1,5 @@
 """A nested split reads its input once per step, not once per use."""
 
-from pyspark.sql import functions as F
-
 from tastegrid.operators import split as sp
 
 
