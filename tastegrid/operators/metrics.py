@@ -20,7 +20,7 @@ from tastegrid.functions.ranking import running_total, top_k
 from tastegrid.functions.ratios import NAN, ratio
 from tastegrid.functions.vectors import product_ranks
 from tastegrid.operators.unpersonalised import item_popularity, short_head
-from tastegrid.session import materialise
+from tastegrid.session import materialise, stored
 
 
 def binary_relevance(test: DataFrame, threshold: float) -> DataFrame:
@@ -160,26 +160,27 @@ class Evaluation:
 
     # --- metrics over full lists ---
 
-    def _auc_terms(self, hits: DataFrame) -> DataFrame:
-        """Per hit, the share of the user's negatives ranked after it."""
+    @cached_property
+    def auc_terms(self) -> DataFrame:
+        """(user, rank, n_rel, term) per hit of the full lists: the share of the user's negatives ranked after it."""
         n_items = self.train.agg(F.countDistinct("item")).scalar()
         profiles = self.train.groupBy("user").agg(F.countDistinct("item").alias("n_train"))
-        terms = hits.join(self.rel_counts, "user").join(profiles, "user", "left")
+        terms = self.all_hits.join(self.rel_counts, "user").join(profiles, "user", "left")
         negatives = n_items - F.coalesce("n_train", F.lit(0)) - F.col("n_rel") + 1
-        return terms.select("user", "n_rel", ((negatives - (F.col("rank") - 1) + (F.col("p") - 1)) / negatives).alias("term"))
+        return terms.select("user", "rank", "n_rel", ((negatives - (F.col("rank") - 1) + (F.col("p") - 1)) / negatives).alias("term"))
 
     def auc(self) -> DataFrame:
         """Mean over all hits of all users."""
-        return self._auc_terms(self.all_hits).agg(F.avg("term").alias("value"))
+        return self.auc_terms.agg(F.avg("term").alias("value"))
 
     def gauc(self) -> DataFrame:
-        return self._grouped_auc(self.all_hits, F.col("n_rel"))
+        return self._grouped_auc(self.auc_terms, F.col("n_rel"))
 
     def lauc(self) -> DataFrame:
-        return self._grouped_auc(self.hits, F.least(F.col("n_rel"), F.lit(self.k)))
+        return self._grouped_auc(self.auc_terms.filter(F.col("rank") <= self.k), F.least(F.col("n_rel"), F.lit(self.k)))
 
-    def _grouped_auc(self, hits: DataFrame, size: Column) -> DataFrame:
-        sums = self._auc_terms(hits).groupBy("user").agg(F.sum("term").alias("s"))
+    def _grouped_auc(self, terms: DataFrame, size: Column) -> DataFrame:
+        sums = terms.groupBy("user").agg(F.sum("term").alias("s"))
         users = self.gated.join(sums, "user", "left")
         return users.agg(F.avg(F.coalesce("s", F.lit(0.0)) / size).alias("value"))
 
@@ -557,14 +558,16 @@ def catalogue_ranks(users: DataFrame, items: DataFrame, test: DataFrame, train:
 
 def catalogue_metrics(users: DataFrame, items: DataFrame, test: DataFrame, train: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
     """One row ``AUC, GAUC, LAUC, MAE, MSE, RMSE`` of lists that hold every unseen training item of every user with a vector."""
+    users, items = stored(users, "users"), stored(items, "items")  # read several times, and what makes them may be large
     relevant = binary_relevance(test, threshold)
     ev = Evaluation(materialise(catalogue_ranks(users, items, relevant, train), "ranks"), test, train, k, threshold)
     n = items.join(train.select(F.col("item").alias("id")).distinct(), "id", "left_semi").agg(F.count(F.lit(1))).scalar()
     own = train.join(items.select(F.col("id").alias("item")), "item", "left_semi").groupBy("user").agg(F.countDistinct("item").alias("n"))
     lengths = users.select(F.col("id").alias("user")).join(own, "user", "left").select("user", (n - F.coalesce("n", F.lit(0))).alias("n"))
     ev.list_lengths = lengths.where("n > 0").select("user", F.least("n", F.lit(k)).alias("n_recs"))
+    ev.gated, ev.auc_terms = materialise(ev.gated, "gated"), materialise(ev.auc_terms, "terms")
     out = ev.auc().withColumnRenamed("value", "AUC")
     for name, value in (("GAUC", ev.gauc()), ("LAUC", ev.lauc())):
         out = out.withColumn(name, value.scalar())
-    errors = ev.rating_errors()
+    errors = materialise(ev.rating_errors(), "errors")
     return out.withColumns({c: errors.select(c).scalar() for c in errors.columns})
