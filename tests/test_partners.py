@@ -8,6 +8,7 @@ import pytest
 
 from tastegrid.functions import partners as partners_module
 from tastegrid.functions.partners import members, partners, rounded
+from tastegrid.operators import recommend as rc
 from tastegrid.operators import similarity as si
 
 
@@ -77,3 +78,20 @@ def test_null_values_leave_pairs_undefined(spark):
 
 def test_rounding_is_half_away_from_zero():
     assert rounded(np.array([0.0009765625, -0.0009765625, 1e12 + 0.25, np.nan]), 9)[:3].tolist() == [0.000976563, -0.000976563, 1e12 + 0.25]
+
+
+@pytest.mark.parametrize("by", ["items", "users"])
+def test_lists_of_a_product_without_its_rows(ratings, limits, by, spark, monkeypatch):
+    """Lists of neighbour scores equal those of the scored rows, null ids included, and the rows are never asked for."""
+    odd = spark.createDataFrame([(None, 3, 2.0), (1, None, 4.0), (2, 29, None)], "user long, item long, rating double")
+    train = ratings.select("user", "item", "rating").where("NOT (user = 2 AND item = 29)").unionByName(odd)
+    if by == "items":
+        scores = rc.item_knn_scores(train, si.similarity(train, "cosine", 3))
+    else:
+        scores = rc.user_knn_scores(train, rc.user_similarity(train, "cosine", 4))
+    want = rc.full_top_k_unseen(scores.select("*"), train, 7).collect()
+    kept, real = [], rc.materialise
+    monkeypatch.setattr(rc, "materialise", lambda df, name: kept.append((name, df)) or real(df, name))
+    got = rc.full_top_k_unseen(scores, train, 7)
+    assert sorted(got.collect(), key=str) == sorted(want, key=str)
+    assert "scores" not in {name for name, _ in kept}
